@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -90,8 +91,7 @@ def blocks(texts: pa.Array | pa.ChunkedArray, lower: bool = False, block_bytes:
     """Consecutive rows of a string column, as many at a time as have block_bytes of text, or one. Nulls have no words."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    sizes = np.asarray(texts.cast(pa.large_string()).cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-    sizes = np.fromiter(map(len, sizes), np.int64, len(sizes))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         before = ends[at - 1] if at else 0
