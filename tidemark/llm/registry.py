@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_preference, license_scan, line_dedup, quality_rules
+from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, substring_dedup
 
 QUERIES = {
     "op1_chat_preference": chat_preference.query,
     "op2_license_scan": license_scan.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_best_fit_packing": packing.query,
+    "op5_substring_dedup": substring_dedup.query,
+    "op6_quality_classifier": fm_quality.query,
+    "op7_html_extraction": html_density.query,
+    "op8_minhash_near_dedup": near_dedup.query,
     "op9_quality_rules": quality_rules.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 ORACLES = {
     "op1_chat_preference": chat_preference.SQL,
     "op2_license_scan": license_scan.SQL,
     "op3_line_dedup": line_dedup.SQL,
+    "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
+    "op10_benchmark_decontamination": decontaminate.SQL,
 }
