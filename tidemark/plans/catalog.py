@@ -24,9 +24,21 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """The modules that register queries."""
+    from tidemark.plans import fact_queries, text_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions to evidence: tokens, postings, BM25, rerank, budgeted texts."""
+    return queries()["build_evidence"](spark, sf_dir)
