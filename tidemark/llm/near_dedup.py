@@ -10,8 +10,11 @@ collection. So KEYS * KEYS tables of 2 * HASHES minhashes each cost 2 * KEYS * H
 3. Nodes are dealt out by table key. In a bucket, sorted by set size, a node is paired with the first and with the one
    before it: two pairs a member, never all pairs of a group.
 4. Pairs are confirmed on the full sets of their texts, and links are joined to components.
-5. Rest: in buckets whose members are still in different components, pairs across components that step 3 has not tried
-   are confirmed too, so that no link of a bucket is missed. A large group is one component by then, and leaves nothing.
+5. Rest: buckets whose members are still in different components may hold further links. Their components are joined to
+   clusters (along each bucket, in order of set size, as far as sizes fit), a cluster is cut into parts of ``PART`` nodes in
+   order of component, and each two parts that hold different components are compared in full: exact intersections of all
+   sets at once, as products of 0/1 matrices. Only links leave, one for each two components. So no link of a bucket is
+   missed, nothing of the size of a group's pairs is ever made, and a task holds two parts.
 
 Edge cases: null, empty and blank texts have size 0 and are linked with nothing; a null doc_id is linked with nothing,
 has a null component and is kept. Fewer than five words are one shingle. Rows that share a doc_id are one node where that id
@@ -34,6 +37,8 @@ from tidemark.llm.words import blocks, mix
 SHINGLE, KEYS, HASHES = 5, 8, 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
+#: Nodes of a part of a cluster, and columns of a matrix.
+PART, COLUMNS = 200, 4096
 #: Up to so many ids, the texts to confirm are picked by a broadcast of the ids (8 bytes each), beyond by a shuffle.
 PICK_IDS = 500_000
 
@@ -99,6 +104,36 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two sets share: products of 0/1 matrices, some thousand columns at a time."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(len(sets)), sizes), count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[common], number[column[common]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        out += part @ part.T
+    return out
+
+
+def _links_of_block(table: pa.Table) -> pa.Table:
+    """Links between nodes of different labels; of those that join the same two labels one."""
+    nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
+    sets = [s for _, part in _sets(table.column("text")) for s in part]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    shared = _shared(sets).astype(np.int64)
+    linked = (100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)) & (labels[:, None] < labels) & (shared > 0)
+    x, y = np.nonzero(linked)
+    _, first = np.unique(np.stack([labels[x], labels[y]], 1), axis=0, return_index=True)
+    return pa.table({"a": pa.array(nodes[x[first]], pa.int64()), "b": pa.array(nodes[y[first]], pa.int64())})
+
+
 def _fits(n: str, m: str):
     """Sets of these sizes can be similar enough."""
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
@@ -139,11 +174,20 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     open_ = work.write(placed.join(split, "key", "left_semi"), "open")
-    other = open_.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    rest = open_.select("key", F.col("node").alias("a"), "n", "label").join(other, "key").filter((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _fits("n", "m"))
-    rest = work.write(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, "more-links")
+    side = F.struct("label", "n")
+    chain = open_.withColumn("before", F.lag(side).over(bucket)).filter((F.col("before.label") != F.col("label")) & _fits("n", "before.n"))
+    chain = work.write(chain.select(F.least("label", "before.label").alias("a"), F.greatest("label", "before.label").alias("b")).distinct(), "chain")
+    if not chain.isEmpty():
+        clusters = components(chain, work, "clusters").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+        members = open_.select("node", "n", "label").distinct().join(clusters, "label")
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "n", "node"))
+        members = work.write(members.select("cluster", "node", "label", F.floor((place - 1) / PART).cast("int").alias("part")), "members")
+        parts = members.groupBy("cluster", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        two = parts.select("cluster", F.col("part").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"))
+        blocks_ = parts.withColumnRenamed("part", "p").join(two, "cluster").filter("p <= q AND least(low, low_q) < greatest(high, high_q)").select("cluster", "p", "q")
+        dealt = members.join(blocks_.select("cluster", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part")), ["cluster", "part"])
+        full = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("cluster", "p", "q", "node", "label", "text")
+        more = work.write(full.groupBy("cluster", "p", "q").applyInArrow(_links_of_block, "a long, b long"), "more-links")
         if not more.isEmpty():
             labels = components(links.union(more), work, "all-labels")
 
