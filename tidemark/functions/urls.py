@@ -28,7 +28,7 @@ VIDEO_PATHS = (
 TIERS = {"official": 3, "manual": 3, "wiki": 2}
 SEARCH_ORDER = {"official": 0, "wiki": 1, "community": 2}
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)(?::[0-9]*)?(?:[/?#]|$)"
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@\[\]]*)(?::[0-9]*)?(?:[/?#]|$)"
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 

@@ -128,7 +128,7 @@ def page_text(title: Column, pairs: Column, source: Column) -> Column:
 
 def json_repair(text: Column) -> Column:
     r"""A \u that four hex digits don't follow becomes a literal backslash and u."""
-    return F.regexp_replace(text, r"\\u(?![0-9a-fA-F]{4})", r"\\\\\\\\u")
+    return F.regexp_replace(text, r"\\u(?![0-9a-fA-F]{4})", r"\\\\u")
 
 
 @F.pandas_udf(ty.STRING)
