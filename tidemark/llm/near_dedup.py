@@ -13,7 +13,7 @@ collection. So KEYS * KEYS tables of 2 * HASHES minhashes each cost 2 * KEYS * H
 5. Rest: buckets whose members are still in different components may hold further links. Their components are joined to
    clusters (along each bucket, in order of set size, as far as sizes fit), a cluster is cut into parts of ``PART`` nodes in
    order of component, and each two parts that hold different components are compared in full: exact intersections of all
-   sets at once, as products of 0/1 matrices. Only links leave, one for each two components. So no link of a bucket is
+   sets at once, as products of 0/1 matrices. What leaves are the few links that join a block's components. So no link of a bucket is
    missed, nothing of the size of a group's pairs is ever made, and a task holds two parts.
 
 Edge cases: null, empty and blank texts have size 0 and are linked with nothing; a null doc_id is linked with nothing,
@@ -123,15 +123,26 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links_of_block(table: pa.Table) -> pa.Table:
-    """Links between nodes of different labels; of those that join the same two labels one."""
-    nodes, labels = table.column("node").to_numpy(), table.column("label").to_numpy()
+    """Links between components of the block, as few as join what the block's links join."""
+    labels = table.column("label").to_numpy()
     sets = [s for _, part in _sets(table.column("text")) for s in part]
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     shared = _shared(sets).astype(np.int64)
     linked = (100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)) & (labels[:, None] < labels) & (shared > 0)
-    x, y = np.nonzero(linked)
-    _, first = np.unique(np.stack([labels[x], labels[y]], 1), axis=0, return_index=True)
-    return pa.table({"a": pa.array(nodes[x[first]], pa.int64()), "b": pa.array(nodes[y[first]], pa.int64())})
+    top = {x: x for x in labels.tolist()}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for x, y in zip(*(labels[i].tolist() for i in np.nonzero(linked)), strict=True):
+        a, b = find(x), find(y)
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
 def _fits(n: str, m: str):
@@ -189,7 +200,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         full = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("cluster", "p", "q", "node", "label", "text")
         more = work.write(full.groupBy("cluster", "p", "q").applyInArrow(_links_of_block, "a long, b long"), "more-links")
         if not more.isEmpty():
-            labels = components(links.union(more), work, "all-labels")
+            joined = components(more, work, "joined").select(F.col("node").alias("label"), F.col("label").alias("_joined"))
+            every = labels.unionByName(members.select("node", "label")).distinct()
+            labels = every.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
 
     named = nodes.select("h1", "h2", F.col("n"), "node").join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
     alone = signed.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
