@@ -75,14 +75,8 @@ def score_fact(df: DataFrame, tokens: str = "tokens", title: str = "title_norm",
 def newest_in_slot(df: DataFrame, by: str, position: str = "pos", slot: str = "slot_key", version: str = "version", effective: str = "effective_from") -> DataFrame:
     """Positions within a slot are given anew, the newest first; rows without a slot keep theirs."""
     slotted = Window.partitionBy(by, slot)
-    ranks = df.withColumns(
-        {
-            "_k": F.row_number().over(slotted.orderBy(position)),
-            "_j": F.row_number().over(slotted.orderBy(F.desc_nulls_last(effective), F.desc("_version"), F.asc(position))),
-        }
-        if "_version" in df.columns
-        else {"_k": F.row_number().over(slotted.orderBy(position)), "_j": F.row_number().over(slotted.orderBy(F.desc(F.coalesce(effective, F.lit(""))), F.desc(vs.version_key(F.col(version))), F.asc(position)))}
-    )
+    newest = slotted.orderBy(F.desc(F.coalesce(effective, F.lit(""))), F.desc(vs.version_key(F.col(version))), F.asc(position))
+    ranks = df.withColumns({"_k": F.row_number().over(slotted.orderBy(position)), "_j": F.row_number().over(newest)})
     places = F.transform(F.array_sort(F.collect_list(F.struct("_k", position)).over(slotted)), lambda x: x[position])
     moved = F.when(F.coalesce(F.col(slot), F.lit("")) == "", F.col(position)).otherwise(F.get(places, F.col("_j") - 1))
     return ranks.withColumn(position, moved).drop("_k", "_j")
@@ -177,5 +171,5 @@ def mentioned_entities(questions: DataFrame, entities: DataFrame, qkey: str = "q
 
 def cited(answers: DataFrame, citations: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:
     """The citations whose [n] stands in the answer."""
-    used = answers.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1))).alias("_n")).select(key, F.try_cast("_n", "int").alias("index") if hasattr(F, "try_cast") else F.expr("try_cast(_n AS int)").alias("index"))
+    used = answers.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1))).alias("_n")).select(key, F.expr("try_cast(_n AS int)").alias("index"))
     return citations.join(used, [key, "index"], "left_semi")

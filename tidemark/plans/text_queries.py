@@ -11,8 +11,6 @@ from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import pages as web
 
-_TRIM = r"regexp_replace({0}, '^[\s]+|[\s]+$', '', 'g')"
-
 
 def squash_sql(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower(translate({c}, chr(160) || '　', '  ')), '[ \t\f\v]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"
@@ -139,9 +137,6 @@ def value_like(spark, d):
     return facts(spark, d).select("id", tx.value_like(F.col("answer")).alias("value_like"), tx.signature(tx.numbers_signed(F.col("answer"))).alias("signature"))
 
 
-_FNV = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split(hex(encode(w))::VARCHAR, ''), lambda c: 0::HUGEINT)), lambda a, b: a)"
-
-
 @register("simhash64", f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format(squash_sql('text'))}) AS w FROM documents),
 tf AS (SELECT doc_id, w, count(*) AS k FROM t GROUP BY ALL),
 words AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM tf),
