@@ -80,7 +80,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long"),
         }
     )
-    return df.drop("_words", "_lines")
+    counts = ["n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words"]
+    df = df.select(*[c for c in docs.columns if c not in counts], F.struct(*counts).alias("_counts"))
+    # a generator of one row: a filter on the counts would else be moved below the steps above, each step's expression
+    # written out at every place that reads it
+    df = df.withColumn("_counts", F.explode_outer(F.array("_counts")))
+    return df.select("*", "_counts.*").drop("_counts")
 
 
 def _compare(value: Column, how: str, limit: float) -> Column:
