@@ -11,7 +11,7 @@ collection. So KEYS * KEYS tables of 2 * HASHES minhashes each cost 2 * KEYS * H
    before it: two pairs a member, never all pairs of a group.
 4. Pairs are confirmed on the full sets of their texts, and links are joined to components.
 5. Rest: buckets whose members are still in different components may hold further links. Their components are joined to
-   clusters (along each bucket, in order of set size, as far as sizes fit), a cluster is cut into parts of ``PART`` nodes in
+   clusters (each to the bucket's smallest), a cluster is cut into parts of ``PART`` nodes in
    order of component, and each two parts that hold different components are compared in full: exact intersections of all
    sets at once, as products of 0/1 matrices. What leaves are the few links that join a block's components. So no link of a bucket is
    missed, nothing of the size of a group's pairs is ever made, and a task holds two parts.
@@ -183,11 +183,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labels = components(links, work)
 
     placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_ = work.write(placed.join(split, "key", "left_semi"), "open")
-    side = F.struct("label", "n")
-    chain = open_.withColumn("before", F.lag(side).over(bucket)).filter((F.col("before.label") != F.col("label")) & _fits("n", "before.n"))
-    chain = work.write(chain.select(F.least("label", "before.label").alias("a"), F.greatest("label", "before.label").alias("b")).distinct(), "chain")
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "low")
+    open_ = work.write(placed.join(split, "key"), "open")
+    chain = work.write(open_.select(F.col("low").alias("a"), F.col("label").alias("b")).filter("a < b").distinct(), "chain")
     if not chain.isEmpty():
         clusters = components(chain, work, "clusters").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
         members = open_.select("node", "n", "label").distinct().join(clusters, "label")
