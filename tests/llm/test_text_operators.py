@@ -169,6 +169,22 @@ def test_page_without_article():
     assert html_density.extract(page) == " ".join(["A sentence of the main text of this page."] * 12)
 
 
+def test_all_parts_of_a_page_without_article():
+    def part(name, n):
+        return [f"Sentence {i} of {name}, which is as long as others of this text, and has a comma more." for i in range(n)]
+
+    def wrap(lines):
+        return "".join(f"<p>{x}</p>" for x in lines)
+
+    links = "<div>" + "".join(f"<a href={i}>A link with some words {i}</a> " for i in range(8)) + "</div>"
+    lead, text = part("lead", 1), part("text", 20)
+    page = f"<body>{links}<div id=page><h1>Title</h1><div class=lead>{wrap(lead)}</div><div class=text>{wrap(text)}</div></div>{links}</body>"
+    assert html_density.extract(page) == " ".join(["Title", *lead, *text])
+    one, two, three = part("one", 9), part("two", 12), part("three", 9)
+    page = f"<body><div>{links}<section>{wrap(one)}</section>loose<h2>Two</h2><div>{links}<div>{wrap(two)}</div></div>{links}<div>{wrap(three)}</div></div>{links}</body>"
+    assert html_density.extract(page) == " ".join([*one, "loose", "Two", *two, *three])
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<div><script>x", ""), ("a < b & c", "a < b & c"), ("<b>x</b>y", "xy"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html_density.extract(page) == text

@@ -7,9 +7,10 @@ below, LC characters in links, LT links; with the body's C and LC
     density = C / T * log(C * T / (LC * LT)) / (1 + log(log(C * LC / (C - LC) + LC_body * C / C_body + e)))
 
 each of T, LC, LT and C - LC at least 1; the 1 in the divisor keeps it above 0 on pages without links. A node's sum is that of its children's densities. The node with the largest sum is the
-core; the least density on its path to the body is the threshold. From the body down, a node at or above the threshold gives
-the subtree with the largest sum below it; nodes under it are dropped with their subtrees. An ``article`` or ``main``
-that holds the core is taken whole, so that a short paragraph beside a long one stays.
+core; the least density on its path to the body is the threshold. From the body down, each node at or above the threshold gives
+the subtree with the largest sum below it, and the walk goes on into its children outside that subtree. Density is low for
+short text, so what stands between the first and the last of these subtrees, and after the last ``h1`` before them, belongs to
+the article too, unless half of it or more is links. An ``article`` or ``main`` that holds the core is taken whole.
 
 Blocks come in page order. Character references are decoded, white space in a block becomes one space, and blocks are
 joined by a space. Parsing is a regular expression over tags and a stack; no page is cut off, and there's no recursion, so depth is no
@@ -57,12 +58,13 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "links", "density", "total", "best", "titled")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut, self.items = tag, parent, cut, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
+        self.best, self.titled = self, tag == "h1"
 
 
 def _marked(tag: str, attributes: str, inside: bool) -> bool:
@@ -135,12 +137,12 @@ def _close(open_: Node, body: Node, tag: str) -> Node:
 
 
 def _order(body: Node) -> list[Node]:
-    """All nodes, each before those below it."""
+    """All nodes in page order, each before those below it."""
     out, stack = [], [body]
     while stack:
         node = stack.pop()
         out.append(node)
-        stack += [x for x in node.items if isinstance(x, Node)]
+        stack += [x for x in reversed(node.items) if isinstance(x, Node)]
     return out
 
 
@@ -163,14 +165,20 @@ def measure(body: Node) -> list[Node]:
         if c:
             base = math.log(math.log(c * node.link_chars / max(1, c - node.link_chars) + share * c + math.e) + 1e-9)
             node.density = c / t * max(0.0, math.log(max(1.0, c * t / (lc * lt)))) / (1 + max(0.0, base))
-        node.total = sum(x.density for x in node.items if isinstance(x, Node))
+        below = [x for x in node.items if isinstance(x, Node)]
+        node.total = sum(x.density for x in below)
+        node.titled = node.tag == "h1" or any(x.titled for x in below)
+        node.best = node
+        for x in below:  # of equal ones, the first in page order
+            if x.best.total > node.best.total:
+                node.best = x.best
     return nodes
 
 
-def core(body: Node) -> list[Node]:
-    """The nodes whose text is the main text, in page order."""
-    nodes = measure(body)
-    best = max(nodes, key=lambda x: x.total)  # of equal ones, the first of a walk down
+def core(body: Node) -> list[Node | str]:
+    """The nodes, and loose texts between them, that are the main text, in page order."""
+    measure(body)
+    best = body.best
     if not best.total:
         return [body]
     path, whole = [], None
@@ -183,18 +191,46 @@ def core(body: Node) -> list[Node]:
     if whole is not None:
         return [whole]
     threshold = min(x.density for x in path)
-    place = {id(x): i for i, x in enumerate(nodes)}
-    out, stack = [], [body]
+    tops, stack = set(), [body]
     while stack:
         node = stack.pop()
         if node.density < threshold:
             continue
-        top = max(_order(node), key=lambda x: x.total)
-        out.append(top if top.total else node)
-    return sorted(out, key=lambda x: place[id(x)])
+        top = node.best if node.best.total else node
+        tops.add(top)
+        if top is not node:
+            stack += [x for x in node.items if isinstance(x, Node)]
+    return _span(body, tops)
+
+
+def _span(body: Node, tops: set[Node]) -> list[Node | str]:
+    """The tops in page order, with their title and the text between them that isn't mostly links."""
+    holders = set()
+    for node in tops:
+        while node is not None and node not in holders:
+            holders.add(node)
+            node = node.parent
+    units, stack = [], [body]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x in tops or x not in holders and (x.tag == "h1" or not x.titled):
+            units.append(x)
+            continue
+        # one by one, with an end of block on either side
+        edge = [Node("br", None)] if x.tag in BLOCKS else []
+        stack += [*edge, *reversed(x.items), *edge]
+    at = [i for i, x in enumerate(units) if x in tops]
+    first, last = at[0], at[-1]
+    titles = [i for i in range(first) if isinstance(units[i], Node) and units[i].tag == "h1" and not _linked(units[i])]
+    start = titles[-1] if titles else first
+    return [x for x in units[start : last + 1] if isinstance(x, str) or x in tops or not _linked(x)]
+
+
+def _linked(x: Node) -> bool:
+    return x.chars > 0 and 2 * x.link_chars >= x.chars
 
 
-def text_of(tops: list[Node]) -> str:
+def text_of(tops: list[Node | str]) -> str:
     """Blocks in page order, each with its white space made single."""
     blocks, now, stack = [], [], list(reversed(tops))
     mark = object()
