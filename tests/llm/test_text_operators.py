@@ -140,6 +140,26 @@ def test_items_are_found_wherever_they_stand(spark):
     assert decontaminate.find_items(docs.drop("item_id"), benchmark.limit(0)).count() == 0
 
 
+def test_short_items_are_found_in_long_documents(spark):
+    rng = random.Random(11)
+    stem = words(rng, 6)
+    items = [words(rng, 5 + i % 10) for i in range(80)] + [stem + words(rng, 1 + i % 4) for i in range(12)]
+    data = []
+    for item in items:
+        t = words(rng, rng.randrange(60, 400))
+        at = rng.randrange(len(t) + 1)
+        data.append(" ".join(t[:at] + item + t[at:]))
+        data.append(" ".join(t[:at] + item[:-1] + t[at:]))  # one shingle short, which is a fifth or less from nine words on
+    data.append(" ".join(stem * 3))
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in items]
+    texts = [t.split() for t in data]
+    own = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    want = {(d, i, len(x & g)) for d, x in enumerate(own) for i, g in enumerate(grams) if 10 * len(x & g) >= 8 * len(g)}
+    found = decontaminate.find_items(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    got = found.collect()
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == want and len(got) == len(want)
+
+
 def test_parts_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(3)
     items = [" ".join(words(rng, 30)) for _ in range(12)]

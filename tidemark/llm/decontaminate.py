@@ -3,8 +3,9 @@
 Test items are partitioned by the number of their shingles, in classes of powers of two. Plain MinHash can't see a short
 item in a long document, as their similarity is next to nothing; so a document is searched, for each class of at most u
 shingles, in blocks of 2u that overlap by u. Any place of an item lies in one block, and there an item of which four fifths
-are contained has a similarity of 0.19 or more: of ``HASHES`` minhashes, one agrees with probability 1 - 4e-5. Block minima of
-all classes are put together from the minima of tiles of 16 shingles, so a shingle is hashed ``HASHES`` times, not
+are contained has a similarity of 0.19 or more: of ``HASHES`` minhashes, one agrees with probability 1 - 4e-5. That holds from
+``EXACT`` shingles on; shorter items are too small for the least block and are looked up without minhashes: of n shingles of which
+k must be shared, some of any n - k + 1 are, so the rarest n - k + 1 are an exact index. Block minima of all classes are put together from the minima of tiles of 16 shingles, so a shingle is hashed ``HASHES`` times, not
 more. Pairs of document and item with an equal minimum are confirmed: all of the document's shingles, against all of
 the item's.
 
@@ -30,6 +31,8 @@ from tidemark.llm.storage import prepare
 from tidemark.llm.words import Block, blocks
 
 SHINGLE, HASHES, TILE = 5, 48, 16
+#: Items of fewer shingles are looked up by the shingles themselves.
+EXACT = TILE // 2
 #: Contained if 10 * shared >= SHARE * the item's shingles.
 SHARE = 8
 PART_BYTES = 4_000_000
@@ -39,6 +42,7 @@ _XOR = _rng.integers(0, 2**32, HASHES, np.uint32)
 _MUL = _rng.integers(0, 2**32, HASHES, np.uint32) | np.uint32(1)
 _HALF = np.uint64(32)
 _COARSE = np.uint32(16)
+_TOP = np.uint64(48)
 
 
 class Items:
@@ -47,13 +51,15 @@ class Items:
     def __init__(self, ids: list, sets: list[np.ndarray]):
         self.ids, self.sets = ids, sets
         self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+        self.short: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def build(self) -> Items:
         """Minima per class, made where they are used; what is sent is the sets."""
         if self.classes is None:
             self.classes = {}
-            sizes = [max(TILE, 1 << int(len(s) - 1).bit_length()) for s in self.sets]
-            for u in sorted(set(sizes)):
+            self._build_short()
+            sizes = [max(TILE, 1 << int(len(s) - 1).bit_length()) if len(s) >= EXACT else 0 for s in self.sets]
+            for u in sorted(set(sizes) - {0}):
                 members = np.array([i for i, x in enumerate(sizes) if x == u])
                 low = np.array([[int((((self.sets[i] >> _HALF).astype(np.uint32) ^ x) * m).min()) for i in members] for x, m in zip(_XOR, _MUL, strict=True)], np.uint32)
                 order = np.argsort(low, axis=1, kind="stable")
@@ -63,6 +69,35 @@ class Items:
                 self.classes[u] = (members[order], np.take_along_axis(low, order, 1), coarse)
         return self
 
+    def _build_short(self) -> None:
+        """Sorted shingles of which each text that contains a short item has one, their items, and a coarse filter."""
+        own = [(i, s) for i, s in enumerate(self.sets) if len(s) < EXACT]
+        if not own:
+            return
+        known, often = np.unique(np.concatenate([s for _, s in own]), return_counts=True)
+        keys, members = [], []
+        for i, s in own:
+            n = len(s) - -(-SHARE * len(s) // 10) + 1
+            rare = s[np.argsort(often[np.searchsorted(known, s)], kind="stable")[:n]]
+            keys.append(rare)
+            members += [i] * n
+        flat = np.concatenate(keys)
+        order = np.argsort(flat, kind="stable")
+        coarse = np.zeros(1 << 16, bool)
+        coarse[flat >> _TOP] = True
+        self.short = flat[order], np.array(members)[order], coarse
+
+    def _short_found(self, hashes: np.ndarray, bounds: np.ndarray) -> set[tuple[int, int]]:
+        """Row and item, for the rows that may contain a short item."""
+        if self.short is None:
+            return set()
+        keys, members, coarse = self.short
+        maybe = np.flatnonzero(coarse[hashes >> _TOP])
+        a, b = np.searchsorted(keys, hashes[maybe]), np.searchsorted(keys, hashes[maybe], "right")
+        hit = np.flatnonzero(a < b)
+        rows = np.searchsorted(bounds, maybe[hit], "right") - 1
+        return {(int(r), int(x)) for r, i in zip(rows, hit, strict=True) for x in members[a[i] : b[i]]}
+
     def search(self, block: Block) -> Iterator[tuple[int, int, int]]:
         """Row, item and shared shingles, for the block's rows that contain an item."""
         hashes, places = block.windows(SHINGLE)
@@ -82,7 +117,7 @@ class Items:
         minima[:, -1] = np.uint32(2**32 - 1)
         for k in range(HASHES):
             np.min((small ^ _XOR[k]) * _MUL[k], axis=0, out=minima[k, :-1])
-        found: set[tuple[int, int]] = set()
+        found = self._short_found(hashes, bounds)
         for u, (members, low, coarse) in self.classes.items():
             step = u // TILE
             counts = np.maximum(1, -(-tiles // step) - 1) * (tiles > 0)
