@@ -218,3 +218,19 @@ def test_html():
     text, title, date = web.extract('<html><head><title>T</title><meta property="article:published_time" content="2026-01-02"></head><body><nav>menu</nav><article><h1>H</h1>' + "<p>Some words here.</p>" * 20 + "</article><footer>f</footer></body></html>")
     assert title == "T" and date == "2026-01-02" and text.startswith("H\nSome words here.") and "menu" not in text
     assert web.extract(None) == ("", "", "")
+
+
+def test_long_answers_are_grounded(spark):
+    import random
+
+    from tidemark.functions import grounding
+
+    rng = random.Random(2)
+    text = "".join(rng.choices("abcdefghij", k=3000))
+    for _ in range(200):
+        a, b = ("".join(rng.choices("ab", k=rng.randrange(15))) for _ in range(2))
+        assert common_run(a, b) == max(j - i for i in range(len(a) + 1) for j in range(i, len(a) + 1) if a[i:j] in b)
+    data = [(1, text[500:1700], text), (2, text[:250] + "k" * 950, text)]
+    rows = spark.createDataFrame(data, "id int, text string, source string")
+    got = rows.select("id", grounding.longest_common_run("text", "source").alias("run"), grounding.grounded("text", "source").alias("ok")).orderBy("id").collect()
+    assert [(r.run, r.ok) for r in got] == [(1200, True), (250, False)]
