@@ -205,6 +205,23 @@ def test_all_parts_of_a_page_without_article():
     assert html_density.extract(page) == " ".join([*one, "loose", "Two", *two, *three])
 
 
+def test_names_and_forms_alone_cut_no_article_text():
+    def part(name, n=4):
+        return [f"Sentence {i} of {name}, which is as long as others of this text, and has a comma more." for i in range(n)]
+
+    def wrap(lines):
+        return "".join(f"<p>{x}</p>" for x in lines)
+
+    a, b, c, d = part("text"), part("discussion"), part("analysis"), part("related")
+    links = "<div class=related><a href=1>Another article to read</a> <a href=2>One more of them</a></div>"
+    parts = f'{wrap(a)}<section id="discussion"><h2 id="related-work">Related work</h2>{wrap(b)}</section><div class="legal-analysis">{wrap(c)}</div><div class=notice>{wrap(d)}</div>{links}'
+    want = " ".join([*a, "Related work", *b, *c, *d])
+    assert html_density.extract(f"<body><article>{parts}</article><div class=cookie-notice>We use cookies</div></body>") == want
+    assert html_density.extract(f"<body><form action=x><input><article>{parts}</article></form><form><p>Your name</p></form></body>") == want
+    page = f"<body><form><nav>menu</nav><div>{wrap(a)}</div></form><div class=comments>{wrap(b[:1])}</div><section id=comments>{wrap(c[:1])}</section></body>"
+    assert html_density.extract(page) == " ".join(a)
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<div><script>x", ""), ("a < b & c", "a < b & c"), ("<b>x</b>y", "xy"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html_density.extract(page) == text

@@ -1,7 +1,9 @@
 """HTML extraction (op 7) by composite text density.
 
-A page is read once into a tree. Elements that are no article text by their kind (menus, headers of the page, footers, forms,
-scripts and so on), or by the words in their class, id and role, are cut off. For every other node: C characters, T tags
+A page is read once into a tree. Elements that are no article text by their kind (menus, headers of the page, footers,
+scripts and so on), or by clear words in their class, id and role, are cut off; a heading isn't cut by its id. Words in
+``UNCLEAR``, and those of a section's id, count only if a class or id has no others but marks and ``PLAIN`` ones, and cut only what is mostly links, or
+stands outside every article and doesn't hold the core. A form is cut unless it holds the core. For every other node: C characters, T tags
 below, LC characters in links, LT links; with the body's C and LC
 
     density = C / T * log(C * T / (LC * LT)) / (1 + log(log(C * LC / (C - LC) + LC_body * C / C_body + e)))
@@ -36,13 +38,14 @@ from tidemark.llm.storage import prepare
 # HTML's elements by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript".split())
-CUT = frozenset("nav header footer aside form script style textarea title head noscript iframe noembed noframes template svg math canvas object audio video select button input fieldset dialog menu".split())
+CUT = frozenset("nav header footer aside script style textarea title head noscript iframe noembed noframes template svg math canvas object audio video select button input fieldset dialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
 ENDS_P = BLOCKS - frozenset("br caption dd dt legend li option optgroup tbody td tfoot th thead tr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INSIDE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 # Words in a class, id or role that mark what is no article text.
 MARKS = frozenset(
@@ -52,34 +55,49 @@ MARKS = frozenset(
     "share sharing social related recommended recommendations pagination pager widget widgets complementary contentinfo search "
     "copyright legal disclaimer skip".split()
 )
+# Of these, words that articles use of themselves as well.
+UNCLEAR = frozenset(
+    "discussion related recommended recommendations search legal notice notices alert social share sharing copyright promotion rail skip respond consent disclaimer".split()
+)
+# Beside unclear words these leave a name as it is.
+PLAIN = frozenset("site page main global top bottom left right box bar block list area container wrapper wrap panel links link buttons button".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "links", "density", "total", "best", "titled")
+    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "links", "density", "total", "best", "titled", "doubt")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.cut, self.items = tag, parent, cut, []
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
-        self.best, self.titled = self, tag == "h1"
+        self.best, self.titled, self.doubt = self, tag == "h1", ""
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """No article text by its kind, or by the words of its attributes."""
+def _marked(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
+    """Whether it is no article text by its kind or clear names, and why it may be none: "form", "in" or "out" of an article."""
     if tag in CUT:
-        return tag != "header" or not inside  # an article's own header holds its title
-    if tag in ("html", "body", "article", "main", "h1") or not attributes.strip():
-        return False
+        return tag != "header" or not inside, ""  # an article's own header holds its title
+    doubt = "form" if tag == "form" else ""
+    if tag in ("html", "body", "article", "main", "h1"):
+        return False, ""
     for name, *values in _NAMED.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name != "hidden" and not MARKS.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())):
-            return True
-    return False
+        value, name = "".join(values), name.lower()
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, ""
+        if name in ("hidden", "aria-hidden") or name == "id" and tag in HEADINGS:
+            continue
+        for part in value.split():
+            words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", part).lower()))
+            marks = words & MARKS
+            clear = not marks <= UNCLEAR and not (name == "id" and tag == "section")
+            if clear or name == "role" and part.lower() in MARKS:
+                return True, ""
+            if marks and tag not in HEADINGS and words <= MARKS | PLAIN:
+                doubt = doubt or ("in" if inside else "out")
+    return False, doubt
 
 
 def parse(page: str) -> Node:
@@ -109,7 +127,9 @@ def parse(page: str) -> Node:
             continue
         if tag in ENDS_P or tag in INSIDE:
             open_ = _close(open_, body, tag)
-        node = Node(tag, open_, open_.cut or _marked(tag, m[3], articles > 0))
+        cut, doubt = _marked(tag, m[3], articles > 0)
+        node = Node(tag, open_, open_.cut or cut)
+        node.doubt = doubt
         if not node.cut:
             open_.items.append(node)
         if tag in RAW:
@@ -149,6 +169,8 @@ def _order(body: Node) -> list[Node]:
 def measure(body: Node) -> list[Node]:
     nodes = _order(body)
     for node in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.links = 0
+        node.density = 0.0
         for x in node.items:
             if isinstance(x, Node):
                 node.chars += x.chars
@@ -175,9 +197,26 @@ def measure(body: Node) -> list[Node]:
     return nodes
 
 
+def _settle(body: Node, nodes: list[Node]) -> None:
+    """Cut what is doubtful by its names, or a form, as its links and the core's place tell."""
+    doubtful = [x for x in nodes if x.doubt]
+    if not doubtful:
+        return
+    path, node = set(), body.best if body.best.total else None
+    while node is not None:
+        path.add(node)
+        node = node.parent
+    # a page without any sum has no core to go by: its text stays, whatever holds it
+    gone = [x for x in doubtful if x not in path and (x.doubt == "in" and _linked(x) or x.doubt != "in" and (path or _linked(x)))]
+    for x in gone:
+        x.parent.items = [y for y in x.parent.items if y is not x]
+    if gone:
+        measure(body)
+
+
 def core(body: Node) -> list[Node | str]:
     """The nodes, and loose texts between them, that are the main text, in page order."""
-    measure(body)
+    _settle(body, measure(body))
     best = body.best
     if not best.total:
         return [body]
