@@ -185,3 +185,18 @@ def test_streams(spark, tmp_path):
     attempts = spark.readStream.schema("topic string, at double, ok boolean").parquet(str(tmp_path / "at"))
     ev.run_once(ev.retry_state(attempts), lambda df, _: seen.extend(df.collect()), str(tmp_path / "c2"), "update")
     assert {(r.topic, r.retry_count, r.next_retry_at, r.done) for r in seen} == {("t", 2, 1100.0, False), ("u", 0, 0.0, True)}
+
+
+def test_simhash_neighbours_are_all_pairs_and_members(spark, tmp_path):
+    from tidemark.operators import dedupe
+    from tidemark.plans import catalog
+
+    hashes = [0] + [1 << i for i in range(30)]
+    rows = spark.createDataFrame(list(enumerate(hashes)), "id long, simhash long")
+    got = {(r.id, r.other, r.distance) for r in dedupe.simhash_neighbours(rows, rows).collect()}
+    assert got == {(i, j, (a ^ b).bit_count()) for i, a in enumerate(hashes) for j, b in enumerate(hashes) if i != j}
+    texts = ["the same words here again"] * 25 + ["quite another text about boats"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = catalog.queries()["simhash_neighbours"](spark, str(tmp_path)).filter("member").collect()
+    assert {(r.id, r.other, r.distance) for r in out} == {(i, 0, 0) for i in range(1, 25)}

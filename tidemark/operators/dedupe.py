@@ -92,14 +92,17 @@ def compare(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumns({"action": action, "keep": kept}).drop("_a", "_b", "_na", "_nb", "_ga", "_gb", "_s", "_c")
 
 
-def simhash_neighbours(rows: DataFrame, others: DataFrame, key: str = "id", h: str = "simhash", limit: int = 20, distance: int = 3) -> DataFrame:
-    """key, other and distance: the nearest rows of ``others``, whose top 16 bits differ by two at most.
+def simhash_neighbours(rows: DataFrame, others: DataFrame, key: str = "id", h: str = "simhash", limit: int | None = None, distance: int = 3) -> DataFrame:
+    """key, other and distance: the rows of ``others`` within the distance, whose top 16 bits differ by two at most.
 
+    With a limit, the nearest ones only, and their rank.
     Each row is sent to the 137 buckets around its own; an equi-join on the bucket finds the rest.
     """
     probe = rows.select(F.col(key), F.col(h).alias("_h"), F.explode(F.array(*[F.lit(m) for m in BALL])).alias("_m")).withColumn("_b", F.col("_m").bitwiseXOR(simhash_bucket(F.col("_h"))))
     index = others.select(F.col(key).alias("other"), F.col(h).alias("_g")).withColumn("_b", simhash_bucket(F.col("_g")))
     near = probe.join(index, "_b").filter(F.col(key) != F.col("other")).withColumn("distance", hamming(F.col("_h"), F.col("_g"))).filter(F.col("distance") <= distance)
+    if limit is None:
+        return near.select(key, "other", "distance")
     w = Window.partitionBy(key).orderBy("distance", F.desc("other"))
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select(key, "other", "distance", "rank")
 
@@ -136,7 +139,7 @@ def find_duplicate(candidates: DataFrame, facts: DataFrame, same_title: int = 6)
     asked = candidates.select("cid", tx.comparable(F.col("title")).alias("_t"), F.col("answer").alias("_new"))
     w = Window.partitionBy("cid").orderBy(F.desc("confidence"), F.desc("_u"), "id")
     own = asked.join(titled, "_t").withColumn("_seq", F.row_number().over(w)).filter(F.col("_seq") <= same_title)
-    near = simhash_neighbours(candidates.select(F.col("cid").alias("id"), "simhash"), facts.select("id", "simhash"))
+    near = simhash_neighbours(candidates.select(F.col("cid").alias("id"), "simhash"), facts.select("id", "simhash"), limit=20)
     near = near.select(F.col("id").alias("cid"), F.col("other").alias("id"), (F.col("rank") + 1000).alias("_seq"))
     near = near.join(titled.select("id", "_old", F.col("_t").alias("_u2")), "id").join(asked.select("cid", "_new", "_t"), "cid").filter("_t <> _u2")
     every = compare(own.select("cid", "id", "_seq", "_old", "_new").unionByName(near.select("cid", "id", "_seq", "_old", "_new")), "_old", "_new")

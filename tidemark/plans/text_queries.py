@@ -150,8 +150,12 @@ def simhash64(spark, d):
 
 @register("simhash_neighbours")
 def simhash_neighbours(spark, d):
-    rows = simhash64(spark, d).filter("simhash <> 0").groupBy("simhash").agg(F.min("doc_id").alias("id"))
-    return dedupe.simhash_neighbours(rows, rows)
+    """Pairs of different fingerprints by their smallest documents, and as members the other documents with that document's fingerprint."""
+    hashed = simhash64(spark, d).filter("simhash <> 0")
+    rows = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"))
+    pairs = dedupe.simhash_neighbours(rows, rows).withColumn("member", F.lit(False))
+    members = hashed.join(rows, "simhash").filter("doc_id <> id").select(F.col("doc_id").alias("id"), F.col("id").alias("other"), F.lit(0).alias("distance"), F.lit(True).alias("member"))
+    return pairs.unionByName(members)
 
 
 @register("grounded")
