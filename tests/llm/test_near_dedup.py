@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from tidemark.llm import near_dedup
 from tidemark.llm.components import components
@@ -74,16 +75,68 @@ def test_odd_rows(spark):
     assert near_dedup.link_documents(docs.limit(0)).count() == 0
 
 
-def test_shared_counts():
-    rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 12000, n).astype(np.uint64)) for n in (0, 1, 5000, 9000, 300)]
-    got = near_dedup._shared(sets)
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets):
-            assert i == j or got[i, j] == len(np.intersect1d(a, b))
+def components_of_sets(sets):
+    """Exact components, by a product of 0/1 matrices."""
+    words = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(words)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [words[x] for x in s]] = 1
+    shared, n = m @ m.T, m.sum(1)
+    linked = 100 * shared >= 85 * (n[:, None] + n - shared)
+    top = list(range(len(sets)))
+
+    def find(a):
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        return a
+
+    for a, b in zip(*np.nonzero(np.triu(linked, 1)), strict=True):
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    return [find(a) for a in range(len(sets))]
+
+
+@pytest.mark.parametrize(("part", "middle"), [(200, 64), (17, 3)])
+def test_crowds_around_the_threshold(spark, monkeypatch, part, middle):
+    monkeypatch.setattr(near_dedup, "PART", part)
+    monkeypatch.setattr(near_dedup, "MIDDLE", middle)
+    rng, texts = random.Random(part), []
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for size, crowd, edits in ((120, 900, (1, 2, 2, 3)), (60, 200, (0, 1, 1, 2)), (300, 300, (2, 4, 6, 8, 9))):
+        base = [word() for _ in range(size)]
+        for _ in range(crowd):
+            t = base.copy()
+            for _ in range(rng.choice(edits)):
+                at = rng.randrange(len(t))
+                t[at : at + rng.choice([0, 1, 1, 2])] = [word() for _ in range(rng.choice([0, 1, 1, 2]))]
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    got = near_dedup.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = components_of_sets([sets_of(t) for t in texts])
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+    assert 20 < len(set(want)) < len(texts) - 300
 
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in components(links, Workspace(spark, "test")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_components_of_many_shapes(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(3000), rng.randrange(3000)) for _ in range(2600)] + [(9000, 9000 + i) for i in range(500)] + [(9500 - i, 9501 - i) for i in range(60)]
+    top = {x: x for pair in links for x in pair}
+
+    def find(a):
+        while top[a] != a:
+            top[a] = a = top[top[a]]
+        return a
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "test")).collect()}
+    alone = {a for a, b in links if a == b} - {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in top if x not in alone}
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), Workspace(spark, "test")).count() == 0

@@ -1,7 +1,11 @@
-"""Connected components of a table of links, without collecting anything.
+"""Connected components of a table of links, by contraction, without collecting anything.
 
-Each round takes the smallest label among a node and its neighbours, then jumps to that label's own label, so that the
-rounds grow with the logarithm of a chain's length. Every round is a written table, which cuts the lineage.
+Each round maps every node to the smallest of itself and its neighbours, follows that map to its ends by squaring it, and rewrites
+the links between the ends; links within one end are dropped and equal ones merged. Of two neighbours one is no end, so
+the nodes that are left halve at least, and a crowd around few nodes is gone after one round. The rounds' maps, joined one after the
+other, give the labels. Every round is a written table, which cuts the lineage. A join gives a row a link or a row a node.
+
+Edge cases: links of a node with itself and repeated links count for nothing; null ends are left out; no links give no labels.
 """
 
 from __future__ import annotations
@@ -12,23 +16,43 @@ from pyspark.sql import functions as F
 from tidemark.llm.storage import Workspace
 
 
+def _squared(hops: DataFrame) -> DataFrame:
+    """A map (node, up) applied to its own result."""
+    far = hops.select(F.col("node").alias("up"), F.col("up").alias("far"))
+    return hops.join(far, "up").select("node", F.col("far").alias("up"))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
+
+
 def components(links: DataFrame, work: Workspace, name: str = "labels") -> DataFrame:
-    """node and label, the smallest node that can be reached, for all nodes of links (a, b)."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))).filter("node <> to").distinct()
-    both = work.write(both, f"{name}-edges")
-    labels = both.groupBy("node").agg(F.min("to").alias("label")).withColumn("label", F.least("node", "label"))
-    labels = work.write(labels.withColumn("moved", F.lit(True)), f"{name}-0")
-    i = 0
-    while True:
-        own = labels.select("node", "label")
-        near = both.join(own.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        low = own.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = own.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
-        new = new.select("node", "label", (F.col("label") != F.col("old")).alias("moved"))
-        i += 1
-        labels = work.write(new, f"{name}-{i}")
-        work.drop(f"{name}-{i - 1}")
-        if labels.filter("moved").isEmpty():
-            work.drop(f"{name}-edges")
-            return labels.select("node", "label")
+    """node and label, the smallest node that can be reached, for all nodes of links (a, b) between different nodes."""
+    left = work.write(_ends(links), f"{name}-links-0")
+    labels = None
+    rounds = 0
+    while not left.isEmpty():
+        low = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        own = left.select(F.col("a").alias("node"), F.col("a").alias("up")).distinct()
+        up = work.write(low.unionByName(own).groupBy("node").agg(F.min("up").alias("up")), f"{name}-map-{rounds}-0")
+        hops = 0
+        while True:
+            more = _squared(_squared(up)).withColumnRenamed("up", "end").join(up, "node")
+            hops += 1
+            more = work.write(more.select("node", F.col("end").alias("up"), (F.col("end") != F.col("up")).alias("moved")), f"{name}-map-{rounds}-{hops}")
+            work.drop(f"{name}-map-{rounds}-{hops - 1}")
+            up = more.select("node", "up")
+            if more.filter("moved").isEmpty():
+                break
+        a, b = (up.select(F.col("node").alias(x), F.col("up").alias(f"_{x}")) for x in "ab")
+        new = work.write(_ends(left.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))), f"{name}-links-{rounds + 1}")
+        work.drop(f"{name}-links-{rounds}")
+        if labels is None:
+            labels = work.write(up.withColumnRenamed("up", "label"), f"{name}-0")
+        else:
+            far = up.select(F.col("node").alias("label"), F.col("up").alias("far"))
+            labels = work.write(labels.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")), f"{name}-{rounds}")
+            work.drop(f"{name}-{rounds - 1}")
+        work.drop(f"{name}-map-{rounds}-{hops}")
+        left, rounds = new, rounds + 1
+    return left.select(F.col("a").alias("node"), F.col("b").alias("label")) if labels is None else labels

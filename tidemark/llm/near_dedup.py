@@ -7,18 +7,28 @@ collection. So KEYS * KEYS tables of 2 * HASHES minhashes each cost 2 * KEYS * H
 
 1. One pass over the texts writes a row per document: set size, two 64-bit set hashes, the two collections.
 2. Documents with equal sets become one node, so that groups of copies cost one row. Counts are merged before dealing.
-3. Nodes are dealt out by table key. In a bucket, sorted by set size, a node is paired with the first and with the one
-   before it: two pairs a member, never all pairs of a group.
-4. Pairs are confirmed on the full sets of their texts, and links are joined to components.
-5. Rest: buckets whose members are still in different components may hold further links. Their components are joined to
-   clusters (each to the bucket's smallest), a cluster is cut into parts of ``PART`` nodes in
-   order of component, and each two parts that hold different components are compared in full: exact intersections of all
-   sets at once, as products of 0/1 matrices. What leaves are the few links that join a block's components. So no link of a bucket is
-   missed, nothing of the size of a group's pairs is ever made, and a task holds two parts.
+3. Nodes are counted by table key. In a bucket of two nodes or more each is paired with the bucket's first one by set size:
+   a pair a member, never all pairs of a group. Pairs are confirmed on the full sets of their texts, and links are joined to
+   components.
+4. Rest: buckets whose members are still in different components may hold further links. They are joined to clusters
+   (each component to the bucket's smallest), and in each cluster the links between components are found exactly, whatever its
+   size: see ``_parts_of_cluster``.
+
+The rest's join. For a set R, let a member A have r = |R - A| and a = |A - R|, w = 100 r + 85 a, and D = (R - A) + (A - R). For two
+members, |A & B| = |R| - r_A - r_B + |D_A & D_B|, so the two are linked just if
+
+    w_A + w_B - 185 |D_A & D_B| <= 15 |R|
+
+R is the middle of a cluster, so D is small where a crowd stands around one text. Two members whose w alone are small enough are
+both linked with the member of least w, which is compared with all. All others must share t = (w_A + w_B - 15 |R|) / 185
+elements of D or more, so among the first |D| - t + 1 of each in one order of all elements some are shared. They meet in an equi-join
+on these, with the least w that a partner can have for t: for the smaller one its own, for the larger one 0. The order puts what
+few members have first, and the places in it bound what a pair can still share, so that texts that have just the crowd's common
+part in common hardly ever meet. R and the order are taken from ``MIDDLE`` members at most: they decide what is compared, never what is found.
 
 Edge cases: null, empty and blank texts have size 0 and are linked with nothing; a null doc_id is linked with nothing,
 has a null component and is kept. Fewer than five words are one shingle. Rows that share a doc_id are one node where that id
-is the smallest of its group. Extra columns pass through ``keep_first``. An empty table gives an empty one.
+is the smallest of its group. Extra columns, of any names, pass through ``keep_first``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,18 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import Workspace, prepare
+from tidemark.llm.storage import Workspace, prepare, spare
 from tidemark.llm.words import blocks, mix
 
 SHINGLE, KEYS, HASHES = 5, 8, 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Nodes of a part of a cluster, and columns of a matrix.
-PART, COLUMNS = 200, 4096
+#: Members and bytes of text of a part of a cluster, and members that give a cluster's middle.
+PART, PART_BYTES, MIDDLE = 200, 8_000_000, 64
 #: Up to so many ids, the texts to confirm are picked by a broadcast of the ids (8 bytes each), beyond by a shuffle.
 PICK_IDS = 500_000
 
@@ -104,45 +115,51 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many members each two sets share: products of 0/1 matrices, some thousand columns at a time."""
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, common = np.repeat(np.arange(len(sets)), sizes), count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    row, column = row[common], number[column[common]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        a, b = np.searchsorted(column, (at, at + COLUMNS))
-        part = np.zeros((len(sets), COLUMNS), np.float32)
-        part[row[a:b], column[a:b] - at] = 1
-        out += part @ part.T
-    return out
-
-
-def _links_of_block(table: pa.Table) -> pa.Table:
-    """Links between components of the block, as few as join what the block's links join."""
-    labels = table.column("label").to_numpy()
-    sets = [s for _, part in _sets(table.column("text")) for s in part]
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    shared = _shared(sets).astype(np.int64)
-    linked = (100 * shared >= PERCENT * (sizes[:, None] + sizes - shared)) & (labels[:, None] < labels) & (shared > 0)
-    top = {x: x for x in labels.tolist()}
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        return x
-
-    out = []
-    for x, y in zip(*(labels[i].tolist() for i in np.nonzero(linked)), strict=True):
-        a, b = find(x), find(y)
-        if a != b:
-            top[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+def _middle(table: pa.Table) -> pa.Table:
+    """Of some members of a cluster: what a quarter of them or more have, in order of how many differ in it, and which of that half of them have."""
+    sets = [x for _, part in _sets(table.column("text")) for x in part]
+    every, count = np.unique(np.concatenate(sets), return_counts=True)
+    common = 4 * count > len(sets)
+    every, count = every[common], count[common]
+    order = np.argsort(np.minimum(count, len(sets) - count), kind="stable")
+    half = (2 * count > len(sets))[order]
+    return pa.table({"cluster": table.column("cluster").slice(0, 1), "common": pa.array([every[order].tobytes()], pa.binary()), "half": pa.array([np.packbits(half).tobytes()], pa.binary())})
+
+
+_PREFIX = "cluster long, node long, label long, w long, size long, middle long, place int, element long, indexed boolean"
+
+
+def _parts_of_cluster(members: pa.Table, middle: pa.Table) -> pa.Table:
+    """For each member of a part, the elements of its difference from the middle by which it may meet others."""
+    common = np.frombuffer(middle.column("common")[0].as_py(), np.uint64)
+    half = np.unpackbits(np.frombuffer(middle.column("half")[0].as_py(), np.uint8), count=len(common)).astype(bool)
+    center, place = np.sort(common[half]), np.argsort(common)
+    known, n = common[place], len(center)
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    nodes, labels = members.column("node").to_numpy(), members.column("label").to_numpy()
+    sets = [x for _, part in _sets(members.column("text")) for x in part]
+    for node, label, own in zip(nodes, labels, sets, strict=True):
+        lacks, more = np.setdiff1d(center, own, assume_unique=True), np.setdiff1d(own, center, assume_unique=True)
+        w, size = 100 * len(lacks) + 85 * len(more), len(lacks) + len(more)
+        # one order for all members: elements outside the common ones by hash, then the common ones as given; an element that
+        # one member lacks and another has beyond the middle can't be, so a plain hash names it
+        diff = np.concatenate([lacks, more])
+        at = np.searchsorted(known, diff)
+        at[at == len(known)] = 0
+        listed = known[at] == diff if len(known) else np.zeros(len(diff), bool)
+        rank = np.where(listed, place[at] + 1 if len(known) else 0, 0)
+        diff = diff[np.lexsort((diff, rank))]
+        probe = min(size, size - max(1, -(-(w - 15 * n) // 185)) + 1)
+        index = min(size, size - max(1, -(-(2 * w - 15 * n) // 185)) + 1)
+        # a member without any difference meets others by its least w only; it has one row all the same
+        k = max(1, probe)
+        for c, x in zip(columns, (np.full(k, node), np.full(k, label), np.full(k, w), np.full(k, size), np.arange(k), diff[:k].view(np.int64) if probe > 0 else np.zeros(1, np.int64), np.arange(k) < index), strict=True):
+            c.append(x)
+    got = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
+    cluster = np.full(len(got[0]), members.column("cluster")[0].as_py() if len(members) else 0)
+    arrays = [pa.array(x, pa.int64()) for x in (cluster, *got[:4], np.full(len(cluster), n))]
+    usable = pa.array(got[3].astype(np.int64) > 0)
+    return pa.Table.from_arrays([*arrays, pa.array(got[4], pa.int32()), pa.array(got[5], pa.int64()), pa.compute.and_(pa.array(got[6].astype(bool)), usable)], names=[x.split()[0] for x in _PREFIX.split(", ")])
 
 
 def _fits(n: str, m: str):
@@ -150,6 +167,38 @@ def _fits(n: str, m: str):
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _rest(open_: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+    """a and b that may be linked, of different components, for all links within the open buckets."""
+    chain = open_.select(F.col("low").alias("a"), F.col("label").alias("b"))
+    clusters = components(chain, work, "clusters").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
+    members = open_.select("node", "label").distinct().join(clusters, "label")
+    members = members.join(texts.select(F.col("doc_id").alias("node"), F.octet_length("text").alias("bytes")), "node")
+    members = work.write(members.select("cluster", "node", "label", "bytes"), "members")
+    # a cluster of two nodes is a bucket of two, whose pair has been looked at
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).filter("n > 2")
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES)).cast("int")
+    sizes = work.write(sizes.select("cluster", parts.alias("parts")), "sizes")
+    dealt = members.join(sizes, "cluster").select("cluster", "node", "label", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    some = dealt.groupBy("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(MIDDLE)).alias("_i")).agg(F.min("node").alias("node"))
+    told = texts.select(F.col("doc_id").alias("node"), "text")
+    middles = some.select("cluster", "node").join(told, "node").groupBy("cluster").applyInArrow(_middle, "cluster long, common binary, half binary")
+    middles = middles.join(sizes, "cluster").select("cluster", "common", "half", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(told, "node").groupBy("cluster", "part").cogroup(middles.groupBy("cluster", "part"))
+    prefix = work.write(both.applyInArrow(_parts_of_cluster, _PREFIX), "prefixes")
+
+    x = prefix.select("cluster", "element", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "w", "size", "place")), "middle")
+    y = prefix.filter("indexed").select("cluster", "element", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "w", "size", "place")))
+    can_share = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+    first = (F.col("w_y") < F.col("w_x")) | ((F.col("w_y") == F.col("w_x")) & (F.col("node_y") < F.col("node_x")))
+    enough = F.col("w_x") + F.col("w_y") - 185 * can_share <= 15 * F.col("middle")
+    met = x.filter("size_x > 0").join(y, (x.cluster == y.cluster) & (x.element == y.element) & first & (F.col("label_x") != F.col("label_y")) & enough)
+    pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
+    own = prefix.filter("place = 0").select("cluster", "node", "label", "w", "middle")
+    least = own.groupBy("cluster").agg(F.min(F.struct("w", "node", "label")).alias("l"))
+    near = own.join(least, "cluster").filter("w + l.w <= 15 * middle AND label <> l.label")
+    return pairs.unionByName(near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))).distinct()
+
+
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept: a row for each of docs."""
     spark = docs.sparkSession
@@ -162,9 +211,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     tables = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y))))
     dealt = nodes.select("node", "n", F.explode(tables).alias("key"))
-    bucket = Window.partitionBy("key").orderBy("n", "node")
-    met = dealt.withColumns({"before": F.lag("node").over(bucket), "after": F.lead("node").over(bucket)}).filter("before IS NOT NULL OR after IS NOT NULL")
-    buckets = work.write(met.select("key", "node", "n"), "buckets")
+    # a key's count and first node, summed before they are dealt; few keys have two nodes
+    shared = dealt.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("n", "node")).alias("first")).filter("members > 1")
+    buckets = work.write(dealt.join(shared, "key").select("key", "node", "n", "first"), "buckets")
 
     ids = work.write(buckets.select("node").distinct(), "ids")
     picked = F.broadcast(ids) if ids.count() <= PICK_IDS else ids
@@ -175,32 +224,23 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return work.write(two.select("a", "text_a", "b", "text_b").mapInArrow(_confirm, "a long, b long"), name)
 
-    row = F.struct("node", "n")
-    shown = buckets.withColumns({"first": F.first(row).over(bucket), "before": F.lag(row).over(bucket)}).filter("before IS NOT NULL")
-    near = shown.select("node", "n", F.explode(F.array_distinct(F.array("first", "before"))).alias("x")).filter(_fits("n", "x.n"))
-    pairs = work.write(near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).filter("a < b").distinct(), "pairs")
-    links = confirmed(pairs, "links")
+    near = buckets.filter(_fits("n", "first.n")).select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
+    links = confirmed(work.write(near.filter("a < b").distinct(), "pairs"), "links")
     labels = components(links, work)
 
-    placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    placed = work.write(buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "placed")
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "low")
-    open_ = work.write(placed.join(split, "key"), "open")
-    chain = work.write(open_.select(F.col("low").alias("a"), F.col("label").alias("b")).filter("a < b").distinct(), "chain")
-    if not chain.isEmpty():
-        clusters = components(chain, work, "clusters").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
-        members = open_.select("node", "n", "label").distinct().join(clusters, "label")
-        place = F.row_number().over(Window.partitionBy("cluster").orderBy("label", "n", "node"))
-        members = work.write(members.select("cluster", "node", "label", F.floor((place - 1) / PART).cast("int").alias("part")), "members")
-        parts = members.groupBy("cluster", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        two = parts.select("cluster", F.col("part").alias("q"), F.col("low").alias("low_q"), F.col("high").alias("high_q"))
-        blocks_ = parts.withColumnRenamed("part", "p").join(two, "cluster").filter("p <= q AND least(low, low_q) < greatest(high, high_q)").select("cluster", "p", "q")
-        dealt = members.join(blocks_.select("cluster", "p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("part")), ["cluster", "part"])
-        full = dealt.join(texts.select(F.col("doc_id").alias("node"), "text"), "node").select("cluster", "p", "q", "node", "label", "text")
-        more = work.write(full.groupBy("cluster", "p", "q").applyInArrow(_links_of_block, "a long, b long"), "more-links")
-        if not more.isEmpty():
-            joined = components(more, work, "joined").select(F.col("node").alias("label"), F.col("label").alias("_joined"))
-            every = labels.unionByName(members.select("node", "label")).distinct()
-            labels = every.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
+    open_ = work.write(placed.join(split, "key").select("node", "label", "low").distinct(), "open")
+    if not open_.isEmpty():
+        more = confirmed(work.write(_rest(open_, texts, work), "rest-pairs"), "rest-links")
+        named = open_.select("node", "label").distinct()
+        a, b = (named.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
+        joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), work, "joined")
+        joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_joined"))
+        every = labels.unionByName(named).distinct()
+        labels = every.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
+    labels = work.write(labels, "node-labels")
+    work.drop("texts", "buckets", "placed", "open", "pairs", "ids", "prefixes", "members")
 
     named = nodes.select("h1", "h2", F.col("n"), "node").join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
     alone = signed.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -210,8 +250,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that a smaller doc_id of their component stands for."""
-    gone = link_documents(docs, key, text).filter("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    (name,) = spare(docs.columns, "gone")
+    gone = link_documents(docs, key, text).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[key] == gone[name], "left_anti")
 
 
 def query(spark, sf_dir):
