@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import chat_preference, license_scan, line_dedup, quality_rules
 
@@ -55,11 +56,87 @@ def test_quality_counts_are_those_of_a_plain_count(spark):
     assert quality_rules.judge(rows(spark, [])).count() == 0
 
 
+CLASH = ("_words", "_lines", "_w", "_s", "_p", "_counts", "_row", "_text", "_host", "_key", "_page", "_gone", "_hash", "_at", "_line", "n_lines", "n_words", "word_chars", "kept", "failed", "gone", "_gone_", "node", "text_a", "component_id", "length", "part", "a.b")
+
+
+def clashing(spark, data):
+    """Rows of doc_id, text, source and a column for each name that an operator uses within."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()), *(T.StructField(c, T.StringType()) for c in CLASH)])
+    return spark.createDataFrame([(*x, *(f"{c}-{i}" for c in CLASH)) for i, x in enumerate(data)], schema)
+
+
 def test_quality_keeps_columns(spark):
-    data = [(1, TEXTS[6], "s", "mine", 5), (2, "short", "s", "mine", 5)]
-    got = quality_rules.keep(rows(spark, data))
-    assert got.columns == ["doc_id", "text", "source", "n_words", "_host"]
-    assert [r.doc_id for r in got.collect()] == [1]
+    docs = clashing(spark, [(1, TEXTS[6], "s"), (2, "short", "s"), (None, TEXTS[6], None)])
+    got = quality_rules.keep(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [tuple(r) for r in docs.collect() if r.doc_id != 2]
+    judged = quality_rules.judge(docs)
+    assert set(quality_rules.ADDED) <= set(judged.columns) and "_words" in judged.columns and judged.first()["n_lines"] == "n_lines-0"
+
+
+def test_lines_keep_columns(spark):
+    docs = clashing(spark, [(i, f"menu\nown {i}", "a") for i in range(30)] + [(None, None, None)])
+    got = line_dedup.drop_lines(docs, F.col("source"), counts=None)
+    assert got.columns == docs.columns
+    want = sorted(str((*r[:1], r[1] and r[1].removeprefix("menu\n"), *r[2:])) for r in docs.collect())
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
+    counted = line_dedup.drop_lines(docs, F.col("source"), counts=("n_lines", "kept"))
+    assert counted.columns == [c for c in docs.columns if c not in ("n_lines", "kept")] + ["n_lines", "kept"]
+    assert {(r.n_lines, r.kept) for r in counted.filter("source = 'a'").collect()} == {(2, 1)}
+
+
+def test_licences_keep_columns(spark):
+    docs = clashing(spark, [(1, "mit license", "s")])
+    got = license_scan.scan(docs)
+    assert [c for c in got.columns if c not in license_scan.ADDED] == [c for c in docs.columns if c not in license_scan.ADDED]
+    assert got.first()["_words"] == "_words-0" and got.first()["n_words"] == 2
+
+
+def test_long_texts(spark):
+    """One text of a million words, or of as many lines, takes no more than its row."""
+    many = " ".join(f"w{i} the" for i in range(500_000))
+    docs = rows(spark, [(1, many + " mit license", "s", None, None), (2, "\n".join(["same", *(f"l{i}" for i in range(300_000)), "same"]), "s", None, None)])
+    got = {r.doc_id: r for r in quality_rules.judge(docs.drop("n_words")).select("doc_id", "n_words", "n_dup_lines", "n_repeat_words").collect()}
+    assert (got[1].n_words, got[1].n_repeat_words, got[2].n_dup_lines) == (1_000_002, 0, 1)
+    found = {r.doc_id: (r.n_words, r.n_base, r.first_word) for r in license_scan.scan(docs).collect()}
+    assert found[1] == (1_000_002, 1, 1_000_000)
+    lines = line_dedup.drop_lines(docs, F.col("source"), min_pages=2, min_host_pages=1)
+    assert {r.doc_id: r._n_dropped for r in lines.select("doc_id", "_n_dropped").collect()} == {1: 0, 2: 0}
+
+
+def licence_places(text):
+    """Labels, base places and score, word by word."""
+    w = [x for x in re.split(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    labels, base, score = set(), [], 0.0
+    for t, (label, template, start, n) in enumerate(license_scan.TEMPLATES):
+        words = template.split()
+        rare = [at for k, _, at in license_scan.INDEX if k == t]
+        for at in range(len(w)):
+            here = [at + i < len(w) and w[at + i] == x for i, x in enumerate(words)]
+            if all(here[start : start + n]) and sum(here[i] for i in rare) >= license_scan.VOTES:
+                labels.add(label)
+                if t < license_scan.BASE:
+                    base.append(at)
+                score = max(score, sum(license_scan.IDF[x] for x, ok in zip(words, here, strict=True) if ok) / sum(license_scan.IDF[x] for x in words))
+    return len(w), len(base), min(base, default=None), max(base, default=None), ",".join(sorted(labels)), round(score, 4)
+
+
+def test_licences_equal_brute_force(spark):
+    import random
+
+    rng, texts = random.Random(2), []
+    for _, template, *_ in license_scan.TEMPLATES:
+        w = template.split()
+        for share in (0, 0.05, 0.2, 0.5):
+            changed = [rng.choice(["x", "the", "license", x]) if rng.random() < share else x for x in w]
+            texts.append(" ".join(["some", "words", "first", "of"] * rng.randrange(3) + changed + ["and", "more"]))
+        texts.append(template.upper().replace(" ", ", ") + " / " + template)
+        texts.append(" ".join(w[len(w) // 2 :]))
+    texts += [" ".join(rng.choices("gnu general public license apache cc by mit nc version 2 0 3".split(), k=200)) for _ in range(20)]
+    got = license_scan.scan(rows(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).orderBy("doc_id").collect()
+    for t, r in zip(texts, got, strict=True):
+        *counts, score = licence_places(t)
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.labels) == tuple(counts) and abs(r.score - score) < 2e-4, t
 
 
 def test_lines(spark):

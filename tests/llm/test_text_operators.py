@@ -1,7 +1,9 @@
 """Packing, substring dedup, decontamination, HTML and the classifier against brute force and planted cases."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -222,6 +224,91 @@ def test_names_and_forms_alone_cut_no_article_text():
     assert html_density.extract(page) == " ".join(a)
 
 
+def sentences(name, n=4):
+    return [f"Sentence {i} of {name}, which is as long as others of this text, and has a comma more." for i in range(n)]
+
+
+def paragraphs(lines):
+    return "".join(f"<p>{x}</p>" for x in lines)
+
+
+def test_several_articles_are_kept():
+    one, two, three = sentences("one", 6), sentences("two", 3), sentences("three", 2)
+    card = "<article class=teaser><a href=1>Another page to read</a></article>"
+    page = f"<body><div><article>{paragraphs(one)}</article><article>{paragraphs(two)}</article>{card}</div><div><p>Outside of it.</p></div></body>"
+    assert html_density.extract(page) == " ".join([*one, *two])
+    comments = f'<article class="comment-body">{paragraphs(three)}</article>'
+    assert html_density.extract(f"<body><article>{paragraphs(one)}</article>{comments}{comments}</body>") == " ".join(one)
+
+
+def test_what_stands_inside_an_article():
+    a, b, c, d, e = (sentences(x) for x in "abcde")
+    odd = f'<p class="social-science">{b[0]}</p><h2 id="search">Searching</h2><blockquote class="legal">{c[0]}</blockquote><div class="ad-hoc study">{paragraphs(d)}</div>'
+    odd += "<p>Here <math><mi>x</mi> = 5</math> holds.</p>"
+    gone = f'<div class="post-comments-area">{paragraphs(e)}</div><p class="advert">Buy now</p><section class="comments">{paragraphs(e)}</section><aside>{paragraphs(e)}</aside><footer>Tags</footer>'
+    page = f"<body><article><header class=entry-header><h1>Title</h1></header>{paragraphs(a)}{odd}{gone}</article></body>"
+    assert html_density.extract(page) == " ".join(["Title", *a, b[0], "Searching", c[0], *d, "Here x = 5 holds."])
+    main = f'<main><header class="masthead">MENU</header><header>Top</header><header><h1>Title</h1></header>{paragraphs(a)}</main>'
+    assert html_density.extract(f"<body>{main}</body>") == " ".join(["Title", *a])
+
+
+def test_short_neighbours_without_article():
+    a = sentences("text", 12)
+    page = f"<body><div id=c><p>An intro.</p><div>{paragraphs(a)}</div><div>That was all of it.</div><div><a href=1>More pages</a></div></div><div>© 2024 Firm.</div></body>"
+    assert html_density.extract(page) == " ".join(["An intro.", *a, "That was all of it."])
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a href='", '<p title="x>', "<!-- ", "</b>", "<b>", "<div>", "<div></x>", "<li>x", "<td>", "&amp;", '<a x=">" ', "<p><b>", "< ", "<i><p>"])
+def test_broken_markup_takes_linear_time(unit):
+    began = time.process_time()
+    html_density.extract(unit * (2_000_000 // len(unit)))
+    assert time.process_time() - began < 20
+
+
+def test_quotes_and_ends_of_tags():
+    assert html_density.extract("<p title=it's>one</p><p title='a > b'>two</p><p title=\"x>three</p>") == "one two three"
+    assert html_density.extract("a <b c & d") == "a <b c & d"
+
+
+def test_measures_equal_those_of_a_recursion():
+    rng = random.Random(7)
+
+    def page(depth):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            parts.append(rng.choice(["", "some words here, ", "x" * rng.randrange(60)]))
+            if depth:
+                tag = rng.choice(["div", "p", "a", "span", "section"])
+                parts.append(f"<{tag}>{page(depth - 1)}</{tag}>")
+        return "".join(parts)
+
+    def totals(node):
+        c = t = lc = lt = 0
+        for x in node.items:
+            if isinstance(x, str):
+                c += len(x) - x.count(" ")
+            else:
+                a, b, d, e = totals(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e
+        return (c, t, c, lt + 1) if node.tag == "a" else (c, t, lc, lt)
+
+    def density(node, share):
+        c, t, lc, lt = totals(node)
+        if not c:
+            return 0.0
+        base = math.log(math.log(c * lc / max(1, c - lc) + share * c + math.e) + 1e-9)
+        return c / max(1, t) * max(0.0, math.log(max(1.0, c * max(1, t) / (max(1, lc) * max(1, lt))))) / (1 + max(0.0, base))
+
+    for _ in range(60):
+        body = html_density.parse(page(4))
+        nodes = html_density.measure(body)
+        c, _, lc, _ = totals(body)
+        own = {x: density(x, lc / max(1, c)) for x in nodes}
+        sums = {x: sum(own[y] for y in x.items if not isinstance(y, str)) for x in nodes}
+        assert all(math.isclose(x.density, own[x], abs_tol=1e-9) and math.isclose(x.total, sums[x], abs_tol=1e-9) for x in nodes)
+        assert math.isclose(body.best.total, max(sums.values()), abs_tol=1e-9)
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a b"), ("<div><script>x", ""), ("a < b & c", "a < b & c"), ("<b>x</b>y", "xy"), ("<!-- <p>no</p> --><p>yes</p>", "yes"), ("<div>" * 3000 + "deep", "deep")])
 def test_odd_pages(page, text):
     assert html_density.extract(page) == text

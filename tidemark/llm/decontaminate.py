@@ -10,7 +10,8 @@ more. Pairs of document and item with an equal minimum are confirmed: all of the
 the item's.
 
 Documents are read in one pass without shuffle. The items' shingle hashes go to the tasks; their size is checked: beyond
-``PART_BYTES`` of item text, the items are searched in parts of about that size, each over all documents.
+``PART_BYTES`` of item text, the items are searched in parts of about that size, each over all documents, one part after the
+other: the driver holds one part at a time, and what a part finds is a written table.
 
 Edge cases: items of fewer than five words, null ones included, have no shingle of five words and are in nothing. Null and
 empty documents contain nothing. Equal items, and equal documents, are reported each. Extra columns pass through
@@ -20,6 +21,7 @@ empty documents contain nothing. Equal items, and equal documents, are reported
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.storage import prepare
+from tidemark.llm.storage import Workspace, prepare
 from tidemark.llm.words import Block, blocks
 
 SHINGLE, HASHES, TILE = 5, 48, 16
@@ -143,30 +145,33 @@ class Items:
                 yield r, item, shared
 
 
-def _parts(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
-    """The items, in parts of about PART_BYTES of text."""
-    rows = benchmark.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text IS NOT NULL")
+def _parts(benchmark: DataFrame, key: str, text: str) -> tuple[int, Iterator[Items]]:
+    """How many parts of about PART_BYTES of text the items have, and the parts, each made when it's asked for."""
+    rows = benchmark.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    for i in range(parts):
-        own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == i).orderBy("id", "text").collect()
-        ids, sets = [], []
-        for block in blocks(pa.array([r.text for r in own], pa.string()), lower=True):
-            hashes, places = block.windows(SHINGLE)
-            cuts = np.searchsorted(places, block.starts)
-            for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if b > a:
-                    ids.append(own[int(block.rows[j])].id)
-                    sets.append(np.unique(hashes[a:b]))
-        if ids:
+
+    def made() -> Iterator[Items]:
+        for i in range(parts):
+            own = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == i).orderBy("id", "text").collect()  # PART_BYTES or so
+            ids, sets = [], []
+            for block in blocks(pa.array([r.text for r in own], pa.string()), lower=True):
+                hashes, places = block.windows(SHINGLE)
+                cuts = np.searchsorted(places, block.starts)
+                for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                    if b > a:
+                        ids.append(own[int(block.rows[j])].id)
+                        sets.append(np.unique(hashes[a:b]))
             yield Items(ids, sets)
 
+    return parts, made()
+
 
 def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item key, n_shared, n_item and containment: a row for each document and item that it contains."""
     prepare(docs.sparkSession)
-    docs = docs.select(key, F.col(text).alias("_text"))
-    schema = T.StructType([docs.schema[key], benchmark.schema[item_key], T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())])
+    docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([docs.schema[0], benchmark.schema[item_key], T.StructField("n_shared", T.LongType()), T.StructField("n_item", T.LongType())])
 
     def pairs(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,10 +191,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     from pyspark.sql.pandas.types import to_arrow_type
 
     names, item_type = schema.names, to_arrow_type(schema[1].dataType)
-    out = docs.sparkSession.createDataFrame([], schema)
-    parts = [docs.mapInArrow(pairs(items), schema) for items in _parts(benchmark, item_key, item_text)]
-    for part in parts:
-        out = part if len(parts) == 1 else out.union(part)
+    n, parts = _parts(benchmark, item_key, item_text)
+    if n == 1:
+        out = docs.mapInArrow(pairs(next(parts)), schema)
+    else:
+        work = Workspace(docs.sparkSession, "items")
+        out = reduce(DataFrame.unionAll, [work.write(docs.mapInArrow(pairs(items), schema), f"part-{i}") for i, items in enumerate(parts)])
     return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
 
 
@@ -197,21 +204,30 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_k
     """docs without the rows that contain an item; no shuffle, as each row is judged where it is read."""
     prepare(docs.sparkSession)
 
+    place = docs.columns.index(text)
+
     def clean(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items.build()
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                for block in blocks(batch.column(text), lower=True):
+                for block in blocks(batch.column(0).field(place), lower=True):
                     for r, _, _ in items.search(block):
                         good[block.rows[r]] = False
                 yield batch.filter(pa.array(good))
 
         return run
 
-    for items in _parts(benchmark, item_key, item_text):
-        docs = docs.mapInArrow(clean(items), docs.schema)
-    return docs
+    n, parts = _parts(benchmark, item_key, item_text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # whatever the columns' names
+    if n == 1:
+        rows = rows.mapInArrow(clean(next(parts)), rows.schema)
+    else:
+        work = Workspace(docs.sparkSession, "clean")
+        for i, items in enumerate(parts):
+            rows = work.write(rows.mapInArrow(clean(items), rows.schema), f"part-{i}")
+            work.drop(f"part-{i - 1}")
+    return rows.select("_row.*")
 
 
 def query(spark, sf_dir):

@@ -12,7 +12,7 @@ texts without shuffle, with ``2**BITS * (FACTORS + 1)`` numbers as the model.
 
 Edge cases: null and empty texts have only the bias and the statistics, and get a score. Without labels of both kinds the score is the
 share of label 1 (0.5 without labels). Null labels are no labels. Null keys are scored, held out if the fold says so of
-the empty text. Repeated rows are scored each; of a key with several labels each counts. An empty table gives an empty one.
+the empty text. Repeated rows are scored each; of a key with several labels each different one counts, of one with several documents the first text in order. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -164,7 +164,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     prepare(docs.sparkSession)
     picked = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_label")).filter(F.col("_label").isNotNull() & F.col("_key").isNotNull() & (fold(F.col("_key")) != 0))
     picked = picked.orderBy(F.xxhash64("_key"), "_key", "_label").limit(sample)
-    own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(picked), "_key")  # sample rows of 12 bytes
+    own = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).join(F.broadcast(picked.distinct()), "_key")  # sample rows of 12 bytes
+    # of documents that share a key one counts, so that what the driver gets is bounded by the sample
+    own = own.groupBy("_key", "_label").agg(F.min("_text").alias("_text"))
     got = own.select("_key", "_label", "_text").mapInArrow(_row_features, T.StructType([docs.schema[key].__class__("_key", docs.schema[key].dataType), T.StructField("_label", T.IntegerType()), T.StructField("number", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))]))
     table = got.toArrow().sort_by([("_key", "ascending"), ("_label", "ascending")])
     marks = table.column("_label").to_numpy().astype(np.float32)
@@ -175,8 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Key, held_out, score and predicted of each document."""
     prepare(docs.sparkSession)
-    own = docs.select(key, fold(F.col(key)).alias("_fold"), F.col(text).alias("_text"))
-    schema = T.StructType([docs.schema[key], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    own = docs.select(F.col(f"`{key}`"), fold(F.col(f"`{key}`")).alias("_fold"), F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([own.schema[0], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

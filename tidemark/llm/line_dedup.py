@@ -11,7 +11,8 @@ with their own places to drop.
 
 Edge cases: a null host is no site, so its rows stay as they are; null and empty texts stay too. Blank lines never count
 and are never dropped. A row's key is made of its id, host and text: equal rows count as a page each and lose the same
-lines. Input columns keep their names; only the text changes. An empty table gives an empty one.
+lines. Input columns, of any names, keep their names and values; only the text changes, and the two counts replace input columns of their
+names (``counts=None`` adds none). An empty table gives an empty one. A text of very many lines is one row's arrays.
 """
 
 from __future__ import annotations
@@ -31,30 +32,38 @@ def _digest(x: Column) -> Column:
     return F.unhex(F.md5(x.cast("binary")))
 
 
-def boilerplate(pages: DataFrame, text: str, ratio: float, min_pages: int, min_host_pages: int) -> DataFrame:
-    """_host and _hash of the boilerplate lines of pages, which has a column _host."""
+def boilerplate(pages: DataFrame, ratio: float, min_pages: int, min_host_pages: int) -> DataFrame:
+    """_host and _hash of the boilerplate lines of pages, which has the columns _host and _text."""
     sited = pages.filter(F.col("_host").isNotNull())
-    once = F.array_distinct(F.transform(_split(text), lambda x: F.btrim(x, F.lit(SPACE))))
+    once = F.array_distinct(F.transform(_split("_text"), lambda x: F.btrim(x, F.lit(SPACE))))
     lines = sited.select("_host", F.explode(once).alias("_line")).filter("_line <> ''")
     seen = lines.groupBy("_host", _digest(F.col("_line")).alias("_hash")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     hosts = sited.groupBy("_host").agg(F.count("*").alias("total")).filter(F.col("total") >= min_host_pages)
     return seen.join(hosts, "_host").filter(F.col("n") > ratio * F.col("total")).select("_host", "_hash")
 
 
-def drop_lines(docs: DataFrame, host: Column, key: str = "doc_id", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES) -> DataFrame:
-    """docs with the remaining lines as text, and the columns _n_lines and _n_dropped."""
-    pages = docs.withColumn("_host", host)
-    known = boilerplate(pages, text, ratio, min_pages, min_host_pages)
-    named = F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce("_host", F.lit("")), F.coalesce(text, F.lit("")))
+def drop_lines(docs: DataFrame, host: Column, key: str = "doc_id", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, min_host_pages: int = MIN_HOST_PAGES, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """docs with the remaining lines as text, and two columns of counts, lines and dropped lines, of the given names.
+
+    The columns of docs may have any names; they are one struct beside the columns of the steps.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    pages = docs.select(row, host.cast("string").alias("_host"), F.col(f"`{key}`").cast("string").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    known = boilerplate(pages, ratio, min_pages, min_host_pages)
+    named = F.concat_ws("\x00", F.coalesce("_key", F.lit("")), F.coalesce("_host", F.lit("")), F.coalesce("_text", F.lit("")))
     pages = pages.withColumn("_page", _digest(named))
-    places = pages.filter(F.col("_host").isNotNull()).select("_page", "_host", F.posexplode(_split(text)).alias("_at", "_line"))
+    places = pages.filter(F.col("_host").isNotNull()).select("_page", "_host", F.posexplode(_split("_text")).alias("_at", "_line"))
     places = places.withColumn("_line", F.btrim("_line", F.lit(SPACE))).filter("_line <> ''").select("_page", "_host", "_at", _digest(F.col("_line")).alias("_hash"))
     gone = places.join(known, ["_host", "_hash"], "left_semi").groupBy("_page").agg(F.collect_set("_at").alias("_gone"))
-    joined = pages.join(gone, "_page", "left").withColumn("_lines", _split(text))
+    joined = pages.select("_page", "_row").join(gone, "_page", "left").withColumn("_lines", _split(f"_row.`{text}`"))
     n = F.size("_lines")
     left = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_gone")), lambda i: F.get("_lines", i))
-    changed = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return joined.withColumns({text: changed, "_n_lines": n.cast("long"), "_n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}).drop("_page", "_host", "_gone", "_lines")
+    own = F.col(f"_row.`{text}`")
+    changed = F.when(F.col("_gone").isNull(), own).otherwise(F.array_join(left, "\n"))
+    joined = joined.withColumn("_new", F.struct(changed.alias("text"), n.cast("long").alias("lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("dropped")))
+    numbers = () if counts is None else (F.col("_new.lines").alias(counts[0]), F.col("_new.dropped").alias(counts[1]))
+    kept = [F.col("_new.text").alias(c) if c.lower() == text.lower() else F.col(f"_row.`{c}`") for c in docs.columns if counts is None or c not in counts]
+    return joined.select(*kept, *numbers)
 
 
 def query(spark, sf_dir):

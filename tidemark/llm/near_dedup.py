@@ -207,7 +207,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = work.write(docs.mapInArrow(_signatures, "doc_id long, n long, h1 long, h2 long, left array<long>, right array<long>"), "signatures")
     linked = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("left").alias("left"), F.first("right").alias("right"))
+    nodes = work.write(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("left").alias("left"), F.first("right").alias("right")), "nodes")
 
     tables = F.flatten(F.transform("left", lambda x, i: F.transform("right", lambda y, j: F.xxhash64(i, j, x, y))))
     dealt = nodes.select("node", "n", F.explode(tables).alias("key"))
@@ -240,9 +240,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         every = labels.unionByName(named).distinct()
         labels = every.join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
     labels = work.write(labels, "node-labels")
-    work.drop("texts", "buckets", "placed", "open", "pairs", "ids", "prefixes", "members")
-
-    named = nodes.select("h1", "h2", F.col("n"), "node").join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
+    named = nodes.select("h1", "h2", "n", "node").join(labels, "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
+    named = work.write(named, "named")  # so that the copies of one text are the hot side of a plain join, which Spark can split
+    work.drop("nodes", "node-labels", "texts", "buckets", "placed", "open", "pairs", "ids", "prefixes", "members", "links", "rest-pairs", "rest-links", "labels-0")
     alone = signed.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", "n", "component_id").union(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -50,8 +50,8 @@ def _bytes_of() -> dict[str, int]:
 class Encoder:
     """Ids of a text as little-endian 32-bit words.
 
-    The vocabulary file is that of the ``tokenizers`` library. Where its ids follow the order of its merges, as they do in byte-level BPE
-    files, the ids are ranks, and ``tiktoken`` gives the same ids from them in a third of the time. Texts that hold a special
+    The vocabulary file is that of the ``tokenizers`` library. Where it cuts and spells texts as plain byte-level BPE does and its
+    ids follow the order of its merges, the ids are ranks, and ``tiktoken`` gives the same ids from them in a third of the time. Texts that hold a special
     token's spelling, and other files, go through ``tokenizers``.
     """
 
@@ -63,11 +63,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, cutter = file["model"], file["pre_tokenizer"] or {}
         vocabulary, spelled = model["vocab"], _bytes_of()
+        plain = cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space", True) and cutter.get("use_regex", True) and not file["normalizer"]
         merged = ["".join(m if isinstance(m, list) else m.split(" ", 1)) for m in model["merges"]]
         self.fast = None
-        if all(vocabulary.get(w) == 256 + i for i, w in enumerate(merged)) and self.tokenizer.normalizer is None:
+        if plain and model["type"] == "BPE" and not model.get("dropout") and all(vocabulary.get(w) == 256 + i for i, w in enumerate(merged)):
             import tiktoken
 
             ranks = {bytes(spelled[c] for c in w): i for w, i in vocabulary.items() if w not in self.special}
@@ -144,8 +146,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     """A row per piece: key, piece, start, length, ids_crc32, and part and number for its rank."""
     prepare(docs.sparkSession)
     path = path or tokenizer_file()
-    own = docs.select(key, F.col(text).alias("_text"))
-    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType() if n != "piece" else T.IntegerType()) for n in ("piece", "start", "length", "ids_crc32", "number"))])
+    own = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("_text"))
+    schema = T.StructType([own.schema[0], *(T.StructField(n, T.LongType() if n != "piece" else T.IntegerType()) for n in ("piece", "start", "length", "ids_crc32", "number"))])
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,12 @@
 """Quality rules (op 9): a threshold table compiled into one projection of built-in functions.
 
-``RULES`` is the table. ``features`` adds what the rules compare, ``judge`` the verdict; neither shuffles, so a text is
-read once, where it lies. Words are longest runs outside space and \\t-\\r.
+``RULES`` is the table. ``judge`` adds what the rules compare and the verdict, ``keep`` drops what they
+reject; neither shuffles, so a text is read once, where it lies. Words are longest runs outside space and \\t-\\r.
 
 Edge cases: a null or empty text has no words, so that it fails ``n_words``. Null ids, sources and languages don't
-matter. Rows are judged one by one: repeated rows get the same verdict. Columns of the input keep their names and
-values; the added ones, listed in ``ADDED``, replace input columns of the same names. An empty table gives an empty one.
+matter. Rows are judged one by one: repeated rows get the same verdict. Columns of the input, of any names, keep their
+values; only what ``judge`` adds, listed in ``ADDED``, replaces input columns of the same names. An empty table gives an
+empty one. A text of any length is one row's arrays, sorted and never compared in pairs.
 Windows of eight words are told apart by two 64-bit hashes.
 """
 
@@ -63,57 +64,62 @@ def _repeat_words(df: DataFrame, words: str, out: str, window: int) -> DataFrame
     return df.withColumn(out, F.aggregate("_p", zero, step)["c"]).drop("_w", "_s", "_p")
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts that the rules need."""
-    own = F.coalesce(F.col(text), F.lit(""))
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """_row, the input's columns as a struct, out of the way of all names here, and _counts, what the rules need."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = F.coalesce("_text", F.lit(""))
     stops = sorted({*STOP_WORDS, *(w.capitalize() for w in STOP_WORDS)})
     lines = F.filter(F.split(own, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-    df = docs.withColumn("_words", split_words(F.col(text))).withColumn("_lines", lines)
-    df = _repeat_words(df, "_words", "n_repeat_words", WINDOW)
-    df = df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(own, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long"),
-        }
-    )
-    counts = ["n_repeat_words", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_stop_words"]
-    df = df.select(*[c for c in docs.columns if c not in counts], F.struct(*counts).alias("_counts"))
+    df = docs.select(row, F.col(f"`{text}`").alias("_text")).withColumn("_words", split_words(F.col("_text"))).withColumn("_lines", lines)
+    df = _repeat_words(df, "_words", "_repeated", WINDOW)
+    counts = {
+        "n_repeat_words": F.col("_repeated"),
+        "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(own, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_stop_words": F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long"),
+    }
     # a generator of one row: a filter on the counts would else be moved below the steps above, each step's expression
     # written out at every place that reads it
-    df = df.withColumn("_counts", F.explode_outer(F.array("_counts")))
-    return df.select("*", "_counts.*").drop("_counts")
+    return df.select("_row", F.struct(*[x.alias(c) for c, x in counts.items()]).alias("_counts")).select("_row", F.explode_outer(F.array("_counts")).alias("_counts"))
 
 
 def _compare(value: Column, how: str, limit: float) -> Column:
     return {"<": value < limit, ">": value > limit}[how]
 
 
-def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
-    """docs with ``failed``, the names of the rules that a row meets, ``base_failed`` and ``kept``."""
-    df = features(docs, text)
-    n = F.greatest(F.col("n_words"), F.lit(1))
+def _judged(docs: DataFrame, text: str, rules) -> DataFrame:
+    """_row, _counts, and _verdict with base_failed, kept and failed."""
+    df = _measured(docs, text)
+    count = lambda c: F.col(f"_counts.{c}")
+    n = F.greatest(count("n_words"), F.lit(1))
     ratio = {
-        "n_words": F.col("n_words"),
-        "repeat_ratio": F.col("n_repeat_words") / n,
-        "symbol_ratio": F.col("n_symbols") / n,
-        "mean_word_chars": F.col("word_chars") / n,
-        "stop_ratio": F.col("n_stop_words") / n,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "n_words": count("n_words"),
+        "repeat_ratio": count("n_repeat_words") / n,
+        "symbol_ratio": count("n_symbols") / n,
+        "mean_word_chars": count("word_chars") / n,
+        "stop_ratio": count("n_stop_words") / n,
+        "dup_line_ratio": count("n_dup_lines") / F.greatest(count("n_lines"), F.lit(1)),
     }
     met = {name: _compare(ratio[what], how, limit) for name, what, how, limit in rules}
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    base = (count("n_words") < 20) | (100 * count("n_repeat_words") > 30 * count("n_words"))
     rejected = reduce(lambda a, b: a | b, met.values(), base)
     failed = F.array_compact(F.array(*[F.when(x, F.lit(name)) for name, x in met.items()]))
-    return df.withColumns({"base_failed": base, "kept": ~rejected, "failed": F.concat_ws(",", failed)}).drop("n_lines")
+    return df.withColumn("_verdict", F.struct(base.alias("base_failed"), (~rejected).alias("kept"), F.concat_ws(",", failed).alias("failed")))
+
+
+def judge(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """docs with the columns of ``ADDED``: counts, ``base_failed``, ``kept``, and ``failed``, the names of the rules that a row meets."""
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in ADDED]
+    added = [F.col(f"{'_verdict' if c in ('base_failed', 'kept', 'failed') else '_counts'}.{c}") for c in ADDED]
+    return _judged(docs, text, rules).select(*kept, *added)
 
 
-def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that no rule rejects, with the columns of docs."""
-    return judge(docs, text).filter("kept").select(*docs.columns)
+def keep(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with the columns of docs, names and values."""
+    return _judged(docs, text, rules).filter("_verdict.kept").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir):
