@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, fm_quality, html_density, packing, substring_dedup
 
@@ -104,6 +105,34 @@ def test_removed_words_equal_brute_force(spark, block_chars, range_windows):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_many_repeated_rows_spread_over_blocks(spark):
+    rng = random.Random(8)
+    same, other = words(rng, 40), words(rng, 60)
+    docs = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(" ".join(same)).alias("text"))
+    docs = docs.union(spark.createDataFrame([(1, " ".join(other)), (2, " ".join(other[:34] + ["x"] + same[5:]))], "doc_id long, text string"))
+    got = substring_dedup.remove_repeats(docs, block_chars=200_000, range_windows=500).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(None, 40, 40, 100_000), (1, 60, 0, 1), (2, 70, 35, 1)}
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(9)
+    long_ = words(rng, 300_000)
+    data = [(1, " ".join(long_)), (2, " ".join(long_[1000:1040])), (3, " ".join(["the"] * 50_000))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string"), block_chars=100_000, range_windows=5000).drop("kept").collect()}
+    assert got == {1: (300_000, 40), 2: (40, 40), 3: (50_000, 50_000)}
+
+
+def test_anchors_are_those_of_equal_windows():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**64, 400, np.uint64)
+    assert substring_dedup._least(h, 18).tolist() == [min(h[i : i + 18].tolist()) for i in range(383)]
+    assert substring_dedup._least(h, 1).tolist() == h.tolist()
+    rows = rng.integers(0, 5, (300, 2)).astype(np.uint64)
+    values, number, count = substring_dedup._distinct(rows)
+    assert (values[number] == rows).all() and [tuple(x) for x in values.tolist()] == sorted({tuple(x) for x in rows.tolist()})
+    assert count.sum() == 300 and (np.bincount(number) == count).all()
+
+
 def test_kept_hash_of_nothing(spark):
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
