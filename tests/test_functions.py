@@ -105,8 +105,30 @@ def test_versions(spark):
         ("2026-01-01、2026-02-01、2026-03-01 上线", "https://a.b/20251220/", ("2025-12-20", "published")),
     ],
 )
-def test_dates(text, url, want):
-    assert vs.date_info([text], url) == want
+def test_dates(spark, text, url, want):
+    got = one(spark, vs.extract_date_info(F.lit(""), c("t"), c("u")), t=text, u=url)
+    assert (got.date, got.kind) == want
+
+
+def test_dates_of_two_texts(spark):
+    """Title before answer; two dates without context leave it to the next text; months and days of one kind only."""
+    cases = [
+        ("2026-01-01与2026-02-01", "2026/3/5 开启", "", ("2026-03-05", "effective")),
+        ("上线 2026-02-01，2026-01-01", "2026/3/5 开启", "", ("2026-02-01", "effective")),
+        (None, "1月5日和2月3日上线", "https://a.b/20251220/", ("2025-12-20", "published")),
+        (None, "11月20日与11月20日的更新", "https://a.b/20251220_x", ("2025-11-20", "effective")),
+        (None, "6月1日的更新", "https://a.b/20250808", ("2025-08-08", "published")),
+        ("2023-02-29 更新", None, "https://a.b/20251340", ("2023-02-29", "effective")),
+        ("", "x" * 40 + "8月13日" + "y" * 40 + "更新", "https://a.b/20260808", ("2026-08-08", "published")),
+    ]
+    df = spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(cases)], "i int, a string, b string, u string")
+    for r in df.select("i", vs.extract_date_info(c("a"), c("b"), c("u")).alias("d")).collect():
+        assert (r.d.date, r.d.kind) == cases[r.i][3], cases[r.i]
+
+
+def test_places(spark):
+    assert [(x.at, x.hit) for x in one(spark, vs.places(c(), r"[0-9]+"), t="12ab3 4")] == [(0, "12"), (4, "3"), (6, "4")]
+    assert one(spark, vs.places(c(), r"[0-9]+"), t="ab") == [] and one(spark, vs.places(c(), r"[0-9]+"), t="") == []
 
 
 def test_question_dates(spark):
@@ -169,6 +191,14 @@ def test_tables(spark):
     assert len(pieces) > 3 and all(p.startswith("| a | b |\n|---|---|\n") and len(p) <= 120 for p in pieces)
 
 
+def test_tables_are_the_best_of_what_follows():
+    small, large = "| a | b |\n|---|---|\n| 1 | 2 |\n", "| x | y | z |\n|---|---|---|\n" + "| 1 | q | 3 |\n" * 3
+    names = lambda t: [x["header"][0] for x in tables.tables_of(t)]
+    assert names(small + "text\n" + large) == ["x"] and names(large + "text\n" + small) == ["x", "a"] and names(small + "\n" + small) == ["a", "a"]
+    assert names("|---|---|\n| 1 | 2 |") == [] and names(None) == [] and names("| 一。二 | b |\n|---|---|\n| 1 | 2 |") == []
+    assert tables.split_rows(large + "end of it\nmore", 30)[-1] == "| 1 | q | 3 |\nend of it" or tables.split_rows(large, 30)[0].startswith("| x |")
+
+
 def test_wikitext(spark):
     text = "{{弧盘 \n|名称=[[a|我们]]|效果='''攻击'''{{色|红|12%}}<br>x<ref>no</ref>|名称=更长的名称}}"
     (top, *_) = wikitext.templates(text)

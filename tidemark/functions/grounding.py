@@ -58,8 +58,10 @@ def longest_common_run(answers: pd.Series, sources: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ty.BOOLEAN)
 def grounded(answers: pd.Series, sources: pd.Series) -> pd.Series:
+    """A run of LEAST characters that covers SHARE of the answer; shorter answers have no ground."""
+
     def one(a: str | None, s: str | None) -> bool:
         a = comparable(a)
-        return bool(a) and common_run(a, comparable(s)) >= min(len(a), max(LEAST, int(SHARE * len(a))))
+        return len(a) >= LEAST and common_run(a, comparable(s)) >= max(LEAST, SHARE * len(a))
 
     return pd.Series([one(a, s) for a, s in zip(answers, sources, strict=True)])
