@@ -1,6 +1,7 @@
 """Search, votes, lifecycle, queue, sources and streaming on small tables, with the properties that the SQL checks can't show."""
 
 import math
+import random
 import sqlite3
 
 import pytest
@@ -27,6 +28,29 @@ def test_bm25_equals_the_full_text_engine(spark):
         assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=2e-6) for i in want)
 
 
+@pytest.mark.parametrize(("common", "pool"), [(0, 4), (3, 1), (8, 5), (20, 12), (10**6, 5)])
+def test_pool_equals_the_best_of_all(spark, common, pool):
+    """Whatever counts as common, the pool is that of scoring every row; ties go by key."""
+    rng = random.Random(common)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, [w for w in words if rng.random() < 1 / (1 + words.index(w))] + rng.choices(words[:5], k=rng.randrange(4))) for i in range(150)]
+    df = spark.createDataFrame(data, "id long, tokens array<string>")
+    asked = spark.createDataFrame([(q, w) for q in range(25) for w in {*rng.sample(words, rng.randrange(1, 5)), "w0"}] + [(90, "none"), (91, "w0"), (92, "w0"), (92, "w1")], "q int, term string")
+    index, sizes = search.postings(df, "id", F.col("tokens")), df.select("id", F.size("tokens").alias("len"))
+    want = search.top(search.bm25(index, sizes, asked, "id", "q"), "q", pool, F.asc("bm"), F.asc("id"))
+    got = search.bm25_pool(index, sizes, asked, "id", "q", pool, common)
+    rows = lambda x: sorted((r.q, r.id, round(r.bm, 5)) for r in x.collect())
+    assert rows(got) == rows(want)
+
+
+def test_cosine_in_blocks(spark):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = vectors.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(search.cosine_topk(vectors, asked, 3, block=4)) == rows(search.cosine_topk(vectors, asked, 3))
+
+
 def test_like_fallback_and_floor(spark):
     chunks = spark.createDataFrame([(1, "onion soup", "", "wiki", ["onion", "soup"]), (2, "bread", "", "wiki", ["bread"])], "chunk_id long, text_norm string, title_norm string, source_type string, tokens array<string>")
     asked = spark.createDataFrame([(0, ["nio"]), (1, ["bread"]), (2, [])], "question_id int, tokens array<string>")

@@ -158,24 +158,38 @@ def _fold(rows: pd.DataFrame) -> pd.DataFrame:
             if py.compare(k["answer"], row["answer"])[0] == "duplicate":
                 k["answer"] = py.merge_answers(k["answer"], row["answer"])
                 k["confidence"] = max(k["confidence"], row["confidence"])
-                mark = f"并入:{py.netloc(row['source_url']) or '重复'}"
-                if mark not in (k["tags"] or ""):
-                    k["tags"] = f"{k['tags'] or ''} {mark}".strip()
-                k["merged"] += 1
+                k["tags"] = _with_sources(k["tags"], [row["own"], *row["sources"]])
+                k["merged"] += 1 + row["merged"]
                 break
         else:
-            keepers.append(row | {"merged": 0})
+            keepers.append(row | {"tags": _with_sources(row["tags"], row["sources"])})
     return pd.DataFrame(keepers, columns=["seq", "title", "answer", "tags", "source_url", "confidence", "merged"])
 
 
+def _with_sources(tags: str | None, sources: list[str]) -> str:
+    for source in sources:
+        mark = f"并入:{source}"
+        if mark not in (tags or ""):
+            tags = f"{tags or ''} {mark}".strip()
+    return tags
+
+
 def merge_seed_facts(facts: DataFrame, sequence: str = "seq") -> DataFrame:
     """Facts of one title are folded in order; the order is a column, so the result is the same at any parallelism.
 
-    Exact repeats of title and answer are merged before, by a sum; what a task folds is a title's different answers.
+    Exact repeats of title and answer are one row before the fold, by sums that are made before rows are dealt out: the first of them, the highest confidence,
+    and the sources of the others in order of their first place. So a task folds a title's different answers, however often each stands.
     """
-    return facts.withColumn("_t", tx.comparable(F.col("title"))).select("_t", F.col(sequence).alias("seq"), "title", "answer", "tags", "source_url", "confidence").groupBy("_t").applyInPandas(
-        _fold, "seq long, title string, answer string, tags string, source_url string, confidence double, merged int"
-    )
+    source = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("source_url", F.lit("")), r"^https?://([^/]+)", 1), F.lit("")), F.lit("重复"))
+    rows = facts.withColumns({"_t": tx.comparable(F.col("title")), "_source": source}).select("_t", "_source", F.col(sequence).alias("seq"), "title", "answer", "tags", "source_url", "confidence")
+    first = F.struct("seq", "title", "tags", "source_url", F.col("_source").alias("own"))
+    per_source = rows.groupBy("_t", "answer", "_source").agg(F.min(first).alias("x"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    again = F.struct(F.col("x.seq").alias("seq"), F.col("_source").alias("source"), F.col("n").alias("n"))
+    once = per_source.groupBy("_t", "answer").agg(F.min("x").alias("x"), F.max("confidence").alias("confidence"), (F.sum("n") - 1).cast("int").alias("merged"), F.array_sort(F.collect_list(again)).alias("_again"))
+    # the first row's own source counts among the merged ones only if another row has it too
+    others = F.filter("_again", lambda s: (s["source"] != F.col("x.own")) | (s["n"] > 1))
+    ready = once.select("_t", "x.seq", "x.title", "answer", "x.tags", "x.source_url", "x.own", F.transform(others, lambda s: s["source"]).alias("sources"), "confidence", "merged")
+    return ready.groupBy("_t").applyInPandas(_fold, "seq long, title string, answer string, tags string, source_url string, confidence double, merged int")
 
 
 def merge_into(existing: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:

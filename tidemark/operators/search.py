@@ -1,19 +1,28 @@
 """Batch retrieval: postings, BM25, rerank, evidence. Many questions at a time; one question is a table of one row.
 
 A postings table (id, term, tf) and its statistics are shuffled by term once; a question's terms meet only their own
-postings. A term that a large share of documents has is a hot join key there, which AQE splits. Statistics count every
-indexed row, whatever its status, as a full-text index does; status is a filter after the join.
+postings. Statistics count every indexed row, whatever its status, as a full-text index does; status is a filter after the join.
+
+The best rows of each question are found without scoring all that share a word with it, see ``bm25_pool``: a word that all rows have
+would make as many rows as questions times documents.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
+from tidemark.operators.steps import settle
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
+#: Documents of a term up to which it is rare.
+COMMON = 1000
+#: Query vectors that are compared with all vectors at a time.
+QUERIES = 1000
 SOURCE_BONUS = {"official": 0.12, "wiki": 0.08, "seed": 0.06}
 
 
@@ -23,18 +32,54 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, "len", F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qkey: str) -> DataFrame:
-    """qkey, key, bm: the lower the better, as full-text engines order it.
-
-    index: postings; sizes: a row per document with len, empty ones too; questions: qkey and distinct terms (term).
-    """
+def _weighted(index: DataFrame, sizes: DataFrame, terms: DataFrame) -> tuple[DataFrame, Column]:
+    """terms with df, idf and avg_len, and a posting's part of the score beside them."""
     totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = questions.join(df, "term").crossJoin(F.broadcast(totals))  # one row
+    asked = terms.join(df, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    asked = asked.select(qkey, "term", idf.alias("idf"), "avg_len")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return index.join(asked, "term").groupBy(qkey, key).agg(F.round(-F.sum(part), 6).alias("bm"))
+    return asked.withColumn("idf", idf).drop("n_docs"), part
+
+
+def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qkey: str) -> DataFrame:
+    """qkey, key, bm of all rows that share a term: the lower the better, as full-text engines order it.
+
+    index: postings; sizes: a row per document with len, empty ones too; questions: qkey and distinct terms (term).
+    """
+    asked, part = _weighted(index, sizes, questions)
+    return index.join(asked.select(qkey, "term", "idf", "avg_len"), "term").groupBy(qkey, key).agg(F.round(-F.sum(part), 6).alias("bm"))
+
+
+def bm25_pool(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qkey: str, pool: int, common: int = COMMON) -> DataFrame:
+    """qkey, key, bm of the ``pool`` best rows of each question, of equal ones those with the smaller key: exactly those of ``bm25``.
+
+    Terms in more than ``common`` documents are common. Rows with a rare term of a question are its candidates, at most ``common`` for a
+    term; the parts of common terms are looked up for those of them alone that these parts can still bring into the pool. All
+    other rows have nothing but common terms, so they are ranked by these, once for each set of common terms that questions have: of such a list
+    the first ``pool`` rows do, as each of them is at least as good in full. Lists are made just for the questions whose candidates are too few, or
+    too weak against the most that the common terms can give.
+    """
+    index, sizes = settle(index, "postings"), settle(sizes, "sizes")
+    asked, part = _weighted(index, sizes, questions)
+    told = index.join(asked.filter(F.col("df") <= common).select(qkey, "term", "idf", "avg_len"), "term")
+    rare = told.groupBy(qkey, key).agg(F.sum(part).alias("_rare"))
+    most = (F.col("idf") * (K1 + 1)).alias("most")  # a part is less than that
+    frequent = asked.filter(F.col("df") > common).select(qkey, "term", "idf", "avg_len", most)
+    sets = frequent.groupBy(qkey).agg(F.sum("most").alias("_most"), F.array_sort(F.collect_list("term")).alias("_set"))
+    worst = top(rare, qkey, pool, F.desc("_rare"), F.asc(key), rank="_r").filter(F.col("_r") == pool).select(qkey, F.col("_rare").alias("_worst"))
+    bounds = questions.select(qkey).distinct().join(worst, qkey, "left").join(sets, qkey, "left").withColumn("_most", F.coalesce("_most", F.lit(0.0)))
+    near = rare.join(bounds.select(qkey, "_worst", "_most"), qkey).filter(F.col("_worst").isNull() | (F.col("_rare") + F.col("_most") >= F.col("_worst") - 1e-5))
+    more = near.select(qkey, key).join(frequent.drop("most"), qkey).join(index, [key, "term"]).select(qkey, key, part.alias("_x"))
+    full = near.select(qkey, key, F.col("_rare").alias("_x")).unionByName(more).groupBy(qkey, key).agg(F.round(-F.sum("_x"), 6).alias("bm"))
+
+    open_ = bounds.filter(F.col("_set").isNotNull() & (F.col("_worst").isNull() | (F.col("_worst") <= F.col("_most") + 1e-5))).select(qkey, "_set")
+    terms = open_.select("_set").distinct().select("_set", F.explode("_set").alias("term"))
+    weights, part = _weighted(index, sizes, terms)
+    listed = index.join(weights.select("_set", "term", "idf", "avg_len"), "term").groupBy("_set", key).agg(F.round(-F.sum(part), 6).alias("bm"))
+    lists = open_.join(top(listed, "_set", pool, F.asc("bm"), F.asc(key)).drop("rank"), "_set").select(qkey, key, "bm")
+    both = full.unionByName(lists).groupBy(qkey, key).agg(F.min("bm").alias("bm"))
+    return top(both, qkey, pool, F.asc("bm"), F.asc(key)).select(qkey, key, "bm")
 
 
 def top(df: DataFrame, by: str, k: int, *order: Column, rank: str = "rank") -> DataFrame:
@@ -90,6 +135,20 @@ def entity_first(df: DataFrame, by: str, position: str = "pos") -> DataFrame:
     return df.withColumn(position, F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_ahead"), F.asc(position)))).drop("_ahead")
 
 
+def containing(chunks: DataFrame, terms: DataFrame, key: str, qkey: str, text: str = "text_norm") -> DataFrame:
+    """qkey and key of the chunks that contain one of the question's terms as a substring.
+
+    A term is looked up by its first two characters, or its only one, in the chunks' pairs of characters, and what is found is compared.
+    """
+    heads = terms.filter(F.length("term") > 0).select(qkey, "term", F.substring("term", 1, 2).alias("_head")).distinct()
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(2)))
+    singles = F.filter(F.split(text, ""), lambda x: x != "")
+    grams = chunks.select(key, F.explode(F.array_distinct(F.concat(pairs, singles))).alias("_head"))
+    wanted = grams.join(heads.select("_head").distinct(), "_head", "left_semi")
+    hits = wanted.join(heads, "_head").join(chunks.select(key, text), key).filter(F.contains(text, "term"))
+    return hits.select(qkey, key).distinct()
+
+
 def search_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10, key: str = "chunk_id", qkey: str = "question_id") -> DataFrame:
     """qkey, key, relevance, coverage, rank and bm of the k best chunks of each question.
 
@@ -97,11 +156,11 @@ def search_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10, key: str
     contain one as a substring are taken.
     """
     terms = questions.select(qkey, F.explode("tokens").alias("term")).distinct()
-    scored = bm25(postings(chunks, key, F.col("tokens")), chunks.select(key, F.size("tokens").alias("len")), terms, key, qkey)
-    pool = top(scored, qkey, 4 * k, F.asc("bm"), F.asc(key)).select(qkey, key, "bm")
-    unmet = questions.join(pool.select(qkey).distinct(), qkey, "left_anti").filter(F.size("tokens") > 0)
-    like = chunks.select(key, "text_norm").join(unmet.select(qkey, F.slice("tokens", 1, 200).alias("_t")), F.exists("_t", lambda t: F.contains("text_norm", t)))
-    like = top(like, qkey, 4 * k, F.asc(key)).select(qkey, key, F.lit(0.0).alias("bm"))
+    index = postings(chunks, key, F.col("tokens"))
+    pool = bm25_pool(index, chunks.select(key, F.size("tokens").alias("len")), terms, key, qkey, 4 * k)
+    met = terms.join(index.select("term").distinct(), "term", "left_semi").select(qkey).distinct()
+    unmet = questions.join(met, qkey, "left_anti").filter(F.size("tokens") > 0)
+    like = top(containing(chunks.select(key, "text_norm"), unmet.select(qkey, F.explode(F.slice("tokens", 1, 200)).alias("term")), key, qkey), qkey, 4 * k, F.asc(key)).select(qkey, key, F.lit(0.0).alias("bm"))
     full = pool.unionByName(like).join(chunks.select(key, "text_norm", "title_norm", "source_type"), key).join(questions.select(qkey, F.col("tokens").alias("_q")), qkey)
     full = full.withColumns({"coverage": F.round(coverage(F.col("_q"), F.col("text_norm")), 4), "relevance": score_chunk(F.col("_q"), F.col("text_norm"), F.col("title_norm"), F.col("source_type"), F.col("bm"))})
     return top(full, qkey, k, F.desc("relevance"), F.asc("bm"), F.asc(key)).select(qkey, key, "relevance", "coverage", "rank", "bm")
@@ -113,8 +172,7 @@ def search_facts(facts: DataFrame, questions: DataFrame, k: int = 8, key: str =
     facts: key, title, title_norm, haystack, tokens, confidence, version, effective_from, slot_key; questions: qkey, tokens, question_norm.
     """
     terms = questions.select(qkey, F.explode("tokens").alias("term")).distinct()
-    scored = bm25(postings(facts, key, F.col("tokens")), facts.select(key, F.size("tokens").alias("len")), terms, key, qkey)
-    pool = top(scored, qkey, 4 * k, F.asc("bm"), F.asc(key)).select(qkey, key, "bm")
+    pool = bm25_pool(postings(facts, key, F.col("tokens")), facts.select(key, F.size("tokens").alias("len")), terms, key, qkey, 4 * k)
     full = pool.join(facts.drop("tokens"), key).join(questions.select(qkey, "tokens", "question_norm"), qkey)
     full = score_fact(full)
     order = Window.partitionBy(qkey).orderBy(F.desc("entity_hit"), F.desc("rank_raw"), F.round("bm", 4), F.asc(key))
@@ -145,14 +203,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (size == 0) | size.isNull(), 0.0).otherwise(dot / size)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qkey: str = "query_id", column: str = "embedding") -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qkey: str = "query_id", column: str = "embedding", block: int = QUERIES) -> DataFrame:
     """The k nearest of all vectors, above 0, for a stated set of queries.
 
-    The queries are the broadcast side; pass them in blocks of bounded size. Each block is a pass over the vectors.
+    The queries are counted and broadcast in blocks of about ``block`` vectors, each in a pass over all vectors; a task keeps the k best
+    of each query before anything is dealt out.
     """
-    both = vectors.join(F.broadcast(queries.select(qkey, F.col(column).alias("_q"))), F.col(key) != F.col(qkey))
-    scored = both.select(qkey, key, F.round(cosine(F.col("_q"), F.col(column)), 4).alias("relevance")).filter("relevance > 0")
-    return top(scored, qkey, k, F.desc("relevance"), F.asc(key))
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(qkey, F.col(column).alias("_q"))
+
+    def best(i: int) -> DataFrame:
+        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == i)
+        both = vectors.join(F.broadcast(own), F.col(key) != F.col(qkey))
+        scored = both.select(qkey, key, F.round(cosine(F.col("_q"), F.col(column)), 4).alias("relevance")).filter("relevance > 0")
+        return top(scored, qkey, k, F.desc("relevance"), F.asc(key))
+
+    return reduce(DataFrame.unionByName, map(best, range(blocks)))
 
 
 def mentioned_entities(questions: DataFrame, entities: DataFrame, qkey: str = "question_id", text: str = "question_norm") -> DataFrame:

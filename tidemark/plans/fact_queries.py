@@ -119,16 +119,12 @@ def slot_key(spark, d):
     return f.select("id", "entity", vs.slot_key(F.col("entity"), F.col("title")).alias("slot"))
 
 
-@register("newest_in_slot", with_facts("""p AS (SELECT id, slot, version, effective_from, title, row_number() OVER (ORDER BY confidence DESC, id) AS pos FROM facts WHERE status = 'active' AND id % 10 < 4),
-r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY pos) AS k, row_number() OVER (PARTITION BY slot ORDER BY effective_from DESC, version DESC, pos) AS j FROM p)
-SELECT a.id, b.pos FROM r a JOIN r b ON a.slot = b.slot AND a.j = b.k"""))
+@register("newest_in_slot", with_facts("""r AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY id) AS k, row_number() OVER (PARTITION BY slot ORDER BY effective_from DESC, version DESC, id) AS j FROM facts)
+SELECT a.id, b.id AS pos FROM r a JOIN r b ON a.slot = b.slot AND a.j = b.k"""))
 def newest_in_slot(spark, d):
-    """Positions of all facts as one ranked list; a question's pool is such a list."""
-    f = facts(spark, d).filter("status = 'active' AND id % 10 < 4").select("id", "slot", "version", "effective_from", "confidence")
-    bands = f.groupBy("confidence").agg(F.count("*").alias("n"))  # a row per confidence
-    before = bands.withColumn("_before", F.sum("n").over(Window.orderBy(F.desc("confidence"))) - F.col("n"))
-    ranked = f.join(before, "confidence").withColumn("pos", F.row_number().over(Window.partitionBy("confidence").orderBy("id")) + F.col("_before"))
-    return search.newest_in_slot(ranked.withColumn("q", F.lit(1)).withColumn("slot_key", F.col("slot")), "q").select("id", "pos")
+    """All facts as one list in order of id; a question's pool is such a list."""
+    f = facts(spark, d).select("id", F.col("id").alias("pos"), F.col("slot").alias("slot_key"), "version", "effective_from", F.lit(1).alias("q"))
+    return search.newest_in_slot(f, "q").select("id", "pos")
 
 
 # --- votes and merges --------------------------------------------------------------------------------------------
@@ -165,12 +161,15 @@ def duplicate_groups(spark, d):
     return dedupe.duplicate_groups(facts(spark, d)).select("a", "b", "action")
 
 
-@register("merge_seed_facts", with_facts("""f AS (SELECT * FROM facts WHERE id % 10 <= 3)
-SELECT title, count(*) - 1 AS merged, max(confidence) AS confidence FROM f GROUP BY title"""))
+@register("merge_seed_facts", with_facts(r"""h AS (SELECT *, regexp_extract(source_url, '^https?://([^/]+)', 1) AS host, row_number() OVER (PARTITION BY title, answer ORDER BY seq) AS i FROM facts),
+p AS (SELECT title, answer, host, min(seq) AS first, count(*) AS n, min(i) = 1 AS own FROM h GROUP BY ALL),
+m AS (SELECT title, answer, count(*) - 1 AS merged, max(confidence) AS confidence, arg_min(tags, seq) AS tags FROM facts GROUP BY ALL),
+t AS (SELECT title, answer, coalesce(string_agg(' 并入:' || host, '' ORDER BY first) FILTER (NOT own OR n > 1), '') AS marks FROM p GROUP BY ALL)
+SELECT title, answer, CAST(merged AS BIGINT) AS merged, CAST(confidence AS DOUBLE) AS confidence, tags || marks AS tags FROM m JOIN t USING (title, answer)"""))
 def merge_seed_facts(spark, d):
-    rows = facts(spark, d).filter("id % 10 <= 3")
-    out = dedupe.merge_seed_facts(rows)
-    return out.select("title", F.col("merged").cast("long").alias("merged"), "confidence")
+    """Answers of one title differ in their numbers, so each is kept; their repeats are merged."""
+    out = dedupe.merge_seed_facts(facts(spark, d))
+    return out.select("title", "answer", F.col("merged").cast("long").alias("merged"), "confidence", "tags")
 
 
 @register("credit_multi_source", with_facts("""c AS (SELECT DISTINCT f.id FROM facts f JOIN (SELECT DISTINCT id - id % 10 AS o FROM facts WHERE id % 10 = 5) x ON f.id - f.id % 10 = x.o)
@@ -183,14 +182,16 @@ def credit_multi_source(spark, d):
     return dedupe.credit_multi_source(f, hits).select("id", "confidence")
 
 
-@register("decide_tier", with_facts("""c AS (SELECT id AS cid, title, source_type AS st FROM facts WHERE id % 10 = 2), s AS (SELECT cid, st, f.id, f.source_type, f.published FROM c JOIN facts f ON f.title = c.title AND f.id % 10 = 1),
-t AS (SELECT *, CASE source_type WHEN 'official' THEN 3 WHEN 'wiki' THEN 2 ELSE 1 END AS old, CASE st WHEN 'official' THEN 3 WHEN 'wiki' THEN 2 ELSE 1 END AS new FROM s),
+@register("decide_tier", with_facts("""c AS (SELECT p_partkey AS cid, 'part' || p_partkey || '·price' AS title, CASE p_size % 4 WHEN 0 THEN 'official' WHEN 1 THEN 'wiki' WHEN 2 THEN 'manual' ELSE 'community' END AS st FROM part),
+s AS (SELECT cid, st, f.id, f.source_type, f.published FROM c JOIN facts f ON f.title = c.title),
+t AS (SELECT *, CASE source_type WHEN 'official' THEN 3 WHEN 'wiki' THEN 2 ELSE 1 END AS old, CASE WHEN st IN ('official', 'manual') THEN 3 WHEN st = 'wiki' THEN 2 ELSE 1 END AS new FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY old DESC, published DESC, id) AS r FROM t)
 SELECT cid, id AS target, CASE WHEN new > old THEN 'supersede' WHEN new < old THEN 'skip_lower_tier' ELSE 'model' END AS decision FROM r WHERE r = 1"""))
 def decide_tier(spark, d):
-    f = facts(spark, d)
-    c = f.filter("id % 10 = 2").select(F.col("id").alias("cid"), "title", "source_type")
-    s = c.select("cid", "title").join(f.filter("id % 10 = 1").select("id", "title", "source_type", F.col("published").cast("string").alias("updated_at")), "title")
+    """A candidate for each part's price against all facts of that title."""
+    kind = F.col("p_size") % 4
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("cid"), F.concat(F.lit("part"), F.col("p_partkey").cast("string"), F.lit("·price")).alias("title"), F.when(kind == 0, "official").when(kind == 1, "wiki").when(kind == 2, "manual").otherwise("community").alias("source_type"))
+    s = c.select("cid", "title").join(facts(spark, d).select("id", "title", "source_type", F.col("published").cast("string").alias("updated_at")), "title")
     return dedupe.decide_tier(c, s)
 
 
@@ -296,20 +297,29 @@ def audit_foreign(spark, d):
     return documents(spark, d).withColumn("x", names).filter(F.size("x") > 0).select("doc_id", F.array_join("x", ",").alias("names"))
 
 
-@register("gap_judge", r"""WITH p AS (SELECT item_id, lower(regexp_replace(text, '[\s　 ，。、；：！？“”‘’（）【】《》「」『』…—·,.;:!?"''()\[\]<>/\\|~`^&*+=_-]+', '', 'g')) AS t FROM benchmark),
-c AS (SELECT lower(regexp_replace(text, '[\s　 ，。、；：！？“”‘’（）【】《》「」『』…—·,.;:!?"''()\[\]<>/\\|~`^&*+=_-]+', '', 'g')) AS t FROM documents WHERE lang = 'fr'),
-h AS (SELECT DISTINCT substring(t, i, 2) AS x FROM (SELECT t, unnest(range(1, length(t))) AS i FROM c)), a AS (SELECT DISTINCT item_id, substring(t, i, 2) AS x FROM (SELECT item_id, t, unnest(range(1, length(t))) AS i FROM p)),
-s AS (SELECT item_id, round(avg(CASE WHEN h.x IS NULL THEN 0 ELSE 1 END), 4) AS share FROM a LEFT JOIN h USING (x) GROUP BY item_id)
-SELECT item_id, share, 0::BIGINT AS missing_numbers, share >= 0.6 AS supported FROM s""")
+_GAP = r"""lower(regexp_replace(text, '[\s　 ，。、；：！？“”‘’（）【】《》「」『』…—·,.;:!?"''()\[\]<>/\\|~`^&*+=_-]+', '', 'g'))"""
+_GAP_NUMBERS = r"""list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: CASE WHEN contains(x, '.') THEN rtrim(rtrim(x, '0'), '.') ELSE x END))"""
+
+
+@register("gap_judge", rf"""WITH src AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'p' || p_partkey, p_name || ' costs ' || p_size || ',000 and ' || (p_partkey % 50) || '.50 or ' || p_partkey || '77 zqxj' FROM part),
+p AS (SELECT id, {_GAP} AS t, {_GAP_NUMBERS} AS n FROM src), c AS (SELECT {_GAP} AS t, {_GAP_NUMBERS} AS n FROM documents),
+h AS (SELECT DISTINCT substring(t, i, 2) AS x FROM (SELECT t, unnest(range(1, length(t))) AS i FROM c)), a AS (SELECT DISTINCT id, substring(t, i, 2) AS x FROM (SELECT id, t, unnest(range(1, length(t))) AS i FROM p)),
+s AS (SELECT id, round(avg(CASE WHEN h.x IS NULL THEN 0 ELSE 1 END), 4) AS share FROM a LEFT JOIN h USING (x) GROUP BY id),
+k AS (SELECT DISTINCT unnest(n) AS x FROM c), m AS (SELECT id, count(*) FILTER (k.x IS NULL) AS missing FROM (SELECT id, unnest(n) AS x FROM p) w LEFT JOIN k USING (x) GROUP BY id)
+SELECT id, share, CAST(coalesce(missing, 0) AS BIGINT) AS missing_numbers, share >= 0.6 AND coalesce(missing, 0) = 0 AS supported FROM s LEFT JOIN m USING (id)""")
 def gap_judge(spark, d):
-    return audit.gap_judge(table(spark, d, "benchmark"), documents(spark, d).filter("lang = 'fr'"), "item_id", "text", "text")
+    """Benchmark items, and made-up statements with numbers, against all documents."""
+    k = F.col("p_partkey").cast("string")
+    stated = F.concat(F.col("p_name"), F.lit(" costs "), F.col("p_size").cast("string"), F.lit(",000 and "), (F.col("p_partkey") % 50).cast("string"), F.lit(".50 or "), k, F.lit("77 zqxj"))
+    points = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text").union(table(spark, d, "part").select(F.concat(F.lit("p"), k), stated))
+    return audit.gap_judge(points, documents(spark, d), "id", "text", "text")
 
 
-@register("compare_sources", """WITH a AS (SELECT p_partkey AS k, p_retailprice AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT l_partkey AS k, round(max(l_extendedprice / l_quantity), 2) AS v FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)
+@register("compare_sources", """WITH a AS (SELECT p_partkey AS k, p_retailprice AS v FROM part), b AS (SELECT l_partkey AS k, max(l_extendedprice) AS v FROM lineitem GROUP BY 1)
 SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value, round(a.v / nullif(b.v, 0), 4) AS ratio, CASE WHEN a.v IS NULL THEN 'right_only' WHEN b.v IS NULL THEN 'left_only' WHEN abs(round(a.v / b.v, 4) - 1) <= 0.01 THEN 'same' ELSE 'different' END AS verdict FROM a FULL JOIN b ON a.k = b.k""")
 def compare_sources(spark, d):
-    a = table(spark, d, "part").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
-    b = table(spark, d, "lineitem").filter("l_partkey % 2 = 0").groupBy(F.col("l_partkey").alias("k")).agg(F.round(F.max(F.col("l_extendedprice") / F.col("l_quantity")), 2).alias("v"))
+    a = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("v"))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.max("l_extendedprice").alias("v"))
     return audit.compare_sources(a, b, "k", "v")
 
 

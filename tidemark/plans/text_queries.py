@@ -114,27 +114,54 @@ def numbers_in(spark, d):
 _GRAMS = "list_distinct(list_transform(range(1, greatest(length({0}), 2)), lambda i: substring({0}, CAST(i AS BIGINT), 2)))"
 
 
-@register("bigram_dice", f"""WITH a AS (SELECT b.item_id, d.doc_id, {COMPARE.format('b.text')} AS x, {COMPARE.format('substring(d.text, 1, 300)')} AS y FROM benchmark b JOIN documents d ON b.item_id = d.doc_id),
+@register("bigram_dice", f"""WITH a AS (SELECT b.item_id, d.doc_id, {COMPARE.format('b.text')} AS x, {COMPARE.format('d.text')} AS y FROM benchmark b JOIN documents d ON b.item_id = d.doc_id),
 g AS (SELECT *, {_GRAMS.format('x')} AS gx, {_GRAMS.format('y')} AS gy FROM a)
 SELECT item_id, CAST(round(2 * len(list_intersect(gx, gy)) / (len(gx) + len(gy)), 4) AS DOUBLE) AS dice,
   CAST(round(len(list_intersect(gx, gy)) / CASE WHEN length(x) <= length(y) THEN len(gx) ELSE len(gy) END, 4) AS DOUBLE) AS containment FROM g""")
 def bigram_dice(spark, d):
-    both = table(spark, d, "benchmark").join(documents(spark, d).select("doc_id", F.substring("text", 1, 300).alias("other")), F.col("item_id") == F.col("doc_id"))
+    both = table(spark, d, "benchmark").join(documents(spark, d).select("doc_id", F.col("text").alias("other")), F.col("item_id") == F.col("doc_id"))
     return both.select("item_id", tx.dice(F.col("text"), F.col("other")).alias("dice"), tx.containment(F.col("text"), F.col("other")).alias("containment"))
 
 
-@register("compare", with_facts(r"""p AS (SELECT a.id AS a, b.id AS b, a.answer AS x, b.answer AS y FROM facts a JOIN facts b ON a.title = b.title AND a.seq % 10 = 1 AND b.seq % 10 IN (2, 7)),
-n AS (SELECT *, regexp_extract_all(x, '[0-9]+') AS nx, regexp_extract_all(y, '[0-9]+') AS ny FROM p)
-SELECT a, b, CASE WHEN x = y THEN 'duplicate' WHEN nx <> ny THEN 'conflict' ELSE 'unrelated' END AS action FROM n"""))
+_COMPARED = """p AS (SELECT p_partkey AS k, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS v, p_name AS n, p_type AS t, p_size AS z FROM part),
+c AS (SELECT k, v, CASE v WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n || ' 12 units' WHEN 3 THEN n || ' is 1,200' WHEN 4 THEN t || ' ' || n WHEN 5 THEN n || ' ' || t || ' ' || (z + 10) ELSE n END AS x,
+  CASE v WHEN 0 THEN upper(n) || '!' WHEN 1 THEN t WHEN 2 THEN n || ' 15 units' WHEN 3 THEN n || ' costs 1200.0' WHEN 4 THEN n WHEN 5 THEN t || ' ' || (z + 10) || ' of ' || substring(n, 1, 6) WHEN 6 THEN '' ELSE n || substring(t, 1, 3) END AS y FROM p)"""
+
+
+@register("compare", rf"""WITH {_COMPARED},
+s AS (SELECT *, {COMPARE.format('x')} AS a, {COMPARE.format('y')} AS b,
+  list_sort(list_distinct(list_transform(regexp_extract_all(replace(x, ',', ''), '[0-9]+(?:\.[0-9]+)?'), lambda i: CASE WHEN contains(i, '.') THEN rtrim(rtrim(i, '0'), '.') ELSE i END))) AS na,
+  list_sort(list_distinct(list_transform(regexp_extract_all(replace(y, ',', ''), '[0-9]+(?:\.[0-9]+)?'), lambda i: CASE WHEN contains(i, '.') THEN rtrim(rtrim(i, '0'), '.') ELSE i END))) AS nb FROM c),
+g AS (SELECT *, CASE WHEN a = '' THEN [] ELSE {_GRAMS.format('a')} END AS ga, CASE WHEN b = '' THEN [] ELSE {_GRAMS.format('b')} END AS gb FROM s),
+m AS (SELECT *, len(list_intersect(ga, gb)) AS met, length(a) AS la, length(b) AS lb FROM g),
+r AS (SELECT *, CASE WHEN len(ga) = 0 OR len(gb) = 0 THEN CASE WHEN len(ga) = len(gb) THEN 1.0 ELSE 0.0 END ELSE round(2 * met / (len(ga) + len(gb)), 4) END AS score,
+  CASE WHEN len(ga) = 0 OR len(gb) = 0 THEN 0.0 ELSE round(met / CASE WHEN la <= lb THEN len(ga) ELSE len(gb) END, 4) END AS share, len(na) > 0 AND len(nb) > 0 AS numbered,
+  least(la, lb) AS short, greatest(la, lb) AS long FROM m),
+v AS (SELECT *, CASE WHEN a = b THEN 'same' WHEN numbered AND na <> nb THEN 'numbers' WHEN short > 0 AND short >= 0.45 * long AND (contains(a, b) OR contains(b, a)) THEN 'contained'
+  WHEN short >= 2 AND short >= 0.45 * long AND share >= 0.9 THEN 'subset' WHEN numbered AND len(list_filter(na, lambda i: length(i) >= 2)) > 0 AND score >= 0.45 THEN 'same_numbers' WHEN score >= 0.82 THEN 'similar' ELSE 'unrelated' END AS rule FROM r)
+SELECT k, v, rule, CASE rule WHEN 'numbers' THEN 'conflict' WHEN 'unrelated' THEN 'unrelated' ELSE 'duplicate' END AS action,
+  CASE WHEN rule = 'same' THEN 'existing' WHEN rule IN ('numbers', 'unrelated') THEN 'both' WHEN la >= lb THEN 'existing' ELSE 'candidate' END AS keep, CAST(score AS DOUBLE) AS similarity FROM v""")
 def compare(spark, d):
-    f = facts(spark, d).select("id", "title", "answer", (F.col("seq") % 10).alias("n"))
-    pairs = f.filter("n = 1").select(F.col("id").alias("a"), "title", F.col("answer").alias("x")).join(f.filter("n IN (2, 7)").select(F.col("id").alias("b"), "title", F.col("answer").alias("y")), "title")
-    return dedupe.compare(pairs, "x", "y").select("a", "b", "action")
-
-
-@register("value_like", with_facts(r"SELECT id, true AS value_like, regexp_extract(answer, '[0-9]+') AS signature FROM facts"))
+    """Eight pairs of answers for each part, from its words: each rule decides some."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("n"), F.col("p_type").alias("t"), (F.col("p_size") + 10).cast("string").alias("z"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("v"))
+    n, t, z = F.col("n"), F.col("t"), F.col("z")
+    pick = lambda *cases: F.get(F.array(*cases), F.col("v"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    old = pick(n, n, text(n, " 12 units"), text(n, " is 1,200"), text(t, " ", n), text(n, " ", t, " ", z), n, n)
+    new = pick(text(F.upper(n), "!"), t, text(n, " 15 units"), text(n, " costs 1200.0"), n, text(t, " ", z, " of ", F.substring(n, 1, 6)), F.lit(""), text(n, F.substring(t, 1, 3)))
+    pairs = part.select("k", "v", old.alias("x"), new.alias("y"))
+    return dedupe.compare(pairs, "x", "y").select("k", "v", "rule", "action", "keep", F.col("similarity").cast("double").alias("similarity"))
+
+
+@register("value_like", r"""WITH v AS (SELECT p_partkey AS k, unnest([0, 1, 2, 3, 4]) AS v, p_name AS n, p_size AS z, p_type AS t FROM part)
+SELECT k, v, CASE v WHEN 0 THEN z >= 10 WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true ELSE false END AS value_like, CASE v WHEN 0 THEN z || '' WHEN 1 THEN CAST(1000 + z AS VARCHAR) WHEN 2 THEN '' WHEN 3 THEN z || '|12.5' ELSE CAST(z + 100 AS VARCHAR) END AS signature FROM v""")
 def value_like(spark, d):
-    return facts(spark, d).select("id", tx.value_like(F.col("answer")).alias("value_like"), tx.signature(tx.numbers_signed(F.col("answer"))).alias("signature"))
+    """Bare numbers, numbers with thousands marks, none, several, and numbers in a sentence."""
+    z = F.col("p_size").cast("string")
+    thousand = F.format_number(F.col("p_size") + 1000, 0)
+    values = F.array(z, F.concat(thousand, F.lit(" USD")), F.col("p_type"), F.concat(F.lit("12.50 / "), z), F.concat((F.col("p_size") + 100).cast("string"), F.lit(" of these were sold in the summer")))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.posexplode(values).alias("v", "answer"))
+    return rows.select("k", "v", tx.value_like(F.col("answer")).alias("value_like"), tx.signature(tx.numbers_signed(F.col("answer"))).alias("signature"))
 
 
 @register("simhash64", f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format(squash_sql('text'))}) AS w FROM documents),
@@ -158,8 +185,18 @@ def simhash_neighbours(spark, d):
     return pairs.unionByName(members)
 
 
-@register("grounded")
+@register("grounded", f"""WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '[ \t\n\f\r\v]+', ' ', 'g'), ' ') AS t FROM documents),
+u AS (SELECT doc_id, CASE WHEN length(t) <= 800 THEN t ELSE substring(t, 1, 799) || '…' END AS text FROM s)
+SELECT doc_id, CAST(length({COMPARE.format('text')}) AS INTEGER) AS run, length({COMPARE.format('text')}) >= 6 AS grounded FROM u""")
 def grounded(spark, d):
+    """Each document's first 800 characters as an answer, against its whole text: runs far beyond what short answers need."""
+    both = documents(spark, d).select("doc_id", tx.summarize(F.col("text"), 800).alias("answer"), F.col("text").alias("source"))
+    return both.select("doc_id", grounding.longest_common_run("answer", "source").alias("run"), grounding.grounded("answer", "source").alias("grounded"))
+
+
+@register("longest_common_run")
+def longest_common_run(spark, d):
+    """Benchmark items against the document of the same number."""
     both = table(spark, d, "benchmark").join(documents(spark, d).select("doc_id", F.col("text").alias("source")), F.col("item_id") == F.col("doc_id"))
     return both.select("item_id", grounding.longest_common_run("text", "source").alias("run"), grounding.grounded("text", "source").alias("grounded"))
 
@@ -227,10 +264,10 @@ def constant_fields(spark, d):
     return audit.constant_fields(pairs)
 
 
-@register("table_facts", """SELECT p_partkey, substring(p_name, 1, 24) || '（parts）' AS fact_title, 'parts 中「' || substring(p_name, 1, 24) || '」的详细信息：brand：' || p_brand || '；kind：' || p_type || '。' AS fact_answer FROM part WHERE length(p_name) <= 30""")
+@register("table_facts", """SELECT p_partkey, substring(p_name, 1, 24) || '（parts）' AS fact_title, 'parts 中「' || substring(p_name, 1, 24) || '」的详细信息：brand：' || p_brand || '；kind：' || p_type || '。' AS fact_answer FROM part""")
 def table_facts(spark, d):
     """A part's row as a markdown table, and its fact."""
-    part = table(spark, d, "part").filter(F.length("p_name") <= 30)
+    part = table(spark, d, "part")
     text = F.concat(F.lit("| name | brand | kind |\n|---|---|---|\n| "), F.col("p_name"), F.lit(" | "), F.col("p_brand"), F.lit(" | "), F.col("p_type"), F.lit(" |"))
     return tables.table_facts(part.select("p_partkey", text.alias("text"), F.lit("parts").alias("page")), "text", "page").select("p_partkey", "fact_title", "fact_answer")
 
@@ -263,8 +300,7 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id OR
 @register("bm25", f"WITH {_BM25} SELECT question_id, doc_id AS chunk_id, bm FROM pool WHERE r <= 10")
 def bm25(spark, d):
     chunks, asked = _chunks(spark, d), _questions(spark, d)
-    scored = search.bm25(search.postings(chunks, "chunk_id", F.col("tokens")), chunks.select("chunk_id", F.size("tokens").alias("len")), asked.select("question_id", F.explode("tokens").alias("term")), "chunk_id", "question_id")
-    return search.top(scored, "question_id", 10, F.asc("bm"), F.asc("chunk_id")).select("question_id", "chunk_id", "bm")
+    return search.bm25_pool(search.postings(chunks, "chunk_id", F.col("tokens")), chunks.select("chunk_id", F.size("tokens").alias("len")), asked.select("question_id", F.explode("tokens").alias("term")), "chunk_id", "question_id", 10)
 
 
 SEARCH_CHUNKS = f"""{_BM25},
@@ -297,7 +333,23 @@ def cosine_topk(spark, d):
     return search.cosine_topk(vectors, vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "vec_id", "relevance")
 
 
-@register("search_facts")
+_FACT_TOKENS = "regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_+#.-]*|[0-9]+(?:[.][0-9]+)?%?')"
+
+
+@register("search_facts", with_facts(f"""f AS (SELECT *, lower(title) AS tn, lower(title) || ' ' || lower(tags) || ' ' || lower(answer) AS hay, {_FACT_TOKENS.format("lower(title) || ' ' || lower(answer)")} AS tok FROM facts WHERE status = 'active'),
+q AS (SELECT p_partkey AS qid, 'price of part' || p_partkey AS qn, ['price', 'of', 'part' || p_partkey] AS qt FROM part WHERE p_partkey % 20 = 0),
+post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tok) AS term FROM f) GROUP BY ALL), st AS (SELECT count(*) AS n, avg(len(tok)) AS avg_len FROM f), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+bm AS (SELECT qid, post.id, round(-sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(tok) / avg_len))), 6) AS bm
+  FROM (SELECT qid, unnest(qt) AS term FROM q) JOIN df USING (term) JOIN post USING (term) JOIN f ON f.id = post.id, st GROUP BY ALL),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm, id) AS r FROM bm) WHERE r <= 32),
+sc AS (SELECT pool.qid, pool.id, bm, slot, version, effective_from, split_part(tn, '·', 1) AS entity, len(list_filter(qt, lambda x: contains(hay, x))) / 3 AS cover, len(list_filter(qt, lambda x: contains(tn, x))) / 3 AS in_title,
+  CASE WHEN contains(qn, split_part(tn, '·', 1)) THEN 1.0 ELSE 0.0 END AS hit, confidence FROM pool JOIN f ON f.id = pool.id JOIN q ON q.qid = pool.qid),
+ra AS (SELECT *, round(cover * 0.75 + confidence * 0.25, 4) AS relevance FROM sc), rb AS (SELECT *, round(relevance + 0.35 * least(1, in_title) + 0.5 * hit, 6) AS rank_raw FROM ra),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit DESC, rank_raw DESC, round(bm, 4), id) AS pos FROM rb),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid, slot ORDER BY pos) AS k, row_number() OVER (PARTITION BY qid, slot ORDER BY effective_from DESC, version DESC, pos) AS j FROM o),
+m AS (SELECT a.qid, a.id, a.relevance, a.rank_raw, a.entity, a.hit, b.pos FROM w a JOIN w b ON a.qid = b.qid AND a.slot = b.slot AND a.j = b.k),
+e AS (SELECT *, hit > 0 AND row_number() OVER (PARTITION BY qid, entity, hit > 0 ORDER BY pos) = 1 AS ahead FROM m)
+SELECT qid AS question_id, id, CAST(relevance AS DOUBLE) AS relevance, CAST(rank_raw AS DOUBLE) AS rank_raw, CAST(pos AS INTEGER) AS pos FROM (SELECT qid, id, relevance, rank_raw, row_number() OVER (PARTITION BY qid ORDER BY ahead DESC, pos) AS pos FROM e) WHERE pos <= 8"""))
 def search_facts(spark, d):
     f = facts(spark, d).filter("status = 'active'").withColumn("title_norm", tx.squash(F.col("title")))
     f = f.select("id", "title", "title_norm", F.concat_ws(" ", "title_norm", F.lower("tags"), F.lower("answer")).alias("haystack"), tx.tokenize(F.concat_ws(" ", "title_norm", F.lower("answer"))).alias("tokens"), "confidence", "version", "effective_from", F.col("slot").alias("slot_key"))
