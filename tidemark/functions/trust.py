@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import types as ty
+
 # Weights and scores of the trust model.
 WEIGHTS = {"source": 0.45, "extraction": 0.25, "consistency": 0.20, "freshness": 0.10}
 SOURCE = {"official": 1.0, "manual": 0.95, "wiki": 0.75, "seed": 0.6, "community": 0.5}
@@ -55,4 +58,11 @@ def trust_tag(source_type: Column, extraction: Column, agreement: Column, fresh:
     """The score and its parts as text."""
     name = F.when(F.coalesce(extraction, F.lit("")) == "", "llm").otherwise(extraction)
     parts = (trust(source_type, extraction, agreement, fresh), _score(source_type, SOURCE, 0.5), _score(extraction, EXTRACTION, 0.6), agreement, fresh)
-    return F.format_string("提取:%s 可信度:%.2f(来源%.2f/提取%.2f/一致%.2f/时效%.2f)", name, *parts)
+    return _tag(name, *parts)
+
+
+@F.pandas_udf(ty.STRING)
+def _tag(name: pd.Series, *parts: pd.Series) -> pd.Series:
+    """Two decimals of the binary value, as C prints them; the JVM rounds the shortest spelling up, 0.595 to 0.60."""
+    rows = zip(name, *parts, strict=True)
+    return pd.Series([f"提取:{n} 可信度:{a:.2f}(来源{b:.2f}/提取{c:.2f}/一致{d:.2f}/时效{e:.2f})" for n, a, b, c, d, e in rows])

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules that register queries."""
-    from tidemark.plans import answer_queries, fact_queries, text_queries  # noqa: F401
+    from tidemark.plans import answer_queries, fact_queries, source_queries, store_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

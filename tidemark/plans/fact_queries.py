@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import trust, urls, wikitext
 from tidemark.functions import versions as vs
-from tidemark.operators import audit, dedupe, lifecycle, search, topics, vote
+from tidemark.operators import answers, audit, dedupe, lifecycle, search, topics, vote
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import providers
@@ -75,7 +75,7 @@ def trust_penalised(spark, d):
     return _trusted(spark, d).select("id", trust.trust(F.col("source_type"), F.col("extraction"), F.col("agree"), F.col("fresh"), F.lit(0.6)).alias("trust"))
 
 
-@register("trust_tag")
+@register("trust_tag", with_facts(f"""{_TRUST} SELECT id, format('提取:{{}} 可信度:{{:.2f}}(来源{{:.2f}}/提取{{:.2f}}/一致{{:.2f}}/时效{{:.2f}})', extraction, trust, CAST(src AS DOUBLE), CAST(ext AS DOUBLE), CAST(agree AS DOUBLE), CAST(fresh AS DOUBLE)) AS tag FROM t"""))
 def trust_tag(spark, d):
     return _trusted(spark, d).select("id", trust.trust_tag(F.col("source_type"), F.col("extraction"), F.col("agree"), F.col("fresh")).alias("tag"))
 
@@ -390,11 +390,15 @@ def search_dedupe(spark, d):
     return providers.search_dedupe(p).select("query", "url", "rank")
 
 
-@register("followup", """SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS earlier FROM conversations WHERE role = 'user'""")
+@register("followup", """SELECT c_custkey AS conv_id, CAST(2 AS BIGINT) AS turn, CASE c_custkey % 3 WHEN 0 THEN lower(c_name) || '的生日呢' ELSE '它的生日呢' END AS question, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN '你指的是' || lower(c_name) || '、other' || c_custkey || 'x中的哪一个？' ELSE '你指的是哪位角色或哪个对象？请告诉我名称。' END AS clarify FROM customer""")
 def followup(spark, d):
-    """Each question with the one before it, from which a pronoun takes its subject."""
-    c = table(spark, d, "conversations").filter("role = 'user'")
-    return c.select("conv_id", "turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("earlier"))
+    """A question that leans on the one before it: that names one thing, two, or none."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    other = F.concat(F.lit("other"), k.cast("string"), F.lit("x"))
+    first = F.when(k % 3 == 0, F.concat(F.lit("tell of "), F.col("c_name"))).when(k % 3 == 1, F.concat(F.col("c_name"), F.lit(" or "), other)).otherwise("tell of anyone")
+    turns = c.select(k.alias("conv_id"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), first.alias("text")), F.struct(F.lit(2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("它的生日呢").alias("text")))).alias("x")).select("conv_id", "x.*")
+    names = c.select(F.lower("c_name").alias("name")).union(c.select(other))
+    return answers.followups(turns, names).filter("turn = 2")
 
 
 @register("api_facts", "SELECT p_partkey, 'part' || p_partkey || '·brand' AS title, 'part' || p_partkey || ' 的brand为：' || p_brand AS answer FROM part WHERE length(p_brand) >= 2")

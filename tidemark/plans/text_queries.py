@@ -245,7 +245,7 @@ def crawl_frontier(spark, d):
     return web.crawl(table(spark, d, "pages").select("url"), links, 2)
 
 
-@register("template_fields")
+@register("template_fields", """SELECT p_partkey, unnest(['name', 'brand', 'size', 'note']) AS field, unnest([p_name, p_brand, CAST(p_size AS VARCHAR), p_type]) AS value FROM part""")
 def template_fields(spark, d):
     """A part's row as a template, and its fields read back."""
     part = table(spark, d, "part")
