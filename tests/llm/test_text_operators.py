@@ -96,7 +96,7 @@ def test_removed_words_equal_brute_force(spark, block_chars, range_windows):
             a = rng.randrange(len(part))
             t += part[a:] + words(rng, rng.randrange(0, 5))
         texts.append(" ".join(t) + rng.choice(["", "\n", " x"]))
-    texts += [" ".join(["a", "b"] * 20), texts[10], texts[10]]
+    texts += [" ".join(["a", "b"] * 20), texts[10], texts[10], "x y z " * 5 + "end", "p q r s t u v w x y z p q r s t u v w x y"]
     data = [(i if i != 7 else None, t, "clash") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(data, "doc_id long, text string, n_words string")
     got = substring_dedup.remove_repeats(docs, window=10, block_chars=block_chars, range_windows=range_windows).collect()
@@ -125,8 +125,11 @@ def test_a_very_long_text(spark):
 def test_anchors_are_those_of_equal_windows():
     rng = np.random.default_rng(3)
     h = rng.integers(0, 2**64, 400, np.uint64)
-    assert substring_dedup._least(h, 18).tolist() == [min(h[i : i + 18].tolist()) for i in range(383)]
-    assert substring_dedup._least(h, 1).tolist() == h.tolist()
+    h[100:140] = np.tile(h[100:104], 10)
+    for n in (1, 2, 7, 18):
+        values, at = substring_dedup._least(h, n)
+        assert values.tolist() == [min(h[i : i + n].tolist()) for i in range(401 - n)]
+        assert at.tolist() == [i + int(np.argmin(h[i : i + n])) for i in range(401 - n)]
     rows = rng.integers(0, 5, (300, 2)).astype(np.uint64)
     values, number, count = substring_dedup._distinct(rows)
     assert (values[number] == rows).all() and [tuple(x) for x in values.tolist()] == sorted({tuple(x) for x in rows.tolist()})

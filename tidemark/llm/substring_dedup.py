@@ -47,19 +47,27 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FOUND = "_kind int, _range int, _block int, _bits binary"
 
 
-def _least(values: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n consecutive values."""
-    size = 1
+def _least(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each n consecutive values, and where the first such stands."""
+    places, size = np.arange(len(values)), 1
+
+    def lower(ahead: int) -> tuple[np.ndarray, np.ndarray]:
+        m = len(values) - ahead
+        left = values[:m] <= values[ahead:]
+        return np.where(left, values[:m], values[ahead:]), np.where(left, places[:m], places[ahead:])
+
     while 2 * size <= n:
-        values, size = np.minimum(values[: len(values) - size], values[size:]), 2 * size
-    return values if size == n else np.minimum(values[: len(values) - (n - size)], values[n - size :])
+        (values, places), size = lower(size), 2 * size
+    return lower(n - size) if size < n else (values, places)
 
 
-def _anchors(block: Block, window: int, places: np.ndarray) -> np.ndarray:
+def _anchors(block: Block, window: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's anchor and where it stands in the block."""
     k = window // 2 + 1
     if len(block.hashes) < window:
-        return np.empty(0, np.uint64)
-    return _least(window_hashes(block.hashes, k), window - k + 1)[places] * _SPREAD
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    values, at = _least(window_hashes(block.hashes, k), window - k + 1)
+    return values[places] * _SPREAD, at[places]
 
 
 def _pairs(block: Block, window: int, first: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -140,19 +148,26 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def parts(table: pa.Table):
         table = table.take(pc.sort_indices(table, [("_row", "ascending")]))
         out = [(b, *b.windows(window)) for b in blocks(table.column("_text"))]
-        anchors = np.concatenate([_anchors(b, window, p) for b, _, p in out]) if out else np.empty(0, np.uint64)
-        return table, out, anchors[:, None]
+        values, at, words = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for b, _, p in out:
+            value, place = _anchors(b, window, p)
+            values.append(value)
+            at.append(place + words)
+            words += len(b.words)
+        # windows side by side share an anchor's place: it is one anchor of the block
+        at, first, number = np.unique(np.concatenate(at), return_index=True, return_inverse=True)
+        return table, out, (np.concatenate(values)[first][:, None], number)
 
     def bits_of(found: pa.Table, kind: int) -> list[tuple[int, bytes]]:
         return [(r["_range"], r["_bits"]) for r in found.to_pylist() if r["_kind"] == kind]
 
     def index(table: pa.Table) -> pa.Table:
         _, _, anchors = parts(table)
-        return _dealt(_distinct(anchors)[0], table.column("_block")[0].as_py(), n_anchored)
+        return _dealt(_distinct(anchors[0])[0], table.column("_block")[0].as_py(), n_anchored)
 
-    def factored(out: list, anchors: np.ndarray, found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def factored(out: list, anchors: tuple[np.ndarray, np.ndarray], found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         """Which windows lie in factors, and these windows' hashes."""
-        inside = _known(anchors, bits_of(found, 0), n_anchored)
+        inside = _known(anchors[0], bits_of(found, 0), n_anchored)[anchors[1]]
         pairs = [_pairs(b, window, h, p) for b, h, p in out]
         return inside, np.concatenate(pairs)[inside] if pairs else np.empty((0, 2), np.uint64)
 
@@ -188,12 +203,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 kept.append(b" ".join(words).decode())
         return pa.table([table.column("_key"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, arrow.field("kept").type)], schema=arrow)
 
+    # one plan, in which texts are dealt out to blocks once and read by all three steps
     grouped = dealt.groupBy("_block")
     shape = "_range int, _block int, _prints binary"
     near = grouped.applyInArrow(index, shape).groupBy("_range").applyInArrow(_lookup(0, 1), _FOUND)
-    near = work.write(near, "anchors")
     exact = grouped.cogroup(near.groupBy("_block")).applyInArrow(boundaries, shape).groupBy("_range").applyInArrow(_lookup(1, 2), _FOUND)
-    found = near.unionByName(work.write(exact, "windows"))
+    found = near.unionByName(exact)
     return grouped.cogroup(found.groupBy("_block")).applyInArrow(parse, schema).withColumnRenamed("_key", key)
 
 
