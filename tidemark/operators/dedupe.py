@@ -12,8 +12,8 @@ from tidemark.functions import types as ty
 from tidemark.functions import text as tx
 
 RATIO, SUBSET, SAME_NUMBERS, SIMILAR = 0.45, 0.9, 0.45, 0.82
-#: XOR masks of the 16-bit numbers with at most two bits set.
-BALL = [0, *(1 << i for i in range(16)), *((1 << i) | (1 << j) for i in range(16) for j in range(i))]
+#: Parts of 16 bits of a fingerprint.
+PARTS = 4
 
 _FNV_START, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
@@ -37,20 +37,37 @@ def _fnv(words: list[bytes]) -> np.ndarray:
     return value
 
 
+#: Tokens whose bits are held at one time.
+_TOKENS = 200_000
+
+
+def simhashes(rows: list[np.ndarray]) -> np.ndarray:
+    """64-bit SimHash of each row's tokens as a signed number; 0 without tokens. Each different word of a batch is hashed once."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    out, at = np.zeros(len(rows), np.uint64), 0
+    ends = np.cumsum(sizes)
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    while at < len(rows):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOKENS, "right")))
+        full = np.flatnonzero(sizes[at:stop]) + at
+        if len(full):
+            number, words = pd.factorize(np.concatenate([np.asarray(rows[i], object) for i in full]))
+            bits = (_fnv([w.encode() for w in words])[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+            signs = (2 * bits.astype(np.int8) - 1).astype(np.int8)[number]
+            votes = np.add.reduceat(signs, np.cumsum(sizes[full]) - sizes[full], axis=0, dtype=np.int32)
+            out[full] = np.bitwise_or.reduce(np.where(votes > 0, powers, np.uint64(0)), axis=1)
+        at = stop
+    return out.view(np.int64)
+
+
 def simhash(tokens: list[str]) -> int:
-    """64-bit SimHash as a signed number; 0 without tokens."""
-    if len(tokens) == 0:
-        return 0
-    words, weights = np.unique(np.array([t.encode() for t in tokens], dtype=object), return_counts=True)
-    bits = (_fnv(list(words))[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = (weights[:, None] * (2 * bits.astype(np.int64) - 1)).sum(0)
-    return int(np.bitwise_or.reduce(np.where(votes > 0, np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(0))).view(np.int64))
+    return int(simhashes([tokens])[0])
 
 
 @F.pandas_udf(ty.LONG)
 def simhash64(normalized: pd.Series) -> pd.Series:
-    """SimHash of a normalised text's index tokens."""
-    return normalized.map(lambda t: simhash(tx.tokens_of(t)))
+    """SimHash of a normalised text's index tokens; hashes and votes are taken a batch at a time."""
+    return pd.Series(simhashes([tx.tokens_of(t) for t in normalized]))
 
 
 def simhash_bucket(h: Column) -> Column:
@@ -93,14 +110,22 @@ def compare(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def simhash_neighbours(rows: DataFrame, others: DataFrame, key: str = "id", h: str = "simhash", limit: int | None = None, distance: int = 3) -> DataFrame:
-    """key, other and distance: the rows of ``others`` within the distance, whose top 16 bits differ by two at most.
+    """key, other and distance: the rows of ``others`` within the distance, 3 at most, whose top 16 bits differ by two at most.
 
     With a limit, the nearest ones only, and their rank.
-    Each row is sent to the 137 buckets around its own; an equi-join on the bucket finds the rest.
+    Of four parts of 16 bits one is equal, where three bits differ, so rows meet in an equi-join on part and place; a pair that has several equal parts
+    counts at the first.
     """
-    probe = rows.select(F.col(key), F.col(h).alias("_h"), F.explode(F.array(*[F.lit(m) for m in BALL])).alias("_m")).withColumn("_b", F.col("_m").bitwiseXOR(simhash_bucket(F.col("_h"))))
-    index = others.select(F.col(key).alias("other"), F.col(h).alias("_g")).withColumn("_b", simhash_bucket(F.col("_g")))
-    near = probe.join(index, "_b").filter(F.col(key) != F.col("other")).withColumn("distance", hamming(F.col("_h"), F.col("_g"))).filter(F.col("distance") <= distance)
+    if distance > PARTS - 1:
+        raise ValueError(f"parts of 16 bits find distances up to {PARTS - 1}")
+    part = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    parts = lambda c: F.array(*[part(c, i) for i in range(PARTS)])
+    probe = rows.select(F.col(key), F.col(h).alias("_h"), F.posexplode(parts(F.col(h))).alias("_i", "_b"))
+    index = others.select(F.col(key).alias("other"), F.col(h).alias("_g"), F.posexplode(parts(F.col(h))).alias("_i", "_b"))
+    both = F.col("_h").bitwiseXOR(F.col("_g"))
+    first = F.array_position(parts(both), 0) == F.col("_i") + 1
+    near = probe.join(index, ["_i", "_b"]).filter((F.col(key) != F.col("other")) & (hamming(F.col("_h"), F.col("_g")) <= distance) & first)
+    near = near.filter(F.bit_count(F.shiftrightunsigned(both, 48)) <= 2).withColumn("distance", hamming(F.col("_h"), F.col("_g")))
     if limit is None:
         return near.select(key, "other", "distance")
     w = Window.partitionBy(key).orderBy("distance", F.desc("other"))

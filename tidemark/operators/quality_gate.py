@@ -78,7 +78,8 @@ def gate_reason(title: Column, cleaned: Column, names=FOREIGN) -> Column:
 
 def validate_page(df, title: str, text: str):
     """df with cleaned_text, removed_lines, info_density, reason and ok."""
-    df = df.withColumn("_s", strip_boilerplate(F.col(text)))
+    # a generator of one row: the text is stripped once, not at each place that reads it
+    df = df.withColumn("_s", F.explode(F.array(strip_boilerplate(F.col(text)))))
     df = df.withColumns({"cleaned_text": F.col("_s.text"), "removed_lines": F.col("_s.removed")}).drop("_s")
     df = df.withColumns({"info_density": F.round(tx.info_density(F.col("cleaned_text")), 3), "reason": gate_reason(F.col(title), F.col("cleaned_text"))})
     return df.withColumn("ok", F.col("reason") == "")
