@@ -90,7 +90,8 @@ def pairs_of(text: Column) -> Column:
 def tokenize(normalized: Column) -> Column:
     """Index tokens of a normalised text: bigrams of CJK runs, words, numbers."""
     pieces = F.regexp_extract_all(normalized, F.lit(TOKEN), 1)
-    return F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{CJK}]"), pairs_of(p)).otherwise(F.array(p))))
+    cut = F.flatten(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{CJK}]"), pairs_of(p)).otherwise(F.array(p))))
+    return F.when(normalized.rlike(f"[{CJK}]"), cut).otherwise(pieces)  # the lambda costs as much as the pattern
 
 
 def tokens_of(normalized: str | None) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -173,22 +175,31 @@ def find_duplicate(candidates: DataFrame, facts: DataFrame, same_title: int = 6)
     return every.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("cid", "id", "action", "keep", "rule")
 
 
-def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    """First fit in the given order: a row joins the first keeper that it repeats."""
+_KEPT = ["seq", "title", "answer", "tags", "source_url", "confidence", "merged"]
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """First fit in the given order: a row joins the first keeper of its title that it repeats. Rows come by title and order."""
     from tidemark.operators import facts_py as py
 
-    keepers: list[dict] = []
-    for row in rows.sort_values("seq").to_dict("records"):
-        for k in keepers:
-            if py.compare(k["answer"], row["answer"])[0] == "duplicate":
-                k["answer"] = py.merge_answers(k["answer"], row["answer"])
-                k["confidence"] = max(k["confidence"], row["confidence"])
-                k["tags"] = _with_sources(k["tags"], [row["own"], *row["sources"]])
-                k["merged"] += 1 + row["merged"]
-                break
-        else:
-            keepers.append(row | {"tags": _with_sources(row["tags"], row["sources"])})
-    return pd.DataFrame(keepers, columns=["seq", "title", "answer", "tags", "source_url", "confidence", "merged"])
+    title, keepers = None, []
+    for batch in batches:
+        done: list[dict] = []
+        for row in batch.to_dict("records"):
+            if row["_t"] != title:
+                done += keepers
+                title, keepers = row["_t"], []
+            for k in keepers:
+                if py.compare(k["answer"], row["answer"])[0] == "duplicate":
+                    k["answer"] = py.merge_answers(k["answer"], row["answer"])
+                    k["confidence"] = max(k["confidence"], row["confidence"])
+                    k["tags"] = _with_sources(k["tags"], [row["own"], *row["sources"]])
+                    k["merged"] += 1 + row["merged"]
+                    break
+            else:
+                keepers.append(row | {"tags": _with_sources(row["tags"], row["sources"])})
+        yield pd.DataFrame(done, columns=_KEPT)
+    yield pd.DataFrame(keepers, columns=_KEPT)
 
 
 def _with_sources(tags: str | None, sources: list[str]) -> str:
@@ -214,7 +225,8 @@ def merge_seed_facts(facts: DataFrame, sequence: str = "seq") -> DataFrame:
     # the first row's own source counts among the merged ones only if another row has it too
     others = F.filter("_again", lambda s: (s["source"] != F.col("x.own")) | (s["n"] > 1))
     ready = once.select("_t", "x.seq", "x.title", "answer", "x.tags", "x.source_url", "x.own", F.transform(others, lambda s: s["source"]).alias("sources"), "confidence", "merged")
-    return ready.groupBy("_t").applyInPandas(_fold, "seq long, title string, answer string, tags string, source_url string, confidence double, merged int")
+    ordered = ready.repartition("_t").sortWithinPartitions("_t", "seq")
+    return ordered.mapInPandas(_fold, "seq long, title string, answer string, tags string, source_url string, confidence double, merged int")
 
 
 def merge_into(existing: DataFrame, other: DataFrame, key: str = "id") -> DataFrame:

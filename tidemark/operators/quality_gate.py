@@ -42,12 +42,15 @@ FOREIGN = (
     "黑神话", "幻塔", "光遇", "第五人格", "阴阳师", "Fate/Grand Order", "FGO", "妮姬", "尘白禁区", "白荆回廊", "无限暖暖", "洛克王国",
 )
 MIN_CHARS, MIN_DENSITY, TABLE_DENSITY, FOREIGN_KINDS, FOREIGN_SHARE = 150, 0.35, 0.25, 4, 0.02
-_NOISE = "(?i)" + "|".join(f"(?:{p})" for p in LINE_NOISE)
+_START = r"^\s*"
+#: Patterns of a line's start, tried at one place, and of any place, all of which have a CJK character.
+_AT_START = f"(?i){_START}(?:" + "|".join(p.removeprefix(_START) for p in LINE_NOISE if p.startswith(_START)) + ")"
+_ANYWHERE = "(?i)" + "|".join(f"(?:{p})" for p in LINE_NOISE if not p.startswith(_START))
 
 
 def boilerplate_line(line: Column) -> Column:
     own = F.btrim(F.coalesce(line, F.lit("")))
-    return (own != "") & own.rlike(_NOISE)
+    return (own != "") & (own.rlike(_AT_START) | F.when(own.rlike(f"[{tx.CJK}]"), own.rlike(_ANYWHERE)).otherwise(False))
 
 
 def strip_boilerplate(text: Column) -> Column:
@@ -70,9 +73,9 @@ def gate_reason(title: Column, cleaned: Column, names=FOREIGN) -> Column:
     rules.append(F.when((tables.density(cleaned) < TABLE_DENSITY) & (tx.info_density(cleaned) < MIN_DENSITY), "density"))
     bare_title, bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", ""), F.regexp_replace(cleaned, r"\s+", "")
     rules.append(F.when(bare_title.rlike(LOW_VALUE_TITLES) & (tx.occurrences(bare, bare_title) >= 3), "title"))
-    foreign = foreign_entities(cleaned, names)
-    hits = F.aggregate(foreign, F.lit(0), lambda s, n: s + tx.occurrences(cleaned, n))
-    rules.append(F.when((F.size(foreign) > 0) & (hits / F.greatest(F.length(cleaned), F.lit(1)) >= FOREIGN_SHARE), "foreign"))
+    hits = lambda found: F.aggregate(found, F.lit(0), lambda s, n: s + tx.occurrences(cleaned, n))
+    much = lambda found: (F.size(found) > 0) & (hits(found) / F.greatest(F.length(cleaned), F.lit(1)) >= FOREIGN_SHARE)
+    rules.append(F.when(tx.let(foreign_entities(cleaned, names), much), "foreign"))
     return F.coalesce(*rules, F.lit(""))
 
 

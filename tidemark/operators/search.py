@@ -20,7 +20,7 @@ from tidemark.operators.steps import settle
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 #: Documents of a term up to which it is rare.
-COMMON = 1000
+COMMON = 20_000
 #: Query vectors that are compared with all vectors at a time.
 QUERIES = 1000
 SOURCE_BONUS = {"official": 0.12, "wiki": 0.08, "seed": 0.06}
@@ -32,14 +32,19 @@ def postings(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(key, "len", F.explode("_t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
 
 
-def _weighted(index: DataFrame, sizes: DataFrame, terms: DataFrame) -> tuple[DataFrame, Column]:
-    """terms with df, idf and avg_len, and a posting's part of the score beside them."""
+def _frequencies(index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """term, df, idf, avg_len and most, the largest part of the score that the term gives to a document."""
     totals = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = terms.join(df, "term").crossJoin(F.broadcast(totals))  # one row
+    counted = index.crossJoin(F.broadcast(totals))  # one row
+    x = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    terms = counted.groupBy("term").agg(F.count("*").alias("df"), F.max(x).alias("_x"), F.first("n_docs").alias("n_docs"), F.first("avg_len").alias("avg_len"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(MIN_IDF))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return asked.withColumn("idf", idf).drop("n_docs"), part
+    return terms.select("term", "df", idf.alias("idf"), "avg_len", (idf * (K1 + 1) * F.col("_x")).alias("most"))
+
+
+def _part() -> Column:
+    """A posting's part of the score."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
 
 def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qkey: str) -> DataFrame:
@@ -47,8 +52,8 @@ def bm25(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qke
 
     index: postings; sizes: a row per document with len, empty ones too; questions: qkey and distinct terms (term).
     """
-    asked, part = _weighted(index, sizes, questions)
-    return index.join(asked.select(qkey, "term", "idf", "avg_len"), "term").groupBy(qkey, key).agg(F.round(-F.sum(part), 6).alias("bm"))
+    asked = questions.join(_frequencies(index, sizes), "term")
+    return index.join(asked.select(qkey, "term", "idf", "avg_len"), "term").groupBy(qkey, key).agg(F.round(-F.sum(_part()), 6).alias("bm"))
 
 
 def bm25_pool(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str, qkey: str, pool: int, common: int = COMMON) -> DataFrame:
@@ -61,11 +66,11 @@ def bm25_pool(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str
     too weak against the most that the common terms can give.
     """
     index, sizes = settle(index, "postings"), settle(sizes, "sizes")
-    asked, part = _weighted(index, sizes, questions)
+    known, part = settle(_frequencies(index, sizes), "terms"), _part()
+    asked = questions.join(known, "term")
     told = index.join(asked.filter(F.col("df") <= common).select(qkey, "term", "idf", "avg_len"), "term")
     rare = told.groupBy(qkey, key).agg(F.sum(part).alias("_rare"))
-    most = (F.col("idf") * (K1 + 1)).alias("most")  # a part is less than that
-    frequent = asked.filter(F.col("df") > common).select(qkey, "term", "idf", "avg_len", most)
+    frequent = asked.filter(F.col("df") > common).select(qkey, "term", "idf", "avg_len", "most")
     sets = frequent.groupBy(qkey).agg(F.sum("most").alias("_most"), F.array_sort(F.collect_list("term")).alias("_set"))
     worst = top(rare, qkey, pool, F.desc("_rare"), F.asc(key), rank="_r").filter(F.col("_r") == pool).select(qkey, F.col("_rare").alias("_worst"))
     bounds = questions.select(qkey).distinct().join(worst, qkey, "left").join(sets, qkey, "left").withColumn("_most", F.coalesce("_most", F.lit(0.0)))
@@ -75,8 +80,8 @@ def bm25_pool(index: DataFrame, sizes: DataFrame, questions: DataFrame, key: str
 
     open_ = bounds.filter(F.col("_set").isNotNull() & (F.col("_worst").isNull() | (F.col("_worst") <= F.col("_most") + 1e-5))).select(qkey, "_set")
     terms = open_.select("_set").distinct().select("_set", F.explode("_set").alias("term"))
-    weights, part = _weighted(index, sizes, terms)
-    listed = index.join(weights.select("_set", "term", "idf", "avg_len"), "term").groupBy("_set", key).agg(F.round(-F.sum(part), 6).alias("bm"))
+    weights = terms.join(known.select("term", "idf", "avg_len"), "term")
+    listed = index.join(weights, "term").groupBy("_set", key).agg(F.round(-F.sum(part), 6).alias("bm"))
     lists = open_.join(top(listed, "_set", pool, F.asc("bm"), F.asc(key)).drop("rank"), "_set").select(qkey, key, "bm")
     both = full.unionByName(lists).groupBy(qkey, key).agg(F.min("bm").alias("bm"))
     return top(both, qkey, pool, F.asc("bm"), F.asc(key)).select(qkey, key, "bm")

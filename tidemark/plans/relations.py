@@ -54,8 +54,14 @@ FACTS = """facts AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'part' || l_pa
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_returnflag, l_shipdate) AS rn FROM lineitem) JOIN part ON l_partkey = p_partkey AND rn = 1)"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files split into fewer parts, as one file of one row group does; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def with_facts(body: str) -> str:

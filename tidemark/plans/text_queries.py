@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import chunking, grounding, tables, urls, wikitext
 from tidemark.functions import text as tx
 from tidemark.operators import dedupe, quality_gate, search
+from tidemark.operators.steps import settle
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import pages as web
@@ -50,7 +51,8 @@ def summarize(spark, d):
 @register("tokenize", f"""WITH a AS (SELECT doc_id, {TOKENS.format(squash_sql('text'))} AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens FROM a""")
 def tokenize(spark, d):
-    df = documents(spark, d).withColumn("n", tx.normalize(F.col("text"))).withColumn("t", tx.tokenize(F.col("n")))
+    df = documents(spark, d).select("doc_id", F.explode(F.array(tx.normalize(F.col("text")))).alias("n"))  # generators of one row: each step once
+    df = df.select("doc_id", F.explode(F.array(tx.tokenize(F.col("n")))).alias("t"))
     return df.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
@@ -178,7 +180,7 @@ def simhash64(spark, d):
 @register("simhash_neighbours")
 def simhash_neighbours(spark, d):
     """Pairs of different fingerprints by their smallest documents, and as members the other documents with that document's fingerprint."""
-    hashed = simhash64(spark, d).filter("simhash <> 0")
+    hashed = settle(simhash64(spark, d).filter("simhash <> 0"), "simhashes")
     rows = hashed.groupBy("simhash").agg(F.min("doc_id").alias("id"))
     pairs = dedupe.simhash_neighbours(rows, rows).withColumn("member", F.lit(False))
     members = hashed.join(rows, "simhash").filter("doc_id <> id").select(F.col("doc_id").alias("id"), F.col("id").alias("other"), F.lit(0).alias("distance"), F.lit(True).alias("member"))
@@ -276,8 +278,9 @@ def table_facts(spark, d):
 
 
 def _chunks(spark, d):
-    df = documents(spark, d).withColumn("text_norm", tx.normalize(F.col("text")))
-    return df.select(F.col("doc_id").alias("chunk_id"), "text_norm", F.lit("").alias("title_norm"), F.when(F.col("source") == "src1", "official").otherwise("community").alias("source_type"), tx.tokenize(F.col("text_norm")).alias("tokens"))
+    df = documents(spark, d).select("doc_id", "source", F.explode(F.array(tx.normalize(F.col("text")))).alias("text_norm"))
+    df = df.select(F.col("doc_id").alias("chunk_id"), "text_norm", F.lit("").alias("title_norm"), F.when(F.col("source") == "src1", "official").otherwise("community").alias("source_type"), tx.tokenize(F.col("text_norm")).alias("tokens"))
+    return settle(df, "chunks")  # read for postings, sizes, and the texts of what is found
 
 
 def _questions(spark, d):
