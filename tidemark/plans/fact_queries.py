@@ -371,9 +371,9 @@ def next_retry(spark, d):
     return topics.next_retry(_queue(spark, d))
 
 
-@register("throttle", "SELECT event_id AS id, CAST(round(max(epoch_ms(ts) / 1000 - n * 0.5) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + n * 0.5, 6) AS DOUBLE) AS go_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS n FROM events)")
+@register("throttle", "SELECT event_id AS id, CAST(round(max(epoch_us(ts) / 1000000 - n * 0.5) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + n * 0.5, 6) AS DOUBLE) AS go_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS n FROM events)")
 def throttle(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("host"), (F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("at"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))
     return topics.throttle(e, 0.5).select("id", "go_at")
 
 
