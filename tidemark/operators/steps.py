@@ -7,10 +7,11 @@ by Spark's cache instead, which is worked out again if it is lost.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -22,3 +23,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a step's files: in the shared folder, or of this machine where none is set and Spark runs on it alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        folder = tempfile.gettempdir()
+    return f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"

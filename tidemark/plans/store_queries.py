@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
 from tidemark.operators import answers, audit, dedupe, ingest, lifecycle, retrieval, search, store, topics, vote
+from tidemark.operators.steps import scratch
 from tidemark.plans import text_queries as tq
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.plans.source_queries import _cat
+from tidemark.sources import snapshot
+from tidemark.streaming import events as ev
 
 
 def _part(spark, d):
@@ -440,3 +443,42 @@ def answer(spark, d):
     items = c.filter("c_custkey % 2 = 0").select(k.alias("q"), F.lit(1).alias("index"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("text"))
     told = answers.offline_answer(items, "q")
     return c.join(told, k == F.col("q"), "left").select("c_custkey", F.col("answer").isNotNull().alias("offline"))
+
+
+# --- snapshots and streams ---------------------------------------------------------------------------------------
+
+
+@register("export_sink", with_facts("SELECT id, title, answer, confidence FROM facts"))
+def export_sink(spark, d):
+    """Facts as JSON lines, read again."""
+    path = scratch(spark, "export")
+    snapshot.export(facts(spark, d).select("id", "title", "answer", "confidence"), path)
+    return spark.read.schema("id long, title string, answer string, confidence double").json(path)
+
+
+@register("seed_source", "SELECT CAST(n_nationkey AS INTEGER) AS seq, n_name AS title, 'region ' || n_regionkey AS answer, 0.9 AS confidence FROM nation")
+def seed_source(spark, d):
+    """A snapshot of the nations as one JSON document, and its facts in their order."""
+    fact = F.struct(F.col("n_name").alias("title"), _cat("region ", F.col("n_regionkey")).alias("answer"), F.lit(0.9).alias("confidence"))
+    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", fact.alias("f"))))  # 25 nations at any scale
+    path = scratch(spark, "seed")
+    table(spark, d, "nation").agg(F.transform(rows, lambda x: x["f"]).alias("facts")).select(F.lit(1).cast("long").alias("version"), "facts").coalesce(1).write.json(path)
+    return snapshot.read_snapshot(spark, path)[2].select("seq", "title", "answer", "confidence")
+
+
+@register("seed_sink", "SELECT (SELECT count(*) FROM part) AS n_old, (SELECT count(*) FROM part WHERE p_size > 4) AS n_new, (SELECT count(*) FROM part WHERE p_size > 4) < 0.9 * (SELECT count(*) FROM part) AS refused")
+def seed_sink(spark, d):
+    """The guard of a snapshot that lost rows."""
+    return snapshot.shrinks(table(spark, d, "part"), table(spark, d, "part").filter("p_size > 4"))
+
+
+@register("ingest_sources", "SELECT doc_id FROM documents WHERE lang <> 'fr'")
+def ingest_sources(spark, d):
+    """All documents as a stream, of which those that are known by URL and content are not stored again."""
+    path = f"{d}/documents.parquet"
+    own = lambda df: df.select("doc_id", "lang", _cat("https://a.example/", F.col("doc_id")).alias("url"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
+    stored = spark.read.parquet(path)
+    out = scratch(spark, "ingested")
+    stream = own(spark.readStream.schema(stored.schema).parquet(f"{d}/documents.parque[t]"))  # a stream's path is a folder or a pattern
+    ev.ingest(stream, lambda: own(stored).filter("lang = 'fr'"), lambda df: df.write.mode("append").parquet(out), scratch(spark, "stream"))
+    return spark.read.parquet(out).select("doc_id")
