@@ -412,6 +412,17 @@ def robots_policy(spark, d):
     return table(spark, d, "orders").select("o_orderkey", providers.robots_allows(state, F.col("o_custkey") % 2 == 0).alias("allowed"), providers.robots_stale(state, k % 30000).alias("stale"))
 
 
+@register("fetch_guarded", """WITH g AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'blocked' WHEN o_orderkey % 13 = 0 THEN 'baseline' WHEN o_orderkey % 1500 > 1000 THEN 'cooling' WHEN o_orderkey % 3 = 2 OR (o_orderkey % 3 = 0 AND o_custkey % 2 = 1) THEN 'robots' ELSE '' END AS reason FROM orders)
+SELECT k AS o_orderkey, reason, reason = 'cooling' OR (reason = 'robots' AND k % 3 = 2) AS again, CASE WHEN reason = 'cooling' THEN CAST(k % 1500 - 1000 AS DOUBLE) ELSE 0.0 END AS wait FROM g""")
+def fetch_guarded(spark, d):
+    """Requests to blocked hosts, to sites that are never read, to hosts that pause, and to those whose robots answer refuses or is missing."""
+    k = F.col("o_orderkey")
+    url = F.when(k % 11 == 0, "https://a.bad.example/x").when(k % 13 == 0, "https://www.zdic.net/x").otherwise(_cat("https://h.example/", k))
+    state = F.get(F.array(F.lit("ok"), F.lit("missing"), F.lit("error")), (k % 3).cast("int"))
+    gate = providers.fetch_gate(url, urls.host_matches(urls.host_of(url), "bad.example"), (k % 1500).cast("double"), F.lit(1000.0), state, F.col("o_custkey") % 2 == 0)
+    return table(spark, d, "orders").select("o_orderkey", gate.alias("g")).select("o_orderkey", "g.*")
+
+
 @register("retryable_error", "SELECT o_orderkey, o_orderkey % 10 IN (0, 1, 2, 3) AS again FROM orders")
 def retryable_error(spark, d):
     k = F.col("o_orderkey") % 10

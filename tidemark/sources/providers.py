@@ -8,7 +8,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.urls import SEARCH_ORDER
+from tidemark.functions.urls import SEARCH_ORDER, baseline_block
 
 # Seconds that a robots answer holds, and statuses.
 ROBOTS_TTL = {"ok": 1800, "missing": 21600, "error": 300}
@@ -80,6 +80,17 @@ def robots_allows(state: Column, allowed: Column) -> Column:
     return F.when(state == "ok", allowed).otherwise(state == "missing")
 
 
+def fetch_gate(url: Column, blocked: Column, until: Column, now: Column, state: Column, allowed: Column) -> Column:
+    """struct(reason, again, wait): why a page isn't asked for, whether it may be later, and in how many seconds.
+
+    A request is saved wherever one can be: the block list first, then sites that are never read, a pause, and last the robots answer.
+    """
+    left = cooldown_left(until, now)
+    reason = F.when(blocked, "blocked").when(baseline_block(url) != "", "baseline").when(left > 0, "cooling").when(~robots_allows(state, allowed), "robots").otherwise("")
+    again = (reason == "cooling") | ((reason == "robots") & (state == "error"))
+    return F.struct(reason.alias("reason"), again.alias("again"), F.when(reason == "cooling", left).otherwise(0.0).alias("wait"))
+
+
 def host_interval(host: Column, slow: Sequence[str], usual: float, slow_interval: float) -> Column:
     return F.when(F.exists(F.array(*[F.lit(s) for s in slow]), lambda s: F.contains(host, s)), slow_interval).otherwise(usual)
 
