@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, substring_dedup
+from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, resampling, substring_dedup
 
 QUERIES = {
     "op1_chat_preference": chat_preference.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash_near_dedup": near_dedup.query,
     "op9_quality_rules": quality_rules.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_importance_resampling": resampling.query,
 }
 ORACLES = {
     "op1_chat_preference": chat_preference.SQL,
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_substring_dedup": substring_dedup.SQL,
     "op9_quality_rules": quality_rules.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
+    "op11_importance_resampling": resampling.SQL,
 }
