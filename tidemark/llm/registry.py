@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, resampling, substring_dedup
+from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, resampling, spelling, substring_dedup
 
 QUERIES = {
     "op1_chat_preference": chat_preference.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.query,
     "op10_benchmark_decontamination": decontaminate.query,
     "op11_importance_resampling": resampling.query,
+    "op12_spelling_variants": spelling.query,
 }
 ORACLES = {
     "op1_chat_preference": chat_preference.SQL,
@@ -25,4 +26,5 @@ ORACLES = {
     "op9_quality_rules": quality_rules.SQL,
     "op10_benchmark_decontamination": decontaminate.SQL,
     "op11_importance_resampling": resampling.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
