@@ -12,7 +12,7 @@ collection. So KEYS * KEYS tables of 2 * HASHES minhashes each cost 2 * KEYS * H
    components.
 4. Rest: buckets whose members are still in different components may hold further links. They are joined to clusters
    (each component to the bucket's smallest), and in each cluster the links between components are found exactly, whatever its
-   size: see ``_parts_of_cluster``.
+   size: see ``rest_pairs``.
 
 The rest's join. For a set R, let a member A have r = |R - A| and a = |A - R|, w = 100 r + 85 a, and D = (R - A) + (A - R). For two
 members, |A & B| = |R| - r_A - r_B + |D_A & D_B|, so the two are linked just if
@@ -59,16 +59,16 @@ _MUL = _rng.integers(0, 2**64, 2 * KEYS * HASHES, np.uint64) | np.uint64(1)
 _SIGNED = pa.list_(pa.int64())
 
 
-def _sets(texts) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def sets_of(texts, shingle: int = SHINGLE) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Row numbers and their sets, as sorted 64-bit hashes."""
     for block in blocks(texts, lower=True):
-        hashes, bounds = block.shingles(SHINGLE)
+        hashes, bounds = block.shingles(shingle)
         yield block.rows, [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows, sets in _sets(batch.column("text")):
+        for rows, sets in sets_of(batch.column("text")):
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
             keys = np.zeros((len(sets), 2 * KEYS), np.uint64)
             marks = np.zeros((2, len(sets)), np.uint64)
@@ -93,81 +93,93 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose sets are similar enough; of each batch, each text is read once."""
-    for batch in batches:
-        ids, sets = {}, []
-        for side in ("a", "b"):
-            own = batch.column(side).to_numpy()
-            _, first = np.unique(own, return_index=True)
-            new = [i for i in first if own[i] not in ids]
-            texts = batch.column(f"text_{side}").take(pa.array(new, pa.int64()))
-            for _, got in _sets(texts):
-                sets += got
-            for i in new:
-                ids[own[i]] = len(ids)
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        good = np.zeros(len(a), bool)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            p, q = sets[ids[x]], sets[ids[y]]
-            shared = len(np.intersect1d(p, q, assume_unique=True))
-            good[i] = 100 * shared >= PERCENT * (len(p) + len(q) - shared) and shared > 0
-        yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
-
-
-def _middle(table: pa.Table) -> pa.Table:
+def confirm(shingle: int = SHINGLE, percent: int = PERCENT):
+    """Batches of a, text_a, b and text_b to the pairs whose sets are similar enough; of each batch, each text is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sets = {}, []
+            for side in ("a", "b"):
+                own = batch.column(side).to_numpy()
+                _, first = np.unique(own, return_index=True)
+                new = [i for i in first if own[i] not in ids]
+                texts = batch.column(f"text_{side}").take(pa.array(new, pa.int64()))
+                for _, got in sets_of(texts, shingle):
+                    sets += got
+                for i in new:
+                    ids[own[i]] = len(ids)
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            good = np.zeros(len(a), bool)
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                p, q = sets[ids[x]], sets[ids[y]]
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                good[i] = 100 * shared >= percent * (len(p) + len(q) - shared) and shared > 0
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+
+    return run
+
+
+def _middle(shingle: int):
     """Of some members of a cluster: what a quarter of them or more have, in order of how many differ in it, and which of that half of them have."""
-    sets = [x for _, part in _sets(table.column("text")) for x in part]
-    every, count = np.unique(np.concatenate(sets), return_counts=True)
-    common = 4 * count > len(sets)
-    every, count = every[common], count[common]
-    order = np.argsort(np.minimum(count, len(sets) - count), kind="stable")
-    half = (2 * count > len(sets))[order]
-    return pa.table({"cluster": table.column("cluster").slice(0, 1), "common": pa.array([every[order].tobytes()], pa.binary()), "half": pa.array([np.packbits(half).tobytes()], pa.binary())})
+
+    def run(table: pa.Table) -> pa.Table:
+        sets = [x for _, part in sets_of(table.column("text"), shingle) for x in part]
+        every, count = np.unique(np.concatenate(sets), return_counts=True)
+        common = 4 * count > len(sets)
+        every, count = every[common], count[common]
+        order = np.argsort(np.minimum(count, len(sets) - count), kind="stable")
+        half = (2 * count > len(sets))[order]
+        return pa.table({"cluster": table.column("cluster").slice(0, 1), "common": pa.array([every[order].tobytes()], pa.binary()), "half": pa.array([np.packbits(half).tobytes()], pa.binary())})
+
+    return run
 
 
 _PREFIX = "cluster long, node long, label long, w long, size long, middle long, place int, element long, indexed boolean"
 
 
-def _parts_of_cluster(members: pa.Table, middle: pa.Table) -> pa.Table:
+def _parts_of_cluster(shingle: int, percent: int):
     """For each member of a part, the elements of its difference from the middle by which it may meet others."""
-    common = np.frombuffer(middle.column("common")[0].as_py(), np.uint64)
-    half = np.unpackbits(np.frombuffer(middle.column("half")[0].as_py(), np.uint8), count=len(common)).astype(bool)
-    center, place = np.sort(common[half]), np.argsort(common)
-    known, n = common[place], len(center)
-    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-    nodes, labels = members.column("node").to_numpy(), members.column("label").to_numpy()
-    sets = [x for _, part in _sets(members.column("text")) for x in part]
-    for node, label, own in zip(nodes, labels, sets, strict=True):
-        lacks, more = np.setdiff1d(center, own, assume_unique=True), np.setdiff1d(own, center, assume_unique=True)
-        w, size = 100 * len(lacks) + 85 * len(more), len(lacks) + len(more)
-        # one order for all members: elements outside the common ones by hash, then the common ones as given; an element that
-        # one member lacks and another has beyond the middle can't be, so a plain hash names it
-        diff = np.concatenate([lacks, more])
-        at = np.searchsorted(known, diff)
-        at[at == len(known)] = 0
-        listed = known[at] == diff if len(known) else np.zeros(len(diff), bool)
-        rank = np.where(listed, place[at] + 1 if len(known) else 0, 0)
-        diff = diff[np.lexsort((diff, rank))]
-        probe = min(size, size - max(1, -(-(w - 15 * n) // 185)) + 1)
-        index = min(size, size - max(1, -(-(2 * w - 15 * n) // 185)) + 1)
-        # a member without any difference meets others by its least w only; it has one row all the same
-        k = max(1, probe)
-        for c, x in zip(columns, (np.full(k, node), np.full(k, label), np.full(k, w), np.full(k, size), np.arange(k), diff[:k].view(np.int64) if probe > 0 else np.zeros(1, np.int64), np.arange(k) < index), strict=True):
-            c.append(x)
-    got = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
-    cluster = np.full(len(got[0]), members.column("cluster")[0].as_py() if len(members) else 0)
-    arrays = [pa.array(x, pa.int64()) for x in (cluster, *got[:4], np.full(len(cluster), n))]
-    usable = pa.array(got[3].astype(np.int64) > 0)
-    return pa.Table.from_arrays([*arrays, pa.array(got[4], pa.int32()), pa.array(got[5], pa.int64()), pa.compute.and_(pa.array(got[6].astype(bool)), usable)], names=[x.split()[0] for x in _PREFIX.split(", ")])
-
-
-def _fits(n: str, m: str):
+
+    def run(members: pa.Table, middle: pa.Table) -> pa.Table:
+        common = np.frombuffer(middle.column("common")[0].as_py(), np.uint64)
+        half = np.unpackbits(np.frombuffer(middle.column("half")[0].as_py(), np.uint8), count=len(common)).astype(bool)
+        center, place = np.sort(common[half]), np.argsort(common)
+        known, n = common[place], len(center)
+        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+        nodes, labels = members.column("node").to_numpy(), members.column("label").to_numpy()
+        sets = [x for _, part in sets_of(members.column("text"), shingle) for x in part]
+        for node, label, own in zip(nodes, labels, sets, strict=True):
+            lacks, more = np.setdiff1d(center, own, assume_unique=True), np.setdiff1d(own, center, assume_unique=True)
+            w, size = 100 * len(lacks) + percent * len(more), len(lacks) + len(more)
+            # one order for all members: elements outside the common ones by hash, then the common ones as given; an element that
+            # one member lacks and another has beyond the middle can't be, so a plain hash names it
+            diff = np.concatenate([lacks, more])
+            at = np.searchsorted(known, diff)
+            at[at == len(known)] = 0
+            listed = known[at] == diff if len(known) else np.zeros(len(diff), bool)
+            rank = np.where(listed, place[at] + 1 if len(known) else 0, 0)
+            diff = diff[np.lexsort((diff, rank))]
+            probe = min(size, size - max(1, -(-(w - (100 - percent) * n) // (100 + percent))) + 1)
+            index = min(size, size - max(1, -(-(2 * w - (100 - percent) * n) // (100 + percent))) + 1)
+            # a member without any difference meets others by its least w only; it has one row all the same
+            k = max(1, probe)
+            for c, x in zip(columns, (np.full(k, node), np.full(k, label), np.full(k, w), np.full(k, size), np.arange(k), diff[:k].view(np.int64) if probe > 0 else np.zeros(1, np.int64), np.arange(k) < index), strict=True):
+                c.append(x)
+        got = [np.concatenate(c) if c else np.empty(0, np.int64) for c in columns]
+        cluster = np.full(len(got[0]), members.column("cluster")[0].as_py() if len(members) else 0)
+        arrays = [pa.array(x, pa.int64()) for x in (cluster, *got[:4], np.full(len(cluster), n))]
+        usable = pa.array(got[3].astype(np.int64) > 0)
+        return pa.Table.from_arrays([*arrays, pa.array(got[4], pa.int32()), pa.array(got[5], pa.int64()), pa.compute.and_(pa.array(got[6].astype(bool)), usable)], names=[x.split()[0] for x in _PREFIX.split(", ")])
+
+    return run
+
+
+def fits(n: str, m: str, percent: int = PERCENT):
     """Sets of these sizes can be similar enough."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _rest(open_: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
+def rest_pairs(open_: DataFrame, texts: DataFrame, work: Workspace, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """a and b that may be linked, of different components, for all links within the open buckets."""
     chain = open_.select(F.col("low").alias("a"), F.col("label").alias("b"))
     clusters = components(chain, work, "clusters").select(F.col("node").alias("label"), F.col("label").alias("cluster"))
@@ -181,21 +193,21 @@ def _rest(open_: DataFrame, texts: DataFrame, work: Workspace) -> DataFrame:
     dealt = members.join(sizes, "cluster").select("cluster", "node", "label", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     some = dealt.groupBy("cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(MIDDLE)).alias("_i")).agg(F.min("node").alias("node"))
     told = texts.select(F.col("doc_id").alias("node"), "text")
-    middles = some.select("cluster", "node").join(told, "node").groupBy("cluster").applyInArrow(_middle, "cluster long, common binary, half binary")
+    middles = some.select("cluster", "node").join(told, "node").groupBy("cluster").applyInArrow(_middle(shingle), "cluster long, common binary, half binary")
     middles = middles.join(sizes, "cluster").select("cluster", "common", "half", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = dealt.join(told, "node").groupBy("cluster", "part").cogroup(middles.groupBy("cluster", "part"))
-    prefix = work.write(both.applyInArrow(_parts_of_cluster, _PREFIX), "prefixes")
+    prefix = work.write(both.applyInArrow(_parts_of_cluster(shingle, percent), _PREFIX), "prefixes")
 
     x = prefix.select("cluster", "element", *(F.col(c).alias(f"{c}_x") for c in ("node", "label", "w", "size", "place")), "middle")
     y = prefix.filter("indexed").select("cluster", "element", *(F.col(c).alias(f"{c}_y") for c in ("node", "label", "w", "size", "place")))
     can_share = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
     first = (F.col("w_y") < F.col("w_x")) | ((F.col("w_y") == F.col("w_x")) & (F.col("node_y") < F.col("node_x")))
-    enough = F.col("w_x") + F.col("w_y") - 185 * can_share <= 15 * F.col("middle")
+    enough = F.col("w_x") + F.col("w_y") - (100 + percent) * can_share <= (100 - percent) * F.col("middle")
     met = x.filter("size_x > 0").join(y, (x.cluster == y.cluster) & (x.element == y.element) & first & (F.col("label_x") != F.col("label_y")) & enough)
     pairs = met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"))
     own = prefix.filter("place = 0").select("cluster", "node", "label", "w", "middle")
     least = own.groupBy("cluster").agg(F.min(F.struct("w", "node", "label")).alias("l"))
-    near = own.join(least, "cluster").filter("w + l.w <= 15 * middle AND label <> l.label")
+    near = own.join(least, "cluster").filter((F.col("w") + F.col("l.w") <= (100 - percent) * F.col("middle")) & (F.col("label") != F.col("l.label")))
     return pairs.unionByName(near.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"))).distinct()
 
 
@@ -222,9 +234,9 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         two = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return work.write(two.select("a", "text_a", "b", "text_b").mapInArrow(_confirm, "a long, b long"), name)
+        return work.write(two.select("a", "text_a", "b", "text_b").mapInArrow(confirm(), "a long, b long"), name)
 
-    near = buckets.filter(_fits("n", "first.n")).select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
+    near = buckets.filter(fits("n", "first.n")).select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
     links = confirmed(work.write(near.filter("a < b").distinct(), "pairs"), "links")
     labels = components(links, work)
 
@@ -232,7 +244,7 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "low")
     open_ = work.write(placed.join(split, "key").select("node", "label", "low").distinct(), "open")
     if not open_.isEmpty():
-        more = confirmed(work.write(_rest(open_, texts, work), "rest-pairs"), "rest-links")
+        more = confirmed(work.write(rest_pairs(open_, texts, work), "rest-pairs"), "rest-links")
         named = open_.select("node", "label").distinct()
         a, b = (named.select(F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
         joined = components(more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")), work, "joined")

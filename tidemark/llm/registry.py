@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, license_scan, line_dedup, near_dedup, packing, quality_rules, resampling, spelling, substring_dedup
+from tidemark.llm import chat_preference, decontaminate, fm_quality, html_density, jaccard_join, license_scan, line_dedup, near_dedup, packing, quality_rules, resampling, spelling, substring_dedup
 
 QUERIES = {
     "op1_chat_preference": chat_preference.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_benchmark_decontamination": decontaminate.query,
     "op11_importance_resampling": resampling.query,
     "op12_spelling_variants": spelling.query,
+    "op13_jaccard_join": jaccard_join.query,
 }
 ORACLES = {
     "op1_chat_preference": chat_preference.SQL,
@@ -27,4 +28,5 @@ ORACLES = {
     "op10_benchmark_decontamination": decontaminate.SQL,
     "op11_importance_resampling": resampling.SQL,
     "op12_spelling_variants": spelling.SQL,
+    "op13_jaccard_join": jaccard_join.SQL,
 }
