@@ -7,12 +7,13 @@ among the first n - ceil(0.9 n) + 1 of each, their prefixes.
    sums its own slots, so 65,536 numbers a task are dealt out, and as many go to every task. The order is by the count of the slot, then by hash: whatever
    very many documents share stands last and is in few prefixes. The order decides what is compared, never what is found.
 2. Documents with equal sets are one node; nodes of one size with the same prefix are one group.
-3. Groups meet in an equi-join on a shingle of their prefixes. In a bucket of up to ``SMALL`` nodes all groups of fitting sizes are paired, in a larger one
-   each with the first one. Pairs of groups are merged, then filtered by both prefixes: a shingle of the one that stands before the other's last one and
+3. Groups meet in an equi-join on a shingle of their prefixes. In a bucket of up to ``SMALL`` nodes all groups of fitting sizes are paired. A larger one is parted by
+   classes of size, each group going to its own class and the next one, as sizes that fit are at most one class apart; in a part of more than ``SMALL`` nodes each
+   group is paired with the first one. So texts that merely share a passage hardly ever meet. Pairs of groups are merged, then filtered by both prefixes: a shingle of the one that stands before the other's last one and
    isn't in the other is missing there, which bounds what any two members can share.
 4. What is left is expanded to members (nodes), likewise the members of a group among themselves, and verified on the full sets of their texts. Links
    are joined to components.
-5. Rest: large buckets, and large groups, whose members are still in different components. The links between those are found exactly by the join on
+5. Rest: large parts of buckets, and large groups, whose members are still in different components. The links between those are found exactly by the join on
    differences from a cluster's middle, see ``near_dedup.rest_pairs``. So no bucket, group or pair of groups is expanded to all pairs, and none is capped.
 
 Any linked pair shares a bucket or a group, so it is compared, or both have one component already, or both are in the rest: no link between components
@@ -25,6 +26,7 @@ whatever names, don't reach the operator. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,9 +130,16 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     shared = dealt.groupBy("element").agg(F.count("*").alias("groups"), F.sum("members").alias("total"), F.min(F.struct("n", "group")).alias("first")).filter("groups > 1")
     buckets = work.write(dealt.join(shared, "element").select("element", "group", "n", "members", "total", "first"), "buckets")
 
-    x, y = (buckets.filter(F.col("total") <= SMALL).select("element", F.col("group").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    small = x.join(y, "element").filter((F.col("a") < F.col("b")) & fits("n_a", "n_b", percent)).select("a", "b")
-    large = buckets.filter((F.col("total") > SMALL) & (F.col("group") != F.col("first.group")) & fits("n", "first.n", percent))
+    # a class is as wide as sizes that fit may differ, and a little wider, so that rounding parts none of them
+    size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent) or 1))
+    parted = buckets.filter(F.col("total") > SMALL).select("element", "group", "n", "members", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    held = parted.groupBy("element", "class").agg(F.count("*").alias("groups"), F.sum("members").alias("total"), F.min(F.struct("n", "group")).alias("first")).filter("groups > 1")
+    parted = work.write(parted.join(held, ["element", "class"]).select("element", "class", "group", "n", "members", "total", "first"), "parted")
+
+    both = buckets.filter(F.col("total") <= SMALL).select("element", F.lit(-1).cast("long").alias("class"), "group", "n").unionByName(parted.filter(F.col("total") <= SMALL).select("element", "class", "group", "n"))
+    x, y = (both.select("element", "class", F.col("group").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
+    small = x.join(y, ["element", "class"]).filter((F.col("a") < F.col("b")) & fits("n_a", "n_b", percent)).select("a", "b")
+    large = parted.filter((F.col("total") > SMALL) & (F.col("group") != F.col("first.group")) & fits("n", "first.n", percent))
     large = large.select(F.least("group", "first.group").alias("a"), F.greatest("group", "first.group").alias("b"))
     met = work.write(small.unionByName(large).distinct(), "met")
     a, b = (groups.select(F.col("group").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"), F.col("members").alias(f"members_{c}")) for c in "ab")
@@ -147,8 +156,8 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     across = expand.join(own_a, "a").join(own_b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
     pairs = work.write(passed.select("a", "b").unionByName(within).unionByName(starred).unionByName(across).distinct(), "pairs")
 
-    # large buckets and groups, by node, may stay open: their texts are picked too
-    crowded = buckets.filter(F.col("total") > SMALL).select(F.col("element").alias("key"), "group", "members")
+    # large parts of buckets and groups, by node, may stay open: their texts are picked too
+    crowded = parted.filter(F.col("total") > SMALL).select(F.xxhash64("element", "class").alias("key"), "group", "members")
     singles = crowded.filter("members = 1").select("key", F.col("group").alias("node"))
     crowds = singles.unionByName(crowded.filter("members > 1").select("key", "group").join(members.select("group", "node"), "group").select("key", "node"))
     own = members.filter(F.col("members") > SMALL).select((-F.col("group") - 1).alias("key"), "node")
@@ -176,7 +185,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         labels = labels.unionByName(named).distinct().join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
     named = nodes.select("h1", "h2", "n", "node").join(work.write(labels, "node-labels"), "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
     named = work.write(named, "named")  # so that the copies of one text are the hot side of a plain join, which Spark can split
-    work.drop("nodes", "groups", "members-of-groups", "buckets", "met", "passed", "pairs", "crowds", "ids", "texts", "links", "placed", "open", "members", "sizes", "prefixes", "rest-pairs", "rest-links", "labels-0", "node-labels")
+    work.drop("nodes", "groups", "members-of-groups", "buckets", "parted", "met", "passed", "pairs", "crowds", "ids", "texts", "links", "placed", "open", "members", "sizes", "prefixes", "rest-pairs", "rest-links", "labels-0", "node-labels")
     alone = signed.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", "n", "component_id").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
