@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import audit, search
+from tidemark.operators.text_index import TextIndex
 
 # Least numbers of facts and chunks, and how a request to a model is asked again.
 FACTS, CHUNKS, LEAST_FACTS, LEAST_CHUNKS = 2, 1, 4, 6
 WAIT, LONGEST_WAIT, JITTER = 1.5, 60.0, 0.5
 
 
-def retrieve(facts: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 8, floor: float = 0.0, qkey: str = "question_id") -> DataFrame:
+def retrieve(facts: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = 8, floor: float = 0.0, qkey: str = "question_id", fact_index: TextIndex | None = None, chunk_index: TextIndex | None = None) -> DataFrame:
     """qkey, kind, key, relevance and pos of the best facts and chunks of each question at the floor or above.
 
     facts and chunks as ``search`` takes them, with keys of one type; half as many facts as asked for, four at least, and six chunks at least.
     """
-    found = search.search_facts(facts, questions, max(LEAST_FACTS, k // FACTS), qkey=qkey).select(qkey, F.lit("fact").alias("kind"), F.col("id").alias("key"), "relevance", "pos")
-    texts = search.search_chunks(chunks, questions, max(LEAST_CHUNKS, k // CHUNKS), qkey=qkey).select(qkey, F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "relevance", F.col("rank").alias("pos"))
+    found = search.search_facts(facts, questions, max(LEAST_FACTS, k // FACTS), qkey=qkey, index=fact_index).select(qkey, F.lit("fact").alias("kind"), F.col("id").alias("key"), "relevance", "pos")
+    texts = search.search_chunks(chunks, questions, max(LEAST_CHUNKS, k // CHUNKS), qkey=qkey, index=chunk_index).select(qkey, F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "relevance", F.col("rank").alias("pos"))
     return search.relevance_floor(found.unionByName(texts), floor)
 
 

@@ -16,13 +16,16 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
-from tidemark.operators.steps import settle
+from tidemark.operators.steps import scratch, settle
+from tidemark.operators.text_index import TextIndex
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 #: Documents of a term up to which it is rare.
 COMMON = 20_000
 #: Query vectors that are compared with all vectors at a time.
 QUERIES = 1000
+#: Tokens of a question that the substring fallback looks for, as the surveyed engine does.
+LIKE_TOKENS = 200
 SOURCE_BONUS = {"official": 0.12, "wiki": 0.08, "seed": 0.06}
 
 
@@ -123,13 +126,17 @@ def score_fact(df: DataFrame, tokens: str = "tokens", title: str = "title_norm",
 
 
 def newest_in_slot(df: DataFrame, by: str, position: str = "pos", slot: str = "slot_key", version: str = "version", effective: str = "effective_from") -> DataFrame:
-    """Positions within a slot are given anew, the newest first; rows without a slot keep theirs."""
+    """Positions within a slot are given anew, the newest first; rows without a slot keep theirs.
+
+    The row that is the j-th newest of its slot takes the slot's j-th position, by a join on the rank.
+    """
     slotted = Window.partitionBy(by, slot)
     newest = slotted.orderBy(F.desc(F.coalesce(effective, F.lit(""))), F.desc(vs.version_key(F.col(version))), F.asc(position))
-    ranks = df.withColumns({"_k": F.row_number().over(slotted.orderBy(position)), "_j": F.row_number().over(newest)})
-    places = F.transform(F.array_sort(F.collect_list(F.struct("_k", position)).over(slotted)), lambda x: x[position])
-    moved = F.when(F.coalesce(F.col(slot), F.lit("")) == "", F.col(position)).otherwise(F.get(places, F.col("_j") - 1))
-    return ranks.withColumn(position, moved).drop("_k", "_j")
+    ranks = df.filter(F.coalesce(F.col(slot), F.lit("")) != "").withColumns({"_k": F.row_number().over(slotted.orderBy(position)), "_j": F.row_number().over(newest)})
+    ranks = settle(ranks, "slots")
+    places = ranks.select(by, slot, F.col("_k").alias("_j"), F.col(position).alias("_place"))
+    moved = ranks.join(places, [by, slot, "_j"]).withColumn(position, F.col("_place")).select(df.columns)
+    return moved.unionByName(df.filter(F.coalesce(F.col(slot), F.lit("")) == ""))
 
 
 def entity_first(df: DataFrame, by: str, position: str = "pos") -> DataFrame:
@@ -140,44 +147,47 @@ def entity_first(df: DataFrame, by: str, position: str = "pos") -> DataFrame:
     return df.withColumn(position, F.row_number().over(Window.partitionBy(by).orderBy(F.desc("_ahead"), F.asc(position)))).drop("_ahead")
 
 
-def containing(chunks: DataFrame, terms: DataFrame, key: str, qkey: str, text: str = "text_norm") -> DataFrame:
-    """qkey and key of the chunks that contain one of the question's terms as a substring.
+def new_index(rows: DataFrame) -> TextIndex:
+    """An index of rows (key, tokens, text), for as long as the session's folder stands."""
+    index = TextIndex(rows.sparkSession, scratch(rows.sparkSession, "index"))
+    index.upsert(rows)
+    return index
 
-    A term is looked up by its first two characters, or its only one, in the chunks' pairs of characters, and what is found is compared.
-    """
-    heads = terms.filter(F.length("term") > 0).select(qkey, "term", F.substring("term", 1, 2).alias("_head")).distinct()
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(2)))
-    singles = F.filter(F.split(text, ""), lambda x: x != "")
-    grams = chunks.select(key, F.explode(F.array_distinct(F.concat(pairs, singles))).alias("_head"))
-    wanted = grams.join(heads.select("_head").distinct(), "_head", "left_semi")
-    hits = wanted.join(heads, "_head").join(chunks.select(key, text), key).filter(F.contains(text, "term"))
-    return hits.select(qkey, key).distinct()
 
+def _pool(index: TextIndex, questions: DataFrame, size: int, qkey: str, like: list[Column], facts: DataFrame | None = None) -> DataFrame:
+    """qkey, key and bm: the best rows that share a token; of questions that have none, rows that contain one, in the order of ``like``."""
+    terms = questions.select(qkey, F.explode("tokens").alias("term")).distinct()
+    pool = settle(index.top(terms, size, qkey), "pool")
+    unmet = questions.join(pool.select(qkey).distinct(), qkey, "left_anti").select(qkey, F.explode(F.slice("tokens", 1, LIKE_TOKENS)).alias("term"))
+    found = index.containing(unmet, qkey)
+    found = found if facts is None else found.join(facts, "key")
+    return pool.unionByName(top(found, qkey, size, *like).select(qkey, "key", F.lit(0.0).alias("bm")))
 
-def search_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10, key: str = "chunk_id", qkey: str = "question_id") -> DataFrame:
+
+def search_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10, key: str = "chunk_id", qkey: str = "question_id", index: TextIndex | None = None) -> DataFrame:
     """qkey, key, relevance, coverage, rank and bm of the k best chunks of each question.
 
-    chunks: key, text_norm, title_norm, source_type, tokens; questions: qkey, tokens. Where no chunk shares a token, those that
-    contain one as a substring are taken.
+    chunks: key, text_norm, title_norm, source_type, and tokens unless the index of them is given; questions: qkey, tokens. Where no chunk shares a
+    token, those that contain one as a substring are taken, in the order of their keys.
     """
-    terms = questions.select(qkey, F.explode("tokens").alias("term")).distinct()
-    index = postings(chunks, key, F.col("tokens"))
-    pool = bm25_pool(index, chunks.select(key, F.size("tokens").alias("len")), terms, key, qkey, 4 * k)
-    met = terms.join(index.select("term").distinct(), "term", "left_semi").select(qkey).distinct()
-    unmet = questions.join(met, qkey, "left_anti").filter(F.size("tokens") > 0)
-    like = top(containing(chunks.select(key, "text_norm"), unmet.select(qkey, F.explode(F.slice("tokens", 1, 200)).alias("term")), key, qkey), qkey, 4 * k, F.asc(key)).select(qkey, key, F.lit(0.0).alias("bm"))
-    full = pool.unionByName(like).join(chunks.select(key, "text_norm", "title_norm", "source_type"), key).join(questions.select(qkey, F.col("tokens").alias("_q")), qkey)
+    index = index or new_index(chunks.select(F.col(key).alias("key"), "tokens", F.col("text_norm").alias("text")))
+    pool = _pool(index, questions, 4 * k, qkey, [F.asc("key")]).withColumnRenamed("key", key)
+    full = pool.join(chunks.select(key, "text_norm", "title_norm", "source_type"), key).join(questions.select(qkey, F.col("tokens").alias("_q")), qkey)
     full = full.withColumns({"coverage": F.round(coverage(F.col("_q"), F.col("text_norm")), 4), "relevance": score_chunk(F.col("_q"), F.col("text_norm"), F.col("title_norm"), F.col("source_type"), F.col("bm"))})
     return top(full, qkey, k, F.desc("relevance"), F.asc("bm"), F.asc(key)).select(qkey, key, "relevance", "coverage", "rank", "bm")
 
 
-def search_facts(facts: DataFrame, questions: DataFrame, k: int = 8, key: str = "id", qkey: str = "question_id") -> DataFrame:
+def search_facts(facts: DataFrame, questions: DataFrame, k: int = 8, key: str = "id", qkey: str = "question_id", index: TextIndex | None = None) -> DataFrame:
     """qkey, key, relevance, rank_raw and pos of the k best facts.
 
-    facts: key, title, title_norm, haystack, tokens, confidence, version, effective_from, slot_key; questions: qkey, tokens, question_norm.
+    facts: key, title, title_norm, haystack, confidence, version, effective_from, slot_key, updated_at if there is one, and tokens unless the index of them is
+    given; questions: qkey, tokens, question_norm. Where no fact shares a token, those whose haystack contains one are taken, the most trusted and
+    then the latest first.
     """
-    terms = questions.select(qkey, F.explode("tokens").alias("term")).distinct()
-    pool = bm25_pool(postings(facts, key, F.col("tokens")), facts.select(key, F.size("tokens").alias("len")), terms, key, qkey, 4 * k)
+    index = index or new_index(facts.select(F.col(key).alias("key"), "tokens", F.col("haystack").alias("text")))
+    updated = F.col("updated_at") if "updated_at" in facts.columns else F.lit(None).cast("string")
+    trust = facts.select(F.col(key).alias("key"), F.col("confidence").alias("_c"), updated.alias("_u"))
+    pool = _pool(index, questions, 4 * k, qkey, [F.desc("_c"), F.desc("_u"), F.asc("key")], trust).withColumnRenamed("key", key)
     full = pool.join(facts.drop("tokens"), key).join(questions.select(qkey, "tokens", "question_norm"), qkey)
     full = score_fact(full)
     order = Window.partitionBy(qkey).orderBy(F.desc("entity_hit"), F.desc("rank_raw"), F.round("bm", 4), F.asc(key))

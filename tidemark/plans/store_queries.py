@@ -269,10 +269,8 @@ def fts_phrase(spark, d):
 @register("retrieve")
 def retrieve(spark, d):
     """Facts and chunks of each benchmark item and of questions on parts' prices."""
-    f = facts(spark, d).filter("status = 'active'").withColumn("title_norm", tx.squash(F.col("title")))
-    f = f.select("id", "title", "title_norm", F.concat_ws(" ", "title_norm", F.lower("tags"), F.lower("answer")).alias("haystack"), tx.tokenize(F.concat_ws(" ", "title_norm", F.lower("answer"))).alias("tokens"), "confidence", "version", "effective_from", F.col("slot").alias("slot_key"))
     asked = tq._questions(spark, d)
-    return retrieval.retrieve(f, tq._chunks(spark, d), asked, floor=0.05)
+    return retrieval.retrieve(tq.asked_facts(spark, d), tq._chunks(spark, d), asked, floor=0.05, fact_index=tq.fact_index(spark, d), chunk_index=tq.chunk_index(spark, d))
 
 
 @register("like_fallback", "SELECT 'q' || p_partkey AS question_id, p_partkey AS chunk_id, 0.0 AS bm FROM part WHERE p_partkey % 20 = 0")

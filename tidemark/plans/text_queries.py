@@ -8,6 +8,7 @@ from tidemark.functions import chunking, grounding, tables, urls, wikitext
 from tidemark.functions import text as tx
 from tidemark.operators import dedupe, quality_gate, search
 from tidemark.operators.steps import settle
+from tidemark.operators.text_index import TextIndex
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import pages as web
@@ -277,10 +278,31 @@ def table_facts(spark, d):
 # --- retrieval -----------------------------------------------------------------------------------------------
 
 
+_KEPT: dict[tuple, TextIndex] = {}
+
+
+def kept_index(spark, d, name, source, rows):
+    """The index of a table, built when it is first asked and again when the table's files have changed; rows() gives key, tokens and text."""
+    state = table(spark, d, source).select("_metadata.file_path", "_metadata.file_modification_time").agg(F.count("*"), F.count_distinct("file_path"), F.max("file_modification_time")).first()
+    key = (spark.sparkContext.applicationId, name, d, *state)
+    if key not in _KEPT:
+        _KEPT[key] = search.new_index(rows())
+    return _KEPT[key]
+
+
+def chunk_index(spark, d):
+    def rows():
+        df = documents(spark, d).select("doc_id", F.explode(F.array(tx.normalize(F.col("text")))).alias("text"))
+        return df.select(F.col("doc_id").alias("key"), tx.tokenize(F.col("text")).alias("tokens"), "text")
+
+    return kept_index(spark, d, "chunks", "documents", rows)
+
+
 def _chunks(spark, d):
-    df = documents(spark, d).select("doc_id", "source", F.explode(F.array(tx.normalize(F.col("text")))).alias("text_norm"))
-    df = df.select(F.col("doc_id").alias("chunk_id"), "text_norm", F.lit("").alias("title_norm"), F.when(F.col("source") == "src1", "official").otherwise("community").alias("source_type"), tx.tokenize(F.col("text_norm")).alias("tokens"))
-    return settle(df, "chunks")  # read for postings, sizes, and the texts of what is found
+    """The documents as chunks; their normalised texts are those that the index has stored."""
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source")
+    df = chunk_index(spark, d).rows().join(known, "key")
+    return df.select(F.col("key").alias("chunk_id"), F.col("text").alias("text_norm"), F.lit("").alias("title_norm"), F.when(F.col("source") == "src1", "official").otherwise("community").alias("source_type"))
 
 
 def _questions(spark, d):
@@ -302,8 +324,8 @@ pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id OR
 
 @register("bm25", f"WITH {_BM25} SELECT question_id, doc_id AS chunk_id, bm FROM pool WHERE r <= 10")
 def bm25(spark, d):
-    chunks, asked = _chunks(spark, d), _questions(spark, d)
-    return search.bm25_pool(search.postings(chunks, "chunk_id", F.col("tokens")), chunks.select("chunk_id", F.size("tokens").alias("len")), asked.select("question_id", F.explode("tokens").alias("term")), "chunk_id", "question_id", 10)
+    asked = _questions(spark, d).select("question_id", F.explode("tokens").alias("term"))
+    return chunk_index(spark, d).top(asked, 10).withColumnRenamed("key", "chunk_id")
 
 
 SEARCH_CHUNKS = f"""{_BM25},
@@ -315,7 +337,7 @@ best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY relevanc
 
 @register("search_chunks", f"WITH {SEARCH_CHUNKS} SELECT question_id, doc_id AS chunk_id, CAST(relevance AS DOUBLE) AS relevance, round(cov, 4) AS coverage, CAST(rank AS INTEGER) AS rank, bm FROM best WHERE rank <= 10")
 def search_chunks(spark, d):
-    return search.search_chunks(_chunks(spark, d), _questions(spark, d), 10)
+    return search.search_chunks(_chunks(spark, d), _questions(spark, d), 10, index=chunk_index(spark, d))
 
 
 @register("build_evidence", f"""WITH {SEARCH_CHUNKS}, b AS (SELECT question_id, best.doc_id, rank, trim(docs.t, ' ') AS t FROM best JOIN docs ON docs.doc_id = best.doc_id WHERE rank <= 10 AND relevance >= 0.05 AND length(trim(docs.t, ' ')) > 0),
@@ -323,7 +345,7 @@ c AS (SELECT *, 12000 - coalesce(sum(length(t)) OVER (PARTITION BY question_id O
 SELECT question_id, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY rank) AS INTEGER) AS index, substring(t, 1, CAST(room AS BIGINT)) AS text FROM c WHERE room > 200""")
 def build_evidence(spark, d):
     chunks = _chunks(spark, d)
-    hits = search.relevance_floor(search.search_chunks(chunks, _questions(spark, d), 10), 0.05)
+    hits = search.relevance_floor(search.search_chunks(chunks, _questions(spark, d), 10, index=chunk_index(spark, d)), 0.05)
     items = hits.join(chunks.select("chunk_id", F.col("text_norm").alias("text")), "chunk_id")
     return search.evidence(items, "question_id", "rank").select("question_id", "chunk_id", "index", "text")
 
@@ -354,11 +376,35 @@ m AS (SELECT a.qid, a.id, a.relevance, a.rank_raw, a.entity, a.hit, b.pos FROM w
 e AS (SELECT *, hit > 0 AND row_number() OVER (PARTITION BY qid, entity, hit > 0 ORDER BY pos) = 1 AS ahead FROM m)
 SELECT qid AS question_id, id, CAST(relevance AS DOUBLE) AS relevance, CAST(rank_raw AS DOUBLE) AS rank_raw, CAST(pos AS INTEGER) AS pos FROM (SELECT qid, id, relevance, rank_raw, row_number() OVER (PARTITION BY qid ORDER BY ahead DESC, pos) AS pos FROM e) WHERE pos <= 8"""))
 def search_facts(spark, d):
-    f = facts(spark, d).filter("status = 'active'").withColumn("title_norm", tx.squash(F.col("title")))
-    f = f.select("id", "title", "title_norm", F.concat_ws(" ", "title_norm", F.lower("tags"), F.lower("answer")).alias("haystack"), tx.tokenize(F.concat_ws(" ", "title_norm", F.lower("answer"))).alias("tokens"), "confidence", "version", "effective_from", F.col("slot").alias("slot_key"))
     asked = table(spark, d, "part").filter("p_partkey % 20 = 0").withColumn("n", F.concat(F.lit("price of part"), F.col("p_partkey").cast("string")))
     asked = asked.select(F.col("p_partkey").alias("question_id"), F.col("n").alias("question_norm"), tx.tokenize_query(F.col("n")).alias("tokens"))
-    return search.search_facts(f, asked, 8)
+    return search.search_facts(asked_facts(spark, d), asked, 8, index=fact_index(spark, d))
+
+
+def asked_facts(spark, d):
+    """The active facts as a search takes them."""
+    f = facts(spark, d).filter("status = 'active'").withColumn("title_norm", tx.squash(F.col("title")))
+    return f.select("id", "title", "title_norm", F.concat_ws(" ", "title_norm", F.lower("tags"), F.lower("answer")).alias("haystack"), "confidence", "version", "effective_from", F.col("slot").alias("slot_key"))
+
+
+def fact_index(spark, d):
+    def rows():
+        f = asked_facts(spark, d)
+        words = facts(spark, d).select(F.col("id").alias("key"), tx.tokenize(F.concat_ws(" ", tx.squash(F.col("title")), F.lower("answer"))).alias("tokens"))
+        return f.select(F.col("id").alias("key"), F.col("haystack").alias("text")).join(words, "key")
+
+    return kept_index(spark, d, "facts", "lineitem", rows)
+
+
+@register("fact_fallback", with_facts("""f AS (SELECT *, lower(title) || ' ' || lower(tags) || ' ' || lower(answer) AS hay FROM facts WHERE status = 'active'), q AS (SELECT p_partkey AS question_id, 'art' || p_partkey AS part FROM part WHERE p_partkey % 20 = 0),
+m AS (SELECT question_id, id, confidence, slot, version, effective_from, row_number() OVER (PARTITION BY question_id ORDER BY confidence DESC, id) AS pos FROM q JOIN f ON contains(hay, part)),
+w AS (SELECT *, row_number() OVER (PARTITION BY question_id, slot ORDER BY pos) AS k, row_number() OVER (PARTITION BY question_id, slot ORDER BY effective_from DESC, version DESC, pos) AS j FROM m WHERE pos <= 32)
+SELECT a.question_id, a.id, CAST(round(0.75 + a.confidence * 0.25, 4) AS DOUBLE) AS relevance, CAST(b.pos AS INTEGER) AS pos FROM w a JOIN w b ON a.question_id = b.question_id AND a.slot = b.slot AND a.j = b.k WHERE b.pos <= 8"""))
+def fact_fallback(spark, d):
+    """Questions whose word no fact has, as it is a part of one: the facts that contain it, the most trusted first."""
+    asked = table(spark, d, "part").filter("p_partkey % 20 = 0")
+    asked = asked.select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("art"), F.col("p_partkey").cast("string")).alias("question_norm")).withColumn("tokens", F.array("question_norm"))
+    return search.search_facts(asked_facts(spark, d), asked, 8, index=fact_index(spark, d)).select("question_id", "id", "relevance", "pos")
 
 
 @register("mentioned_entities")
