@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, dedupe, lifecycle, search, topics, vote
+from tidemark.operators import audit, dedupe, facts_py, lifecycle, search, topics, vote
 from tidemark.sources import pages, providers, snapshot
 from tidemark.streaming import events as ev
 
@@ -211,6 +211,38 @@ def test_streams(spark, tmp_path):
     assert {(r.topic, r.retry_count, r.next_retry_at, r.done) for r in seen} == {("t", 2, 1100.0, False), ("u", 0, 0.0, True)}
 
 
+def test_fold_finds_the_keepers_that_a_serial_fold_finds():
+    rng = random.Random(6)
+    for _ in range(60):
+        alphabet = rng.choice(["ab", "abc12", "甲乙丙。；，12 "])
+        rows = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 3, 8, 20]))) for _ in range(40)]
+        kept, serial = facts_py.Keepers(), []
+        for text in rows:
+            new = facts_py.Answer(text)
+            want = next((i for i, k in enumerate(serial) if facts_py.compare(k, text)[0] == "duplicate"), None)
+            assert kept.first_repeated_by(new) == want
+            if want is None:
+                kept.add(new)
+                serial.append(text)
+            else:
+                serial[want] = facts_py.merge_answers(serial[want], text)
+                assert kept.merge(want, new) == serial[want]
+        assert [k.text for k in kept.answers] == [s.strip() for s in serial]
+
+
+def test_simhash_keys_and_brute_force(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = list({x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for x in base for _ in range(12)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    rows = spark.createDataFrame(list(enumerate(signed)), "id long, simhash long")
+    got = [(r.id, r.other, r.distance) for r in dedupe.simhash_neighbours(rows, rows).collect()]
+    want = {(i, j, (a ^ b).bit_count()) for i, a in enumerate(values) for j, b in enumerate(values) if i != j and (a ^ b).bit_count() <= 3 and ((a ^ b) >> 48).bit_count() <= 2}
+    assert set(got) == want and len(got) == len(want) > 100
+    masks = {m & (1 << 64) - 1 for m in dedupe._key_masks()}
+    assert len(masks) == 20 and {m.bit_count() for m in masks} <= {31, 32, 33}
+
+
 def test_simhash_neighbours_are_all_pairs_and_members(spark, tmp_path):
     from tidemark.operators import dedupe
     from tidemark.plans import catalog

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from tidemark.functions import types as ty
 from tidemark.functions import text as tx
 
 RATIO, SUBSET, SAME_NUMBERS, SIMILAR = 0.45, 0.9, 0.45, 0.82
-#: Parts of 16 bits of a fingerprint.
-PARTS = 4
+#: Bits of the six parts of a fingerprint, and how many of them make a key.
+PARTS, KEY_PARTS = (11, 11, 11, 11, 10, 10), 3
 
 _FNV_START, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
@@ -111,21 +112,29 @@ def compare(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumns({"action": action, "keep": kept}).drop("_a", "_b", "_na", "_nb", "_ga", "_gb", "_s", "_c")
 
 
+def _key_masks() -> list[int]:
+    """The bits of each choice of three parts, as signed numbers."""
+    starts = [sum(PARTS[:i]) for i in range(len(PARTS))]
+    parts = [((1 << n) - 1) << at for n, at in zip(PARTS, starts, strict=True)]
+    masks = [sum(chosen) for chosen in combinations(parts, KEY_PARTS)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def simhash_neighbours(rows: DataFrame, others: DataFrame, key: str = "id", h: str = "simhash", limit: int | None = None, distance: int = 3) -> DataFrame:
     """key, other and distance: the rows of ``others`` within the distance, 3 at most, whose top 16 bits differ by two at most.
 
     With a limit, the nearest ones only, and their rank.
-    Of four parts of 16 bits one is equal, where three bits differ, so rows meet in an equi-join on part and place; a pair that has several equal parts
-    counts at the first.
+    Of six parts three are equal where three bits differ, so rows meet in an equi-join on one of twenty tables, whose keys are the 31 to 33 bits of three
+    parts: rows that merely share a key are few, however many rows there are. A pair with several equal keys counts at the first.
     """
-    if distance > PARTS - 1:
-        raise ValueError(f"parts of 16 bits find distances up to {PARTS - 1}")
-    part = lambda c, i: F.shiftrightunsigned(c, 16 * i).bitwiseAND(F.lit(0xFFFF)).cast("int")
-    parts = lambda c: F.array(*[part(c, i) for i in range(PARTS)])
-    probe = rows.select(F.col(key), F.col(h).alias("_h"), F.posexplode(parts(F.col(h))).alias("_i", "_b"))
-    index = others.select(F.col(key).alias("other"), F.col(h).alias("_g"), F.posexplode(parts(F.col(h))).alias("_i", "_b"))
+    if distance > len(PARTS) - KEY_PARTS:
+        raise ValueError(f"keys of {KEY_PARTS} of {len(PARTS)} parts find distances up to {len(PARTS) - KEY_PARTS}")
+    masks = _key_masks()
+    keys = lambda c: F.posexplode(F.array(*[c.bitwiseAND(F.lit(m)) for m in masks])).alias("_i", "_b")
+    probe = rows.select(F.col(key), F.col(h).alias("_h"), keys(F.col(h)))
+    index = others.select(F.col(key).alias("other"), F.col(h).alias("_g"), keys(F.col(h)))
     both = F.col("_h").bitwiseXOR(F.col("_g"))
-    first = F.array_position(parts(both), 0) == F.col("_i") + 1
+    first = F.array_position(F.array(*[both.bitwiseAND(F.lit(m)) == 0 for m in masks]), True) == F.col("_i") + 1
     near = probe.join(index, ["_i", "_b"]).filter((F.col(key) != F.col("other")) & (hamming(F.col("_h"), F.col("_g")) <= distance) & first)
     near = near.filter(F.bit_count(F.shiftrightunsigned(both, 48)) <= 2).withColumn("distance", hamming(F.col("_h"), F.col("_g")))
     if limit is None:
@@ -180,26 +189,27 @@ _KEPT = ["seq", "title", "answer", "tags", "source_url", "confidence", "merged"]
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """First fit in the given order: a row joins the first keeper of its title that it repeats. Rows come by title and order."""
-    from tidemark.operators import facts_py as py
+    from tidemark.operators.facts_py import Answer, Keepers
 
-    title, keepers = None, []
+    title, rows, kept = None, [], Keepers()
     for batch in batches:
         done: list[dict] = []
         for row in batch.to_dict("records"):
             if row["_t"] != title:
-                done += keepers
-                title, keepers = row["_t"], []
-            for k in keepers:
-                if py.compare(k["answer"], row["answer"])[0] == "duplicate":
-                    k["answer"] = py.merge_answers(k["answer"], row["answer"])
-                    k["confidence"] = max(k["confidence"], row["confidence"])
-                    k["tags"] = _with_sources(k["tags"], [row["own"], *row["sources"]])
-                    k["merged"] += 1 + row["merged"]
-                    break
+                done += rows
+                title, rows, kept = row["_t"], [], Keepers()
+            new = Answer(row["answer"])
+            at = kept.first_repeated_by(new)
+            if at is None:
+                kept.add(new)
+                rows.append(row | {"tags": _with_sources(row["tags"], row["sources"])})
             else:
-                keepers.append(row | {"tags": _with_sources(row["tags"], row["sources"])})
+                k = rows[at]
+                k["answer"], k["confidence"] = kept.merge(at, new), max(k["confidence"], row["confidence"])
+                k["tags"] = _with_sources(k["tags"], [row["own"], *row["sources"]])
+                k["merged"] += 1 + row["merged"]
         yield pd.DataFrame(done, columns=_KEPT)
-    yield pd.DataFrame(keepers, columns=_KEPT)
+    yield pd.DataFrame(rows, columns=_KEPT)
 
 
 def _with_sources(tags: str | None, sources: list[str]) -> str:

@@ -99,6 +99,17 @@ class TextIndex:
         """The rows of these keys (key) go."""
         return self._change(None, keys.select("key").distinct())
 
+    def follow(self, docs: DataFrame) -> int:
+        """docs (key, tokens, text) is the whole table now: what is new or changed goes in, what is gone goes, the rest isn't touched.
+
+        So the index keeps in step with whatever changes the table: upserts, replaced chunks, deletions.
+        """
+        old = self.rows().select("key", F.col("text").alias("_old"), F.lit(True).alias("_known"))
+        new = docs.join(old, "key", "left").filter(F.col("_known").isNull() | ~F.col("text").eqNullSafe(F.col("_old"))).select("key", "tokens", "text")
+        new = settle(new, "changed")
+        gone = old.select("key").join(docs.select("key"), "key", "left_anti")
+        return self._change(new, new.select("key").unionByName(gone))
+
     def compact(self, docs: DataFrame) -> int:
         """docs, all rows that are live, as the only segment; earlier files stay for readers that have them open."""
         return self._change(docs, None, alone=True)

@@ -69,10 +69,19 @@ def latest_version(spark, d):
     return answers.latest_version(titles)
 
 
-@register("followup_rewrite")
+@register("followup_rewrite", r"""WITH t AS (SELECT conv_id, turn, role, CASE WHEN turn % 4 = 2 AND role = 'user' THEN '它的生日呢' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+names AS (SELECT DISTINCT lower(regexp_extract(text, '^([\p{L}\p{N}_]+ [\p{L}\p{N}_]+)', 1)) AS name FROM t WHERE role = 'user' AND conv_id % 3 > 0), u AS (SELECT conv_id, turn, n, text, lower(text) AS low FROM t WHERE role = 'user'),
+m AS (SELECT conv_id, turn, list(struct_pack(at := strpos(low, name), len := -length(name), name := name) ORDER BY strpos(low, name), -length(name), name) AS hits FROM u JOIN names ON length(name) >= 2 AND contains(low, name) GROUP BY conv_id, turn),
+f AS (SELECT conv_id, turn, list_reduce(list_transform(hits, lambda h: struct_pack(e := h.at - h.len, at := h.at, names := [h.name])), lambda s, h: CASE WHEN h.at >= s.e THEN struct_pack(e := h.e, at := h.at, names := s.names || h.names) ELSE s END).names AS names FROM m),
+a AS (SELECT u.*, f.names, u.text = '它的生日呢' AS leans FROM u LEFT JOIN f USING (conv_id, turn)),
+d AS (SELECT q.conv_id, q.turn, arg_max(coalesce(a.names, []), a.n) AS before FROM a q JOIN a ON a.conv_id = q.conv_id AND a.n BETWEEN q.n - 6 AND q.n - 1 AND (a.names IS NOT NULL OR NOT a.leans) GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN leans AND coalesce(len(before), 0) = 1 THEN before[1] || '的生日呢' ELSE text END AS question,
+  CASE WHEN NOT leans OR len(before) = 1 THEN '' WHEN len(before) > 1 THEN '你指的是' || array_to_string(before, '、') || '中的哪一个？' ELSE '你指的是哪位角色或哪个对象？请告诉我名称。' END AS clarify FROM a LEFT JOIN d USING (conv_id, turn)""")
 def followup_rewrite(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.when((F.col("turn") > 1) & (F.col("role") == "user"), "它的生日呢").otherwise(F.col("text")).alias("text"))
-    names = turns.filter("role = 'user'").select(F.lower(F.regexp_extract("text", r"(?U)^(\w+ \w+)", 1)).alias("name")).filter("name <> ''").distinct()
+    """Every other question leans on what was said before; names are the first two words of most conversations' questions."""
+    leaning = (F.col("turn") % 4 == 2) & (F.col("role") == "user")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.when(leaning, "它的生日呢").otherwise(F.col("text")).alias("text"))
+    names = turns.filter("role = 'user' AND conv_id % 3 > 0").select(F.lower(F.regexp_extract("text", r"^([\p{L}\p{N}_]+ [\p{L}\p{N}_]+)", 1)).alias("name")).distinct()
     return answers.followups(turns, names)
 
 
@@ -84,11 +93,15 @@ def comparison_scope(spark, d):
     return out.select("p_partkey", F.array_join("s.subjects", ",").alias("subjects"), "s.field")
 
 
-@register("missing_subjects", "SELECT p_partkey, p_brand || 'x' AS missing FROM part WHERE p_partkey % 2 = 0")
+@register("missing_subjects", "SELECT p_partkey, p_brand || 'x' AS missing FROM part WHERE p_size BETWEEN 11 AND 25")
 def missing_subjects(spark, d):
     part = table(spark, d, "part")
     scopes = part.select("p_partkey", F.lit(8).alias("field"), F.array(F.col("p_brand"), F.concat(F.col("p_brand"), F.lit("x"))).alias("subjects"))
-    told = part.select("p_partkey", F.concat(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("x"), F.lit("的攻击力为5。")).alias("text"))
+    # a fact about the brand by its title, or a line of a text; in small parts both, and the text is about the longer name
+    size = F.col("p_size")
+    fact = part.filter((size <= 25)).select("p_partkey", F.lit("fact").alias("kind"), F.concat("p_brand", F.lit("·攻击力")).alias("title"), size.cast("string").alias("text"))
+    line = part.filter((size > 25) | (size <= 10)).select("p_partkey", F.lit("chunk").alias("kind"), F.concat("p_brand", F.lit("·攻击力")).alias("title"), F.concat(F.col("p_brand"), F.lit("X的攻击力为"), size.cast("string"), F.lit("。")).alias("text"))
+    told = fact.unionByName(line)
     return answers.missing_subjects(scopes, told, "p_partkey").select("p_partkey", F.array_join("missing", ",").alias("missing"))
 
 

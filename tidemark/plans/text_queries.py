@@ -167,18 +167,24 @@ def value_like(spark, d):
     return rows.select("k", "v", tx.value_like(F.col("answer")).alias("value_like"), tx.signature(tx.numbers_signed(F.col("answer"))).alias("signature"))
 
 
-@register("simhash64", f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format(squash_sql('text'))}) AS w FROM documents),
+SIMHASH = f"""WITH t AS (SELECT doc_id, unnest({TOKENS.format(squash_sql('text'))}) AS w FROM documents),
 tf AS (SELECT doc_id, w, count(*) AS k FROM t GROUP BY ALL),
 words AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM tf),
 h AS (SELECT w, list_reduce(list_transform(range(1, length(x) // 2 + 1), lambda i: CAST(('0x' || substring(x, CAST(2 * i - 1 AS BIGINT), 2)) AS INTEGER)::HUGEINT), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::HUGEINT) AS f FROM words),
 bits AS (SELECT doc_id, i, sum(CASE WHEN (f // CAST(power(2::DOUBLE, i) AS HUGEINT)) % 2 = 1 THEN k ELSE -k END) AS v FROM tf JOIN h USING (w), range(64) r(i) GROUP BY ALL),
 u AS (SELECT doc_id, sum(CASE WHEN v > 0 THEN CAST(power(2::DOUBLE, i) AS HUGEINT) ELSE 0 END) AS s FROM bits GROUP BY doc_id)
-SELECT d.doc_id, CAST(CASE WHEN coalesce(s, 0) >= 9223372036854775808 THEN s - 18446744073709551616 ELSE coalesce(s, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN u USING (doc_id)""")
+SELECT d.doc_id, CAST(CASE WHEN coalesce(s, 0) >= 9223372036854775808 THEN s - 18446744073709551616 ELSE coalesce(s, 0) END AS BIGINT) AS simhash FROM documents d LEFT JOIN u USING (doc_id)"""
+
+
+@register("simhash64", SIMHASH)
 def simhash64(spark, d):
     return documents(spark, d).select("doc_id", dedupe.simhash64(tx.normalize(F.col("text"))).alias("simhash"))
 
 
-@register("simhash_neighbours")
+@register("simhash_neighbours", """WITH hashed AS (SELECT * FROM (SIMHASH) WHERE simhash <> 0), r AS (SELECT simhash, min(doc_id) AS id FROM hashed GROUP BY simhash),
+p AS (SELECT a.id, b.id AS other, bit_count(xor(a.simhash, b.simhash)) AS distance, xor(a.simhash, b.simhash) AS x FROM r a JOIN r b ON a.id <> b.id)
+SELECT id, other, CAST(distance AS INTEGER) AS distance, false AS member FROM p WHERE distance <= 3 AND bit_count((x >> 48) & 65535) <= 2
+UNION ALL SELECT doc_id, id, 0, true FROM hashed JOIN r USING (simhash) WHERE doc_id <> id""".replace("SIMHASH", SIMHASH))
 def simhash_neighbours(spark, d):
     """Pairs of different fingerprints by their smallest documents, and as members the other documents with that document's fingerprint."""
     hashed = settle(simhash64(spark, d).filter("simhash <> 0"), "simhashes")
@@ -328,6 +334,22 @@ def bm25(spark, d):
     return chunk_index(spark, d).top(asked, 10).withColumnRenamed("key", "chunk_id")
 
 
+@register("index_follow", "WITH " + _BM25.replace("docs AS (SELECT doc_id, source,", "documents2 AS (SELECT doc_id, source, CASE WHEN lang = 'de' THEN text || ' the license of ' || source ELSE text END AS text FROM documents WHERE lang <> 'fr'),\ndocs AS (SELECT doc_id, source,").replace("AS t FROM documents)", "AS t FROM documents2)") + " SELECT question_id, doc_id AS chunk_id, bm FROM pool WHERE r <= 10")
+def index_follow(spark, d):
+    """Answers after the French documents are deleted and the German ones are changed: the index takes in what has changed."""
+
+    def rows(docs):
+        df = docs.select("doc_id", F.explode(F.array(tx.normalize(F.col("text")))).alias("text"))
+        return df.select(F.col("doc_id").alias("key"), tx.tokenize(F.col("text")).alias("tokens"), "text")
+
+    docs = documents(spark, d)
+    index = search.new_index(rows(docs))
+    changed = F.when(F.col("lang") == "de", F.concat("text", F.lit(" the license of "), "source")).otherwise(F.col("text"))
+    index.follow(rows(docs.filter("lang <> 'fr'").withColumn("text", changed)))
+    asked = _questions(spark, d).select("question_id", F.explode("tokens").alias("term"))
+    return index.top(asked, 10).withColumnRenamed("key", "chunk_id")
+
+
 SEARCH_CHUNKS = f"""{_BM25},
 sc AS (SELECT pool.question_id, pool.doc_id, bm, len(list_filter(qt, lambda x: contains(t, x))) / greatest(len(qt), 1) AS cov, CASE WHEN source = 'src1' THEN 0.12 ELSE 0 END AS bonus
   FROM pool JOIN q USING (question_id) JOIN docs ON docs.doc_id = pool.doc_id),
