@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, dedupe, facts_py, lifecycle, search, topics, vote
+from tidemark.operators import audit, dedupe, facts_py, lifecycle, names, search, topics, vote
 from tidemark.sources import pages, providers, snapshot
 from tidemark.streaming import events as ev
 
@@ -211,6 +211,24 @@ def test_streams(spark, tmp_path):
     assert {(r.topic, r.retry_count, r.next_retry_at, r.done) for r in seen} == {("t", 2, 1100.0, False), ("u", 0, 0.0, True)}
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 40])
+def test_names_equal_a_search_for_each(spark, monkeypatch, chars):
+    monkeypatch.setattr(names, "NAME_CHARS", chars)
+    rng = random.Random(8)
+    make = lambda n: "".join(rng.choice("ab甲é𝄞") for _ in range(n))
+    known = [*{make(rng.choice([1, 2, 3, 5])) for _ in range(40)}, "aa", "aaa"]
+    texts = [(i, make(rng.choice([0, 3, 30]))) for i in range(60)] + [(60, None), (61, "aaaaaaa"), (61, "aa")]
+    frame = spark.createDataFrame(texts, "id long, t string")
+    listed = spark.createDataFrame([(n,) for n in [*known, None, "", "aa"]], "name string")
+    got = sorted((r.id, r.name, r.at, r.n) for r in names.mentions(frame, listed, "id", "t").collect())
+    assert got == sorted((i, n, t.index(n) + 1, t.count(n)) for i, t in texts if t for n in set(known) if n in t)
+    shown = {r.id: r.names for r in names.present(frame.filter("id < 60"), listed, "id", "t", 3).collect()}
+    assert shown == {i: x for i, t in texts[:60] if len(x := sorted(n for n in set(known) if n in t)) >= 3}
+    assert names.mentions(frame, listed.limit(0), "id", "t").count() == 0 and names.mentions(frame.limit(0), listed, "id", "t").count() == 0
+    rows = spark.createDataFrame([(1, "aaa", "b aa aa b"), (2, "b", "b aa aa"), (3, "é", "aa"), (4, "", "aa aa")], "id int, own string, t string")
+    assert [(r.id, r.other, r.n) for r in audit.misattributed(rows, spark.createDataFrame([("aa",), ("b",)], "name string"), "id", "own", "t").collect()] == [(1, "aa", 2)]
+
+
 def test_fold_finds_the_keepers_that_a_serial_fold_finds():
     rng = random.Random(6)
     for _ in range(60):

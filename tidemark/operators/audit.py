@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.operators import names
 
 
 def stats(rows: DataFrame, by: str) -> DataFrame:
@@ -67,12 +68,11 @@ def copies(rows: DataFrame, key: str, group: str, text: str, least: float = 0.99
     return classes.join(one, "a").join(two, "b").filter((F.col("ga") != F.col("gb")) & ((F.col("a") != F.col("b")) | (F.col("ga") < F.col("gb")))).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "dice")
 
 
-def misattributed(rows: DataFrame, names: DataFrame, key: str, own: str, text: str) -> DataFrame:
-    """Rows that never name their own entity but another one twice or more (B); names are found by their words."""
-    words = rows.select(key, own, text, F.explode(F.array_distinct(F.split(F.col(text), r"(?U)\W+"))).alias("_w"))
-    first = names.select("name", F.regexp_extract("name", r"(?U)(\w+)", 1).alias("_w"))
-    hits = words.join(first, "_w").withColumn("n", tx.occurrences(F.col(text), F.col("name"))).filter((F.col("n") >= 2) & (F.col("name") != F.col(own)))
-    return hits.filter(tx.occurrences(F.col(text), F.col(own)) == 0).select(key, F.col("name").alias("other"), "n").distinct()
+def misattributed(rows: DataFrame, entities: DataFrame, key: str, own: str, text: str, least: int = 2) -> DataFrame:
+    """Rows that never name their own entity but another one (name), of two characters or more, ``least`` times or more (B)."""
+    open_ = rows.filter((F.col(own) != "") & ~F.contains(F.col(text), F.col(own)))
+    hits = names.mentions(open_, entities.select("name").filter(F.length("name") >= 2), key, text)
+    return hits.filter(F.col("n") >= least).select(key, F.col("name").alias("other"), "n").distinct()
 
 
 def placeholder(answer: Column) -> Column:
@@ -87,11 +87,6 @@ def duplicate_bodies(rows: DataFrame, title: str, text: str, min_chars: int = 8)
     return rows.select(body.alias("body"), F.col(title).alias("_t")).filter(F.length("body") >= min_chars).groupBy("body").agg(F.count_distinct("_t").alias("titles"), F.count("*").alias("n")).filter("titles > 1")
 
 
-def names_present(text: Column, names: list[str]) -> Column:
-    """Names of a list that stand in the text (E, G)."""
-    return F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.coalesce(text, F.lit("")), n))
-
-
 def collisions(rows: DataFrame, entity: str, field: str, value: str) -> DataFrame:
     """Values of a field that should be one entity's but are several's (F)."""
     return rows.groupBy(F.col(field).alias("field"), F.col(value).alias("value")).agg(F.count_distinct(entity).alias("entities")).filter("entities > 1")

@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
+from tidemark.operators import names
 from tidemark.operators.steps import scratch, settle
 from tidemark.operators.text_index import TextIndex
 
@@ -237,17 +237,9 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
 
 
 def mentioned_entities(questions: DataFrame, entities: DataFrame, qkey: str = "question_id", text: str = "question_norm") -> DataFrame:
-    """qkey and the entities of its text, leftmost and longest first, that don't overlap.
-
-    Entities are looked up by their first two characters, so that a question meets only those it may hold.
-    """
-    heads = questions.select(qkey, text, F.explode(tx.bigrams(F.col(text))).alias("_head"))
-    names = entities.select("name", F.substring("name", 1, 2).alias("_head")).filter(F.length("name") >= 2).distinct()
-    hits = heads.join(names, "_head").filter(F.contains(text, "name")).select(qkey, F.instr(text, F.col("name")).alias("at"), "name").distinct()
-    listed = hits.groupBy(qkey).agg(F.array_sort(F.collect_list(F.struct("at", (-F.length("name")).alias("len"), "name"))).alias("_x"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("names"))
-    step = lambda s, x: F.when(x["at"] >= s["end"], F.struct((x["at"] - x["len"]).alias("end"), F.concat(s["names"], F.array(x["name"])).alias("names"))).otherwise(s)
-    return listed.select(qkey, F.aggregate("_x", start, step)["names"].alias("entities"))
+    """qkey and the entities (name) of its text, of two characters or more, leftmost and longest first, that don't overlap."""
+    known = entities.select("name").filter(F.length("name") >= 2)
+    return names.leftmost(names.mentions(questions, known, qkey, text), qkey)
 
 
 def cited(answers: DataFrame, citations: DataFrame, key: str = "answer_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions import trust, urls, wikitext
 from tidemark.functions import versions as vs
-from tidemark.operators import answers, audit, dedupe, lifecycle, search, topics, vote
+from tidemark.operators import answers, audit, dedupe, lifecycle, names, search, topics, vote
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import providers
@@ -293,8 +293,8 @@ def audit_collision(spark, d):
 
 @register("audit_foreign", "SELECT doc_id, array_to_string(list_filter(['idiot', 'moron', 'trash'], lambda n: contains(text, n)), ',') AS names FROM documents WHERE contains(text, 'idiot') OR contains(text, 'moron') OR contains(text, 'trash')")
 def audit_foreign(spark, d):
-    names = audit.names_present(F.col("text"), ["idiot", "moron", "trash"])
-    return documents(spark, d).withColumn("x", names).filter(F.size("x") > 0).select("doc_id", F.array_join("x", ",").alias("names"))
+    foreign = spark.createDataFrame([(n,) for n in ("idiot", "moron", "trash")], "name string")
+    return names.present(documents(spark, d), foreign, "doc_id", "text").select("doc_id", F.array_join("names", ",").alias("names"))
 
 
 _GAP = r"""lower(regexp_replace(text, '[\s　 ，。、；：！？“”‘’（）【】《》「」『』…—·,.;:!?"''()\[\]<>/\\|~`^&*+=_-]+', '', 'g'))"""
@@ -397,8 +397,8 @@ def followup(spark, d):
     other = F.concat(F.lit("other"), k.cast("string"), F.lit("x"))
     first = F.when(k % 3 == 0, F.concat(F.lit("tell of "), F.col("c_name"))).when(k % 3 == 1, F.concat(F.col("c_name"), F.lit(" or "), other)).otherwise("tell of anyone")
     turns = c.select(k.alias("conv_id"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("turn"), F.lit("user").alias("role"), first.alias("text")), F.struct(F.lit(2).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("它的生日呢").alias("text")))).alias("x")).select("conv_id", "x.*")
-    names = c.select(F.lower("c_name").alias("name")).union(c.select(other))
-    return answers.followups(turns, names).filter("turn = 2")
+    known = c.select(F.lower("c_name").alias("name")).union(c.select(other))
+    return answers.followups(turns, known).filter("turn = 2")
 
 
 @register("api_facts", "SELECT p_partkey, 'part' || p_partkey || '·brand' AS title, 'part' || p_partkey || ' 的brand为：' || p_brand AS answer FROM part WHERE length(p_brand) >= 2")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import tables, urls, wikitext
 from tidemark.functions import text as tx
-from tidemark.operators import quality_gate, topics
+from tidemark.operators import names, quality_gate, topics
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, table
 from tidemark.sources import curation, providers, wiki
@@ -98,8 +98,8 @@ def src_mw_allpages(spark, d):
     from pyspark.sql import Window
 
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
-    names = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("模板:表"))).otherwise(F.array(_cat("页 ", k), F.lit("首页"), _cat("第二页 ", k), F.lit("Sandbox 2")))
-    body = F.to_json(F.struct(F.struct(F.transform(names, lambda t: F.struct(t.alias("title"))).alias("allpages")).alias("query")))
+    titles = F.when(F.col("o_orderstatus") == "P", F.array(F.lit("模板:表"))).otherwise(F.array(_cat("页 ", k), F.lit("首页"), _cat("第二页 ", k), F.lit("Sandbox 2")))
+    body = F.to_json(F.struct(F.struct(F.transform(titles, lambda t: F.struct(t.alias("title"))).alias("allpages")).alias("query")))
     rows = o.select(F.col("o_custkey").alias("source"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("hop"), body.alias("body"))
     return wiki.all_pages(rows, 9)
 
@@ -238,7 +238,9 @@ def strip_boilerplate(spark, d):
 @register("foreign_entities", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '光遇,原神,幻塔,鸣潮' ELSE '' END AS names FROM documents")
 def foreign_entities(spark, d):
     text = F.when(F.col("doc_id") % 3 == 0, _cat(F.col("text"), "原神与鸣潮、幻塔和光遇")).otherwise(_cat(F.col("text"), "原神与鸣潮、幻塔"))
-    return documents(spark, d).select("doc_id", F.array_join(quality_gate.foreign_entities(text), ",").alias("names"))
+    docs = documents(spark, d).select("doc_id", text.alias("text"))
+    foreign = names.present(docs, spark.createDataFrame([(n,) for n in quality_gate.FOREIGN], "name string"), "doc_id", "text", quality_gate.FOREIGN_KINDS)
+    return docs.select("doc_id").join(foreign, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("names", ","), F.lit("")).alias("names"))
 
 
 @register("theme_terms", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_mktsegment < c_name THEN c_mktsegment || ',' || c_name ELSE c_name || ',' || c_mktsegment END AS terms FROM customer")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
-from tidemark.operators import answers, audit, dedupe, ingest, lifecycle, retrieval, search, store, topics, vote
+from tidemark.operators import answers, audit, dedupe, ingest, lifecycle, names, retrieval, search, store, topics, vote
 from tidemark.operators.steps import scratch
 from tidemark.plans import text_queries as tq
 from tidemark.plans.catalog import register
@@ -117,7 +117,9 @@ def audit_misattribution(spark, d):
 
 @register("audit_crossgame", "SELECT doc_id, CASE WHEN contains(text, 'license') OR contains(text, 'License') THEN array_to_string(list_filter(['License', 'license'], lambda n: contains(text, n)), ',') ELSE '' END AS terms FROM documents")
 def audit_crossgame(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(audit.names_present(F.col("text"), ["License", "license"]), ",").alias("terms"))
+    docs = documents(spark, d).select("doc_id", "text")
+    hits = names.present(docs, spark.createDataFrame([("License",), ("license",)], "name string"), "doc_id", "text")
+    return docs.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("names", ","), F.lit("")).alias("terms"))
 
 
 @register("no_vote", """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'narrative' WHEN 1 THEN 'construction' ELSE '' END AS why FROM part""")

@@ -429,8 +429,11 @@ def fact_fallback(spark, d):
     return search.search_facts(asked_facts(spark, d), asked, 8, index=fact_index(spark, d)).select("question_id", "id", "relevance", "pos")
 
 
-@register("mentioned_entities")
+@register("mentioned_entities", rf"""WITH u AS (SELECT conv_id || '-' || turn AS question_id, {squash_sql('text')} AS low FROM conversations WHERE role = 'user'),
+names AS (SELECT DISTINCT lower(regexp_extract(text, '^([\p{{L}}\p{{N}}_]+ [\p{{L}}\p{{N}}_]+)', 1)) AS name FROM documents),
+m AS (SELECT question_id, list(struct_pack(e := strpos(low, name) + length(name), at := strpos(low, name), names := [name]) ORDER BY strpos(low, name), -length(name), name) AS hits FROM u JOIN names ON length(name) >= 2 AND contains(low, name) GROUP BY question_id)
+SELECT question_id, array_to_string(list_reduce(hits, lambda s, h: CASE WHEN h.at >= s.e THEN struct_pack(e := h.e, at := h.at, names := s.names || h.names) ELSE s END).names, '|') AS entities FROM m""")
 def mentioned_entities(spark, d):
     asked = table(spark, d, "conversations").filter("role = 'user'").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"), tx.normalize(F.col("text")).alias("question_norm"))
-    names = documents(spark, d).select(F.lower(F.regexp_extract("text", r"(?U)^(\w+ \w+)", 1)).alias("name")).filter("name <> ''").distinct()
-    return search.mentioned_entities(asked, names).select("question_id", F.array_join("entities", "|").alias("entities"))
+    known = documents(spark, d).select(F.lower(F.regexp_extract("text", r"^([\p{L}\p{N}_]+ [\p{L}\p{N}_]+)", 1)).alias("name")).distinct()
+    return search.mentioned_entities(asked, known).select("question_id", F.array_join("entities", "|").alias("entities"))
