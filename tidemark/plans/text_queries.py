@@ -251,7 +251,7 @@ def extract_links(spark, d):
 @register("crawl_frontier")
 def crawl_frontier(spark, d):
     links = extract_links(spark, d).join(table(spark, d, "pages").select("page_id", "url"), "page_id").select("url", F.col("link").alias("to"))
-    return web.crawl(table(spark, d, "pages").select("url"), links, 2)
+    return web.crawl(table(spark, d, "pages").select("url"), links)
 
 
 @register("template_fields", """SELECT p_partkey, unnest(['name', 'brand', 'size', 'note']) AS field, unnest([p_name, p_brand, CAST(p_size AS VARCHAR), p_type]) AS value FROM part""")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from html.parser import HTMLParser
+from collections.abc import Iterator, Sequence
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -12,109 +12,149 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import types as ty
-
-# What is cut, what holds the text, where dates stand.
-CUT_TAGS = frozenset("script style noscript template nav footer aside form header iframe svg button".split())
-CUT_WORDS = re.compile(r"(?:^|[\s_-])(nav|navbar|menu|footer|sidebar|breadcrumb|comment|comments|ad|ads|advert|share|related|recommend|cookie|pagination|copyright)(?:$|[\s_-])", re.I)
-CONTAINERS = ("article", "main")
-BLOCK_TAGS = frozenset("p div li h1 h2 h3 h4 h5 h6 td th tr pre blockquote section article br dt dd figcaption".split())
-VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DATE_METAS = ("article:published_time", "og:published_time", "publishdate", "pubdate", "date")
+from tidemark.operators.steps import scratch
+from tidemark.sources.page_tree import Node, Selectors, parse
+
+# What holds a page's text, best first; what is cut from it; blocks and those that make a block no leaf; where dates stand.
+CONTAINERS = (".mw-parser-output", "#mw-content-text", "article", ".article-content", ".content", "#content", ".post-content", ".detail-content", "#artibody", ".news_content")
+CUT = (
+    "script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe", ".nav", ".menu", ".sidebar", ".advertisement", ".ad", ".comment", ".comments",
+    ".related", ".breadcrumb", ".toolbar", ".mw-editsection", ".catlinks", ".printfooter", "#toc", ".toc",
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5".split())
+BLOCK_TAGS = HEADINGS | frozenset("p li td th div tr".split())
+INNER_TAGS = frozenset("p li div td".split())
+DATES = (("property", "article:published_time"), ("name", "publishdate"), ("name", "pubdate"), ("itemprop", "datePublished"), ("name", "weibo: article:create_at"))
 CONTAINER_CHARS, LEAST_CHARS = 200, 80
 MAX_LINKS, MAX_URL, MIN_TITLE = 500, 2048, 4
+BOMS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+META_CHARSET = re.compile(rb"<meta[^>]{1,200}?charset\s*=\s*[\"']?([A-Za-z0-9_-]{1,40})", re.I)
+
+_CONTAINERS, _CUT = Selectors(CONTAINERS), Selectors(CUT)
+_TAG, _ENTITIES = re.compile(r"<[^>]{0,200}>"), (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+
+
+def _inline(text: str) -> str:
+    """One line without tags that an attribute or a title may hold as text."""
+    text = _TAG.sub(" ", text)
+    for entity, char in _ENTITIES:
+        text = text.replace(entity, char)
+    return " ".join(text.split())
+
+
+def _tidy(text: str) -> str:
+    lines = [re.sub(r"[ \t\xa0]+", " ", line).strip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
+
+def _chars(node: Node) -> int:
+    """Characters of the element's texts, each without the white space around it."""
+    return sum(len(t.strip()) for t in node.texts())
 
 
-class _Reader(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
-        self.cut = self.inside = 0
-        self.all: list[str] = []
-        self.container: list[str] = []
-        self.title, self.heading, self.meta, self.time = [], [], {}, ""
-        self.links: list[tuple[str, list[str]]] = []
-        self.anchor = False
-
-    def handle_starttag(self, tag, attrs):
-        attr = {k: v or "" for k, v in attrs}
-        if tag == "meta":
-            self.meta.setdefault((attr.get("property") or attr.get("name") or "").lower(), attr.get("content", ""))
-        if tag == "time" and not self.time:
-            self.time = attr.get("datetime", "")
-        if tag in BLOCK_TAGS:
-            self._put("\n")
-        if tag == "a" and "href" in attr:
-            self.links.append((attr["href"], []))
-            self.anchor = True
-        if tag not in VOID_TAGS:
-            cut = tag in CUT_TAGS or bool(CUT_WORDS.search(f"{attr.get('class', '')} {attr.get('id', '')}"))
-            self.stack.append((tag, cut))
-            self.cut += cut
-            self.inside += tag in CONTAINERS
-
-    def handle_endtag(self, tag):
-        if any(t == tag for t, _ in self.stack):
-            while self.stack:
-                t, cut = self.stack.pop()
-                self.cut -= cut
-                self.inside -= t in CONTAINERS
-                if t == tag:
+def pick_container(tree: Node, own: Selectors | None = None) -> Node:
+    """The first element of the first selector whose text is long enough, given selectors before the usual ones; else the body."""
+    for selectors in filter(None, (own, _CONTAINERS)):
+        for node in selectors.first(tree):
+            if node is not None and _chars(node) > CONTAINER_CHARS:
+                return node
+    return next((n for n in tree.walk() if n.tag == "body"), tree)
+
+
+def _leaves(node: Node) -> Iterator[Node]:
+    """The blocks below the element that hold no paragraph, list entry, division or cell, in order."""
+    holding = set()
+    for n in node.walk():
+        if n is not node and n.tag in INNER_TAGS:
+            for above in n.ancestors():
+                if id(above) in holding:
                     break
-        if tag in BLOCK_TAGS:
-            self._put("\n")
-        if tag == "a":
-            self.anchor = False
-
-    def handle_data(self, data):
-        tags = [t for t, _ in self.stack]
-        if "title" in tags:
-            self.title.append(data)
-            return
-        if "h1" in tags:
-            self.heading.append(data)
-        if self.anchor and self.links:
-            self.links[-1][1].append(data)
-        self._put(data)
-
-    def _put(self, data):
-        if not self.cut:
-            self.all.append(data)
-            if self.inside:
-                self.container.append(data)
-
-
-def _read(html: str | None) -> _Reader:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader
-
-
-def _blocks(parts: list[str]) -> str:
-    return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
-
-
-def extract(html: str | None) -> tuple[str, str, str]:
-    """Text, title and publication date."""
-    r = _read(html)
-    own, every = _blocks(r.container), _blocks(r.all)
-    text = own if len(own) > CONTAINER_CHARS or len(own) >= LEAST_CHARS > len(every) else every
-    title = r.meta.get("og:title") or "".join(r.title) or "".join(r.heading)
-    date = next((r.meta[m] for m in DATE_METAS if r.meta.get(m)), "") or r.time
-    return text, " ".join(title.split()), date.strip()
+                holding.add(id(above))
+    yield from (n for n in node.walk() if n is not node and n.tag in BLOCK_TAGS and id(n) not in holding)
+
+
+def blocks_to_text(node: Node, plain: bool = False) -> str:
+    """The texts of an element's leaf blocks as lines; text outside of blocks isn't one.
+
+    Headings have room around them and blocks of one character go, unless ``plain`` lines are asked for.
+    """
+    out = []
+    for block in _leaves(node):
+        content = _inline(" ".join(block.texts()))
+        if len(content) > (not plain):
+            out.append(f"\n{content}\n" if block.tag in HEADINGS and not plain else content)
+    return "\n".join(out)
+
+
+def _without_cuts(node: Node) -> Node:
+    """The element as the only one below a root, without what is cut. The page's tree loses it."""
+    root = Node("", children=[node])
+    node.remove()
+    node.parent = root
+    _CUT.remove(root)
+    return root
+
+
+def extract(html: str | None, own: Selectors | None = None, plain: bool = True) -> tuple[str, str, str]:
+    """Text, title and publication date; the whole page's text where the container has hardly any."""
+    if not html:
+        return "", "", ""
+    tree = parse(html)
+    first: dict[str, Node] = {}
+    metas: dict[tuple[str, str], str] = {}
+    for node in tree.walk():
+        first.setdefault(node.tag, node)
+        if node.tag == "meta":
+            for mark in ("property", "name", "itemprop"):
+                metas.setdefault((mark, node.attrs.get(mark, "")), node.attrs.get("content", ""))
+    told = lambda tag: _inline(" ".join(first[tag].texts())) if tag in first else ""
+    title = _inline(metas.get(("property", "og:title"), "")) or told("title") or told("h1")
+    date = next((_inline(metas[d]) for d in DATES if metas.get(d)), "")
+    if not date and "time" in first:
+        date = _inline(first["time"].attrs.get("datetime", "")) or told("time")
+    text = blocks_to_text(_without_cuts(pick_container(tree, own)), plain)
+    if len(text.strip()) < LEAST_CHARS:
+        whole = parse(html)
+        _CUT.remove(whole)
+        text = blocks_to_text(whole, plain)
+    return _tidy(text), title, date
+
+
+def variants(html: str | None, containers: Sequence[str]) -> dict[str, str]:
+    """A page's text by each container, null where the page has none like it, and as a whole."""
+    out = {}
+    for name, node in zip(containers, Selectors(containers).first(parse(html)), strict=True):
+        # each on a page of its own, as cutting changes it
+        out[name] = None if node is None else _tidy(blocks_to_text(_without_cuts(Selectors([name]).first(parse(html))[0])))
+    whole = parse(html)
+    _CUT.remove(whole)
+    return out | {"page": _tidy(blocks_to_text(whole))}
 
 
 @F.pandas_udf(ty.struct(text=ty.STRING, title=ty.STRING, published=ty.STRING))
 def html_extract(pages: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(p) for p in pages], columns=["text", "title", "published"])
+    return pd.DataFrame([extract(p, plain=False) for p in pages], columns=["text", "title", "published"])
+
+
+def container_texts(html: Column, containers: Sequence[str] = CONTAINERS) -> Column:
+    """A map of each container's text, and the page's under ``page``."""
+    names = tuple(containers)
+
+    @F.pandas_udf(T.MapType(ty.STRING, ty.STRING))
+    def read(pages: pd.Series) -> pd.Series:
+        return pd.Series([variants(p, names) for p in pages])
+
+    return read(html)
 
 
 @F.pandas_udf(T.ArrayType(ty.struct(url=ty.STRING, title=ty.STRING)))
 def extract_links(pages: pd.Series, bases: pd.Series) -> pd.Series:
     def one(html: str | None, base: str | None) -> list[dict]:
         out, seen = [], set()
-        for href, words in _read(html).links:
-            title, url = " ".join("".join(words).split()), urljoin(base or "", href).split("#")[0]
+        for link in parse(html).walk():
+            if link.tag != "a" or "href" not in link.attrs:
+                continue
+            title, url = " ".join("".join(link.texts()).split()), urljoin(base or "", link.attrs["href"]).split("#")[0]
             if url.startswith(("http://", "https://")) and len(url) <= MAX_URL and len(title) >= MIN_TITLE and url not in seen:
                 seen.add(url)
                 out.append({"url": url, "title": title})
@@ -125,17 +165,20 @@ def extract_links(pages: pd.Series, bases: pd.Series) -> pd.Series:
 
 @F.pandas_udf(ty.STRING)
 def decode_bytes(raw: pd.Series, declared: pd.Series) -> pd.Series:
-    """Bytes as text: the declared charset, then UTF-8, GB18030 and Big5, then with replacement marks."""
+    """Bytes as text: the declared charset, then what the bytes tell of themselves (a byte order mark, a meta element), then UTF-8, GB18030 and Big5, then with replacement marks."""
 
     def one(data: bytes | None, charset: str | None) -> str | None:
         if data is None:
             return None
-        for name in filter(None, (charset, "utf-8", "gb18030", "big5")):
+        data = bytes(data)
+        marked = next((name for mark, name in BOMS if data.startswith(mark)), None)
+        meta = META_CHARSET.search(data[:2048])
+        for name in filter(None, (charset, marked, meta and meta[1].decode("ascii"), "utf-8", "gb18030", "big5")):
             try:
-                return bytes(data).decode(name)
+                return data.decode(name)
             except (UnicodeDecodeError, LookupError):
                 continue
-        return bytes(data).decode("utf-8", "replace")
+        return data.decode("utf-8", "replace")
 
     return pd.Series([one(d, c) for d, c in zip(raw, declared, strict=True)])
 
@@ -151,15 +194,25 @@ def frontier(seen: DataFrame, links: DataFrame) -> DataFrame:
     return fresh.join(seen.select("url").distinct(), "url", "left_anti")
 
 
-def crawl(start: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """url and round of breadth-first search over a table of links (url, to); at most ``rounds`` joins."""
-    found = start.select("url").distinct().withColumn("round", F.lit(0))
-    edge = found
-    for n in range(1, rounds + 1):
-        step = links.join(edge.select("url").distinct(), "url").select(F.col("to").alias("url")).distinct()
-        edge = step.join(found.select("url"), "url", "left_anti").withColumn("round", F.lit(n))
-        found = found.unionByName(edge)
-    return found
+def crawl(start: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """url and round of breadth-first search over a table of links (url, to), to its end or for ``rounds`` rounds.
+
+    Each round's new URLs are written before the next one, which meets the links with these alone and leaves out what earlier rounds have
+    written. So a round costs its own links, and a lost executor its tasks.
+    """
+    spark, folder = start.sparkSession, scratch(start.sparkSession, "crawl")
+    read = lambda: spark.read.schema("url string, round int").parquet(folder)
+    start.select("url").filter("url IS NOT NULL").distinct().write.parquet(f"{folder}/round=0")
+    links = links.select("url", "to").filter("to IS NOT NULL")
+    n = 0
+    while rounds is None or n < rounds:
+        edge = spark.read.schema("url string").parquet(f"{folder}/round={n}")
+        step = links.join(edge, "url").select(F.col("to").alias("url")).distinct()
+        n += 1
+        step.join(read().select("url"), "url", "left_anti").write.parquet(f"{folder}/round={n}")
+        if spark.read.schema("url string").parquet(f"{folder}/round={n}").isEmpty():
+            break
+    return read()
 
 
 def annotate_class(pages: DataFrame, narrative: Column) -> DataFrame:

@@ -166,12 +166,14 @@ def parsed_pages(pages: DataFrame, title: str = "asked", html: str = "html", api
     return read.select(*[c for c in pages.columns if c != html], place.alias("url"), own.alias("title"), F.col("_p.text").alias("text"), reason.alias("reason"))
 
 
-def variants(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, strategy, chars and preview of a page's text by several strategies, to see which of them loses it."""
+def variants(pages: DataFrame, key: str, html: str = "html", containers: Sequence[str] = web.CONTAINERS) -> DataFrame:
+    """key, strategy, chars and preview of a page's text by several strategies, to see which of them loses it; -1 characters where a page lacks a container."""
     raw = F.btrim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), "<[^>]*>", " "), r"\s+", " "))
     read = pages.select(key, web.html_extract(F.col(html))["text"].alias("reader"), tx.clean_inline(F.col(html)).alias("inline"), raw.alias("body"))
-    long_ = read.unpivot([key], ["reader", "inline", "body"], "strategy", "text")
-    return long_.select(key, "strategy", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.substring(F.coalesce("text", F.lit("")), 1, 240).alias("preview"))
+    long_ = read.unpivot([key], ["reader", "inline", "body"], "strategy", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    held = pages.select(key, F.explode(web.container_texts(F.col(html), containers)).alias("strategy", "text"))
+    every = long_.unionByName(held)
+    return every.select(key, "strategy", F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), F.substring(F.coalesce("text", F.lit("")), 1, 240).alias("preview"))
 
 
 def mark_construction(catalog: DataFrame, domains: Sequence[str], note: str, paused: Column) -> DataFrame:
