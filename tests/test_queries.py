@@ -13,7 +13,7 @@ from tidemark.plans import catalog, source_queries, store_queries
 SMALL = "/root/testdata/sf0.001"
 MADE_HERE = {f.__module__ for f in (source_queries.character_page, store_queries.scan_chunks)}
 NAMES = [n for n, q in catalog.queries().items() if q.__module__ in MADE_HERE and n in catalog.oracles()]
-ALSO = ["compare", "value_like", "grounded", "merge_seed_facts", "gap_judge", "followup", "search_facts", "search_chunks", "trust_tag", "simhash64", "validate_page", "decide_tier", "newest_in_slot"]
+ALSO = ["compare", "value_like", "grounded", "merge_seed_facts", "gap_judge", "followup", "search_facts", "search_chunks", "trust_tag", "simhash64", "validate_page", "decide_tier", "newest_in_slot", "fact_fallback", "index_follow", "followup_rewrite", "missing_subjects", "simhash_neighbours", "mentioned_entities"]
 
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no tables")
 

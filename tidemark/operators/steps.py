@@ -1,8 +1,8 @@
 """A step's result as a written table, for what several later steps read.
 
 The table is Parquet in the folder that the cluster shares (``spark.checkpoint.dir``), so that a lost executor costs its tasks only and
-nothing is worked out twice. Where the setting is absent, as in tests and the bench on one machine, the rows are kept
-by Spark's cache instead, which is worked out again if it is lost.
+nothing is worked out twice. Where the setting is absent and Spark runs on one machine, as in the bench, the rows are kept
+by Spark's cache instead, which is worked out again if it is lost; a cluster without the setting is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = f"{folder.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
