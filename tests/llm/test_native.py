@@ -215,3 +215,16 @@ def _nodes(df):
 @pytest.mark.parametrize("run", [quality_rules.judge, license_scan.scan, lambda d: line_dedup.drop_lines(d.drop("_host"), F.col("source"))])
 def test_no_python_in_native_plans(spark, run):
     assert not re.search("Python|Pandas|Arrow", _nodes(run(rows(spark, [(1, "a", "b", "c", 1)]))))
+
+
+def test_pairs_keep_columns_of_any_name(spark):
+    turns = "array<struct<role:string,text:string>>"
+    long = [("user", "q")] + [("assistant", "word " * 20_000)] * 60
+    rows = [(1, [("user", "a"), ("assistant", "b")], [("user", "a"), ("assistant", "c")], 10, 11, 12, "old", 13), (2, long, long[:-1], 20, 21, 22, "old", 23)]
+    pairs = spark.createDataFrame(rows, f"id int, yes {turns}, no {turns}, _c int, _R int, _n int, Prompt string, `a.b` int")
+    out = chat_preference.format_pairs(pairs, "yes", "no")
+    assert out.columns == ["id", "_c", "_R", "_n", "a.b", "n_common", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask", "usable"]
+    one, two = out.orderBy("id").collect()
+    assert (one["_c"], one["_R"], one["_n"], one["a.b"], one.n_common, one.usable) == (10, 11, 12, 13, 1, True)
+    assert one.prompt == "<|user|>\na<|end|>\n" and one.chosen_completion == "<|assistant|>\nb<|end|>\n"
+    assert two.n_common == 60 and two.rejected_completion == "" and len(two.chosen_completion) > 100_000

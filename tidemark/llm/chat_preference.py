@@ -8,7 +8,9 @@ turns, not their headers. It is written as ``length:flag`` runs, joined by comma
 the one with more assistant characters, of equal ones the smaller id. Each conversation is in one pair, whatever it
 shares with others, so a common conversation or first turn makes no group. One shuffle, by pair, carries the turns.
 
-Edge cases: turns are ordered by turn, role and text, nulls first, so ties and repeated rows have one order; a null text
+A pair's turns are one row, as a rendered prompt is: a conversation must fit a task's memory, however many there are.
+
+Edge cases: other columns of the pairs, of whatever names, stay, but for those that the result has itself, which it replaces; turns are ordered by turn, role and text, nulls first, so ties and repeated rows have one order; a null text
 or role is empty; rows without conv_id belong to no conversation and are left out. A pair with one conversation has
 an empty rejected side; it and a pair whose sides are equal are returned with ``usable`` false. Two conversations without
 common turns have an empty prompt. An empty table gives an empty one.
@@ -19,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import spare
+
 HEAD, TAIL = "<|{}|>\n", "<|end|>\n"
 _TURNS = "array<struct<role:string,text:string>>"
 
@@ -51,21 +55,21 @@ def mask(turns: Column) -> Column:
 
 
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """pairs with prompt, n_common, chosen and rejected completion, their masks, and usable, in place of the turn lists."""
-    df = pairs.withColumn("n_common", common_turns(F.col(chosen), F.col(rejected)))
-    rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c) - F.col("n_common"), F.lit(0)))
-    df = df.withColumns({"_c": rest(chosen), "_r": rest(rejected)})
-    out = df.withColumns(
-        {
-            "prompt": render(F.slice(chosen, F.lit(1), F.col("n_common"))),
-            "chosen_completion": render(F.col("_c")),
-            "chosen_mask": mask(F.col("_c")),
-            "rejected_completion": render(F.col("_r")),
-            "rejected_mask": mask(F.col("_r")),
-            "usable": (F.size(rejected) > 0) & (F.size(chosen) > 0) & ((F.size("_c") > 0) | (F.size("_r") > 0)),
-        }
-    )
-    return out.drop(chosen, rejected, "_c", "_r")
+    """pairs with prompt, n_common, chosen and rejected completion, their masks, and usable, in place of the turn lists and of columns of these names."""
+    n, c, r = spare(pairs.columns, "_n", "_c", "_r")
+    rest = lambda turns: F.slice(turns, F.col(n) + 1, F.greatest(F.size(turns) - F.col(n), F.lit(0)))
+    df = pairs.withColumn(n, common_turns(F.col(chosen), F.col(rejected))).withColumns({c: rest(chosen), r: rest(rejected)})
+    made = {
+        "n_common": F.col(n),
+        "prompt": render(F.slice(chosen, F.lit(1), F.col(n))),
+        "chosen_completion": render(F.col(c)),
+        "chosen_mask": mask(F.col(c)),
+        "rejected_completion": render(F.col(r)),
+        "rejected_mask": mask(F.col(r)),
+        "usable": (F.size(rejected) > 0) & (F.size(chosen) > 0) & ((F.size(c) > 0) | (F.size(r) > 0)),
+    }
+    gone = {x.lower() for x in (chosen, rejected, *made)}
+    return df.select(*[F.col(f"`{x}`") for x in pairs.columns if x.lower() not in gone], *[v.alias(k) for k, v in made.items()])
 
 
 def pair_conversations(turns: DataFrame) -> DataFrame:

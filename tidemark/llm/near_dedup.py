@@ -28,7 +28,7 @@ part in common hardly ever meet. R and the order are taken from ``MIDDLE`` membe
 
 Edge cases: null, empty and blank texts have size 0 and are linked with nothing; a null doc_id is linked with nothing,
 has a null component and is kept. Fewer than five words are one shingle. Rows that share a doc_id are one node where that id
-is the smallest of its group. Extra columns, of any names, pass through ``keep_first``. An empty table gives an empty one.
+is the smallest of its group. Keys are whole numbers; texts that aren't end in Spark's cast error. Extra columns, of any names, pass through ``keep_first``. An empty table gives an empty one.
 """
 
 from __future__ import annotations
