@@ -291,7 +291,7 @@ def kept_index(spark, d, name, source, rows):
     """The index of a table, built when it is first asked and again when the table's files have changed; rows() gives key, tokens and text."""
     state = table(spark, d, source).select("_metadata.file_path", "_metadata.file_modification_time").agg(F.count("*"), F.count_distinct("file_path"), F.max("file_modification_time")).first()
     key = (spark.sparkContext.applicationId, name, d, *state)
-    if key not in _KEPT:
+    if key not in _KEPT or not _KEPT[key].segments():  # the shared folder may have been cleared
         _KEPT[key] = search.new_index(rows())
     return _KEPT[key]
 
