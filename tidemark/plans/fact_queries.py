@@ -9,10 +9,12 @@ from tidemark.functions import text as tx
 from tidemark.functions import trust, urls, wikitext
 from tidemark.functions import versions as vs
 from tidemark.operators import answers, audit, dedupe, lifecycle, names, search, topics, vote
+from tidemark.operators.steps import scratch
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.sources import providers
 from tidemark.streaming import events as ev
+from tidemark.streaming import queue
 
 AS_OF = "1998-12-01 00:00:00"
 
@@ -371,6 +373,24 @@ def next_retry(spark, d):
     return topics.next_retry(_queue(spark, d))
 
 
+@register("topic_timers", """WITH e AS (SELECT 'user' || user_id AS topic, epoch_us(ts) // 1000 AS ms, CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS code FROM events),
+l AS (SELECT topic, max(ms) FILTER (code = 2) AS ended FROM e GROUP BY 1), o AS (SELECT e.* FROM e JOIN l USING (topic) WHERE code < 2 AND (ended IS NULL OR ms > ended)),
+g AS (SELECT topic, max(ms) AS ms, arg_max(code, (ms, code)) AS last, count(*) FILTER (code = 1) AS n FROM o GROUP BY 1),
+t AS (SELECT topic, n, CAST(ms + CASE last WHEN 1 THEN least(3600, 300 * power(2, least(n - 1, 4))) * 1000 ELSE 0 END AS BIGINT) AS at_ms FROM g), w AS (SELECT max(ms) - 600000 AS mark FROM e)
+SELECT topic, 'due' AS event, at_ms, CAST(n AS INTEGER) AS retry_count FROM t, w WHERE at_ms <= mark
+UNION ALL SELECT topic, 'expired', at_ms + 604800000, CAST(n AS INTEGER) FROM t, w WHERE at_ms + 604800000 <= mark""")
+def topic_timers(spark, d):
+    """All events as a stream of a queue: errors are failures, purchases end a topic; what the last watermark has passed is due."""
+    path, folder = f"{d}/events.parquet", scratch(spark, "timers")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")  # a stream's path is a folder or a pattern
+    kind = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("ask")
+    due = queue.due_topics(events.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("topic"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind")))
+    with queue.timers(spark):
+        ev.run_once(due, lambda df, _: df.write.mode("append").parquet(f"{folder}/out"), f"{folder}/stream")
+    out = spark.read.schema(due.schema).parquet(f"{folder}/out")
+    return out.select("topic", "event", F.unix_millis("at").alias("at_ms"), "retry_count")
+
+
 @register("throttle", "SELECT event_id AS id, CAST(round(max(epoch_us(ts) / 1000000 - n * 0.5) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + n * 0.5, 6) AS DOUBLE) AS go_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) - 1 AS n FROM events)")
 def throttle(spark, d):
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions import versions as vs
-from tidemark.operators import answers, audit, dedupe, ingest, lifecycle, names, retrieval, search, store, topics, vote
+from tidemark.operators import answers, audit, dedupe, ingest, lifecycle, names, retrieval, search, store, topics, update, vote
 from tidemark.operators.steps import scratch
 from tidemark.plans import text_queries as tq
 from tidemark.plans.catalog import register
@@ -14,6 +14,7 @@ from tidemark.plans.relations import documents, facts, table, with_facts
 from tidemark.plans.source_queries import _cat
 from tidemark.sources import snapshot
 from tidemark.streaming import events as ev
+from tidemark.streaming.commits import Tables
 
 
 def _part(spark, d):
@@ -482,3 +483,25 @@ def ingest_sources(spark, d):
     stream = own(spark.readStream.schema(stored.schema).parquet(f"{d}/documents.parque[t]"))  # a stream's path is a folder or a pattern
     ev.ingest(stream, lambda: own(stored).filter("lang = 'fr'"), lambda df: df.write.mode("append").parquet(out), scratch(spark, "stream"))
     return spark.read.parquet(out).select("doc_id")
+
+
+@register("update_topic", rf"""WITH p AS (SELECT *, text || chr(10) || chr(10) || '| name | size | kind |' || chr(10) || '|---|---|---|' || chr(10) || '| d' || doc_id || ' | ' || length(text) || ' | text |' AS page FROM documents),
+a AS (SELECT *, list_filter(string_split(page, chr(10)), lambda x: NOT regexp_matches(trim(x), '^\s*[\-—=*·.]{{3,}}\s*$|^\s*[0-9]+\s*/\s*[0-9]+\s*$')) AS kept FROM p),
+b AS (SELECT *, trim(regexp_replace(array_to_string(kept, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM a),
+c AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l, length(regexp_replace(t, '[\s　，。、；：！？…—－·（）()\[\]【】《》<>"''`,.;:!?\-_/\\|~@#$%^&*+=]+', '', 'g')) / greatest(length(t), 1) AS dens FROM b),
+j AS (SELECT source, lang, length(page) < 200 AS short, length(t) < 150 OR (coalesce(len(list_filter(l, lambda x: regexp_matches(x, '^\s*\|.*\|\s*$'))) / nullif(len(l), 0), 0) < 0.25 AND dens < 0.35) AS bad FROM c)
+SELECT source AS topic, count(*) FILTER (NOT short) AS fetched, count(*) FILTER (short) AS failed, count(*) FILTER (NOT short AND bad) AS filtered, count(*) FILTER (NOT short AND NOT bad AND lang <> 'fr') AS pages,
+  count(*) FILTER (NOT short AND NOT bad AND lang = 'fr') AS skipped, count(*) FILTER (NOT short AND NOT bad AND lang <> 'fr') AS facts_added FROM j GROUP BY 1""")
+def update_topic(spark, d):
+    """All documents as a stream of fetched pages, each with a table, over tables that have the French ones: a run's figures, of a stream that came twice."""
+    folder = scratch(spark, "topics")
+    kept = Tables(spark, f"{folder}/tables", update.SCHEMAS, update.KEYS)
+    row = F.concat(F.col("text"), F.lit("\n\n| name | size | kind |\n|---|---|---|\n| d"), F.col("doc_id").cast("string"), F.lit(" | "), F.length("text").cast("string"), F.lit(" | text |"))
+    pages = lambda df: df.select(F.col("source").alias("topic"), _cat("https://a.example/", F.col("doc_id")).alias("url"), F.lit("pages").alias("title"), row.alias("text"), F.lit("").alias("published"), F.col("doc_id").alias("seq"), "lang")
+    change = lambda df, n: (update.changes({t: kept.read(t) for t in update.SCHEMAS}, df, n + 1), {})
+    stored = spark.read.parquet(f"{d}/documents.parquet")
+    kept.commit("first", 0, change(pages(stored).filter("lang = 'fr'"), -1)[0])
+    for attempt in ("one", "two"):  # the second has lost its checkpoint: its batches are known
+        stream = spark.readStream.schema(stored.schema).parquet(f"{d}/documents.parque[t]")
+        kept.stream(pages(stream), "update", f"{folder}/{attempt}", change)
+    return kept.read("runs").filter("run > 0").select("topic", "fetched", "failed", "filtered", "pages", "skipped", "facts_added")
