@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import tables, urls, wikitext
 from tidemark.functions import text as tx
 from tidemark.operators import names, quality_gate, topics
+from tidemark.operators.steps import scratch
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, table
-from tidemark.sources import curation, providers, wiki
+from tidemark.sources import curation, listing, providers, wiki
 from tidemark.sources import pages as web
+from tidemark.streaming import events as ev
 
 
 def _s(c):
@@ -464,3 +467,22 @@ def gap_numbers(spark, d):
 @register("strip_template", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || repeat('x', 30) || '：' || p_type END AS value FROM part")
 def strip_template(spark, d):
     return table(spark, d, "part").select("p_partkey", tx.strip_template(F.when(F.col("p_partkey") % 2 == 0, _cat("部件的类型：", F.col("p_type"))).otherwise(_cat(F.col("p_type"), "x" * 30, "：", F.col("p_type")))).alias("value"))
+
+
+@register("listing_source", "SELECT source, 'doc' || doc_id AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents")
+def listing_source(spark, d):
+    """Each source's documents as a listing of answers of up to 200 ids, read as a stream that stops after two answers and goes on in a second run."""
+    folder = scratch(spark, "listing")
+    docs = table(spark, d, "documents").select(F.col("source").alias("name"), F.floor(F.col("doc_id") / 200).alias("hop"), "doc_id")
+    hops = docs.groupBy("name", "hop").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # 200 ids at most
+    w = Window.partitionBy("name").orderBy("hop")
+    hops = hops.withColumns({"token": F.when(F.row_number().over(w) == 1, "").otherwise(F.col("hop").cast("string")), "next": F.lead("hop").over(w).cast("string")})
+    titles = F.transform("ids", lambda i: F.struct(F.concat(F.lit("doc"), i.cast("string")).alias("title")))
+    body = F.to_json(F.struct(F.struct(titles.alias("allpages")).alias("query"), F.struct(F.col("next").alias("apcontinue")).alias("continue")))
+    listing.store(hops.select("name", "token", body.alias("body")), f"{folder}/answers")
+    names = ",".join(r.name for r in docs.select("name").distinct().orderBy("name").collect())  # the sources that are configured
+    spark.dataSource.register(listing.Listing)
+    for n in (2, 1_000_000):
+        rows = spark.readStream.format("listing").options(path=f"{folder}/answers", names=names, hops=n).load()
+        ev.run_once(rows, lambda df, _: df.write.mode("append").parquet(f"{folder}/rows"), f"{folder}/stream")
+    return spark.read.schema("source string, title string, place long").parquet(f"{folder}/rows")
