@@ -9,21 +9,18 @@ would make as many rows as questions times documents.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import versions as vs
 from tidemark.operators import names
+from tidemark.operators import vectors as cells
 from tidemark.operators.steps import scratch, settle
 from tidemark.operators.text_index import TextIndex
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 #: Documents of a term up to which it is rare.
 COMMON = 20_000
-#: Query vectors that are compared with all vectors at a time.
-QUERIES = 1000
 #: Tokens of a question that the substring fallback looks for, as the surveyed engine does.
 LIKE_TOKENS = 200
 SOURCE_BONUS = {"official": 0.12, "wiki": 0.08, "seed": 0.06}
@@ -218,22 +215,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (size == 0) | size.isNull(), 0.0).otherwise(dot / size)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qkey: str = "query_id", column: str = "embedding", block: int = QUERIES) -> DataFrame:
-    """The k nearest of all vectors, above 0, for a stated set of queries.
-
-    The queries are counted and broadcast in blocks of about ``block`` vectors, each in a pass over all vectors; a task keeps the k best
-    of each query before anything is dealt out.
-    """
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(qkey, F.col(column).alias("_q"))
-
-    def best(i: int) -> DataFrame:
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == i)
-        both = vectors.join(F.broadcast(own), F.col(key) != F.col(qkey))
-        scored = both.select(qkey, key, F.round(cosine(F.col("_q"), F.col(column)), 4).alias("relevance")).filter("relevance > 0")
-        return top(scored, qkey, k, F.desc("relevance"), F.asc(key))
-
-    return reduce(DataFrame.unionByName, map(best, range(blocks)))
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", qkey: str = "query_id", column: str = "embedding", block: int = cells.SLICE) -> DataFrame:
+    """The k nearest of all vectors, above 0, for a stated set of queries, about ``block`` of them at a time; see ``vectors``."""
+    return cells.Cells(vectors, key, column).top(queries, k, qkey, column, block).withColumnRenamed("_k", key)
 
 
 def mentioned_entities(questions: DataFrame, entities: DataFrame, qkey: str = "question_id", text: str = "question_norm") -> DataFrame:
