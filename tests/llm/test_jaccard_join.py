@@ -101,3 +101,21 @@ def test_common_shingles_come_last(spark):
     buckets = frame.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>").selectExpr("n", "h1", "h2", "prefix").distinct()
     largest = buckets.selectExpr("explode(prefix) AS e").groupBy("e").count().agg({"count": "max"}).first()[0]
     assert largest < 260
+
+
+def test_texts_that_share_single_shingles_do_not_meet(spark):
+    """Of a small vocabulary every shingle is in many texts' prefixes; whole groups of shingles are in those of linked texts only."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(rng.randrange(60, 200))) for _ in range(600)]
+    texts += [f"{t} end" for t in texts[:50]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    run = jaccard_join._prefixed(3, 90, jaccard_join.slot_ranks(frame, 3), keyed=True)
+    rows = frame.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, keys array<long>, owned int").persist()
+    alone = rows.filter("doc_id >= 50 AND doc_id < 600")
+    met = lambda c: alone.selectExpr(f"explode({c}) AS e").groupBy("e").count().filter("count > 1").agg({"count": "sum"}).first()[0] or 0
+    assert met("prefix") > 2000 and met("keys") < 100
+    high, differ = jaccard_join._classes(90, 1000)
+    assert all(r.owned == differ[np.searchsorted(high, r.n)] + 1 for r in rows.collect())
+    linked = rows.selectExpr("doc_id % 600 AS t", "doc_id", "explode(keys) AS e").groupBy("t", "e").agg({"doc_id": "max"}).filter("max(doc_id) >= 600")
+    assert linked.select("t").distinct().count() == 50
+    rows.unpersist()

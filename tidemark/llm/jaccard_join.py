@@ -6,17 +6,18 @@ among the first n - ceil(0.9 n) + 1 of each, their prefixes.
 1. The order. Shingles are counted by slot, the 16 top bits of their hash: in how many documents' sets the slot's shingles stand, over all documents. A task
    sums its own slots, so 65,536 numbers a task are dealt out, and as many go to every task. The order is by the count of the slot, then by hash: whatever
    very many documents share stands last and is in few prefixes. The order decides what is compared, never what is found.
-2. Documents with equal sets are one node; nodes of one size with the same prefix are one group.
-3. Groups meet in an equi-join on a shingle of their prefixes. In a bucket of up to ``SMALL`` nodes all groups of fitting sizes are paired. A larger one is parted by
-   classes of size, each group going to its own class and the next one, as sizes that fit are at most one class apart; in a part of more than ``SMALL`` nodes each
-   group is paired with the first one. So texts that merely share a passage hardly ever meet. Pairs of groups are merged, then filtered by both prefixes: a shingle of the one that stands before the other's last one and
-   isn't in the other is missing there, which bounds what any two members can share.
-4. What is left is expanded to members (nodes), likewise the members of a group among themselves, and verified on the full sets of their texts. Links
-   are joined to components.
-5. Rest: large parts of buckets, and large groups, whose members are still in different components. The links between those are found exactly by the join on
-   differences from a cluster's middle, see ``near_dedup.rest_pairs``. So no bucket, group or pair of groups is expanded to all pairs, and none is capped.
-
-Any linked pair shares a bucket or a group, so it is compared, or both have one component already, or both are in the rest: no link between components
+2. Documents with equal sets are one node.
+3. What meets. One shingle is in ever more prefixes as a corpus grows, so nodes don't meet on shingles one by one but on groups of them. In a class of sizes two linked
+   sets differ in at most d shingles. A set is dealt by hash into half as many groups again as d + 1, so all but d groups of two linked sets are equal, and the first d + 1 groups
+   of each, in one order of all groups, the one that weighs most by its shingles' places in the order of counts first, have an equal one: a prefix of groups. Each has a row.
+   A set that fits sets of the next class of sizes has rows there too.
+4. In a bucket (nodes with an equal group) of up to ``SMALL`` nodes all are paired; of a larger one each node is paired with the first. Pairs are merged, then filtered by the prefixes of
+   shingles: a shingle of the one that stands before the other's last one and isn't in the other is missing there, which bounds what the two can share. What is left is verified on
+   the full sets of their texts. Links are joined to components.
+5. Rest: large buckets whose nodes are still in different components. The links between those are found exactly by the join on
+   differences from a cluster's middle, see ``near_dedup.rest_pairs``. So no bucket is expanded to all pairs, and none is capped.
+
+Any linked pair shares a bucket, so it is compared, or both have one component already, or both are in the rest: no link between components
 is lost.
 
 Edge cases: null, empty and blank texts have size 0 and are linked with nothing; a null key is linked with nothing and has a null component. Fewer than
@@ -26,7 +27,6 @@ whatever names, don't reach the operator. An empty table gives an empty one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +43,10 @@ from tidemark.llm.words import mix
 SHINGLE, PERCENT = 3, 90
 #: Bits of a hash that name its slot.
 SLOT_BITS = 16
-#: Nodes of a bucket, or of a group, up to which all are paired.
+#: Nodes of a bucket up to which all are paired.
 SMALL = 16
+#: The sizes of a class are up to so many times the least, unless sizes that fit differ by more.
+WIDTH = 1.4
 
 _TOP = np.uint64(1 << 63)
 
@@ -74,8 +76,56 @@ def slot_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
     return ranks
 
 
-def _prefixed(shingle: int, percent: int, ranks: np.ndarray):
-    """Batches of key and text to key, set size, two hashes of the set, and its prefix.
+def _classes(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest size of each class, and the most shingles in which two linked sets differ whose larger one is in the class.
+
+    Linked sets of na and nb share percent * (na + nb) / (100 + percent) or more, so they differ in (na + nb) * (100 - percent) / (100 + percent) at most. In the
+    first class that is none: its linked sets are equal.
+    """
+    high = [largest if percent == 100 else -(-(100 + percent) // (2 * (100 - percent))) - 1]
+    while high[-1] < largest:
+        high.append(max(int(high[-1] * WIDTH), 100 * high[-1] // percent, high[-1] + 1))
+    high = np.array(high, np.int64)
+    return high, 2 * high * (100 - percent) // (100 + percent)
+
+
+def _group_keys(sets: list[np.ndarray], which: np.ndarray, place: np.ndarray, differ: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the first groups of sets[which], each in its class (place), end to end, and how many each has."""
+    if not len(which):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    every, sizes = np.concatenate([sets[i] for i in which]), np.fromiter((len(sets[i]) for i in which), np.int64, len(which))
+    need = differ[place] + 1
+    groups = need + (need + 1) // 2
+    base = np.cumsum(groups) - groups
+    at = np.repeat(base, sizes) + (every % np.repeat(groups, sizes).astype(np.uint64)).astype(np.int64)
+    weight = np.bincount(at, weights=(1 << SLOT_BITS) - ranks[every >> np.uint64(64 - SLOT_BITS)].astype(np.float64), minlength=int(groups.sum()))
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+    content = np.zeros(len(weight), np.uint64)
+    content[at[order[starts]]] = np.add.reduceat(mix(every, ~every)[order], starts)
+    of = np.repeat(np.arange(len(which)), groups)
+    keys = mix(content, (place[of] << 40 | (np.arange(len(weight)) - base[of])).astype(np.uint64))
+    order = np.lexsort((keys, -weight, of))
+    return keys[order][np.arange(len(weight)) - base[of] < need[of]], need
+
+
+def _keys(sets: list[np.ndarray], sizes: np.ndarray, percent: int, ranks: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The keys by which each set meets others, those of its own class first, and how many these are."""
+    high, differ = _classes(percent, int(sizes.max(initial=0)) * 100 // percent + 1)
+    place = np.searchsorted(high, sizes)
+    own = np.flatnonzero((sizes > 0) & (differ[place] > 0))
+    guests = np.flatnonzero((sizes > 0) & (100 * sizes // percent > high[place]))
+    parts = [_group_keys(sets, own, place[own], differ, ranks), _group_keys(sets, guests, place[guests] + 1, differ, ranks)]
+    of = np.concatenate([np.repeat(own, parts[0][1]), np.repeat(guests, parts[1][1])])
+    owned = np.zeros(len(sets), np.int32)
+    owned[own] = parts[0][1]
+    order = np.argsort(of, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sets)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([parts[0][0], parts[1][0]])[order].view(np.int64))), pa.array(owned)
+
+
+def _prefixed(shingle: int, percent: int, ranks: np.ndarray, keyed: bool = False):
+    """Batches of key and text to key, set size, two hashes of the set, its prefix, and the keys by which it meets others if wanted.
 
     A shingle's hash gets its slot's rank for top bits, which names it as well, and makes the order that of numbers.
     """
@@ -95,13 +145,15 @@ def _prefixed(shingle: int, percent: int, ranks: np.ndarray):
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *prefixes])))
                 keys = batch.column("doc_id").slice(int(rows[0]), len(rows))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), *(pa.array(m.view(np.int64)) for m in marks), listed], names=["doc_id", "n", "h1", "h2", "prefix"])
+                more = _keys(sets, sizes, percent, ranks) if keyed else ()
+                names = ["doc_id", "n", "h1", "h2", "prefix", "keys", "owned"]
+                yield pa.RecordBatch.from_arrays([keys, pa.array(sizes), *(pa.array(m.view(np.int64)) for m in marks), listed, *more], names=names[: 5 + len(more)])
 
     return run
 
 
 def _may_share(percent: int) -> Column:
-    """Members of two groups (n_a, prefix_a and n_b, prefix_b) can still be similar enough, as far as the prefixes tell."""
+    """Two sets (n_a, prefix_a and n_b, prefix_b) can still be similar enough, as far as the prefixes tell."""
     total = percent * (F.col("n_a") + F.col("n_b"))
 
     def enough(n: str, own: str, other: str) -> Column:
@@ -118,50 +170,29 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     prepare(spark)
     work = Workspace(spark, "jaccard")
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    signed = work.write(docs.mapInArrow(_prefixed(shingle, percent, slot_ranks(docs, shingle)), "doc_id long, n long, h1 long, h2 long, prefix array<long>"), "signatures")
+    run = _prefixed(shingle, percent, slot_ranks(docs, shingle), keyed=True)
+    signed = work.write(docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, prefix array<long>, keys array<long>, owned int"), "signatures")
     linked = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    nodes = work.write(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.first("prefix").alias("prefix")), "nodes")
-
-    groups = work.write(nodes.groupBy("n", "prefix").agg(F.min("node").alias("group"), F.count("*").alias("members")), "groups")
-    # of groups of one, group and node are the same
-    several = groups.filter("members > 1")
-    members = work.write(nodes.join(several, ["n", "prefix"]).select("group", "node", "members"), "members-of-groups")
-    dealt = groups.select("group", "n", "members", F.explode("prefix").alias("element"))
-    shared = dealt.groupBy("element").agg(F.count("*").alias("groups"), F.sum("members").alias("total"), F.min(F.struct("n", "group")).alias("first")).filter("groups > 1")
-    buckets = work.write(dealt.join(shared, "element").select("element", "group", "n", "members", "total", "first"), "buckets")
-
-    # a class is as wide as sizes that fit may differ, and a little wider, so that rounding parts none of them
-    size_class = F.floor(F.log("n") / (1.0001 * math.log(100 / percent) or 1))
-    parted = buckets.filter(F.col("total") > SMALL).select("element", "group", "n", "members", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    held = parted.groupBy("element", "class").agg(F.count("*").alias("groups"), F.sum("members").alias("total"), F.min(F.struct("n", "group")).alias("first")).filter("groups > 1")
-    parted = work.write(parted.join(held, ["element", "class"]).select("element", "class", "group", "n", "members", "total", "first"), "parted")
-
-    both = buckets.filter(F.col("total") <= SMALL).select("element", F.lit(-1).cast("long").alias("class"), "group", "n").unionByName(parted.filter(F.col("total") <= SMALL).select("element", "class", "group", "n"))
-    x, y = (both.select("element", "class", F.col("group").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    small = x.join(y, ["element", "class"]).filter((F.col("a") < F.col("b")) & fits("n_a", "n_b", percent)).select("a", "b")
-    large = parted.filter((F.col("total") > SMALL) & (F.col("group") != F.col("first.group")) & fits("n", "first.n", percent))
-    large = large.select(F.least("group", "first.group").alias("a"), F.greatest("group", "first.group").alias("b"))
+    first = [F.first(c).alias(c) for c in ("prefix", "keys", "owned")]
+    nodes = work.write(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), *first), "nodes")
+
+    dealt = nodes.select("node", "n", "owned", F.posexplode("keys").alias("at", "key"))
+    # dealt out once, for the counts and for the rows that meet; a guest of a class is one of the class before
+    dealt = dealt.select("key", "node", "n", (F.col("at") >= F.col("owned")).alias("guest")).repartition("key")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("total"), F.min(F.struct("guest", "n", "node")).alias("first")).filter("total > 1 AND NOT first.guest")
+    buckets = work.write(dealt.join(shared, "key").select("key", "node", "n", "guest", "total", "first"), "buckets")
+
+    both = buckets.filter(F.col("total") <= SMALL)
+    x, y = (both.select("key", F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("guest").alias(f"guest_{c}")) for c in "ab")
+    small = x.join(y, "key").filter((F.col("a") < F.col("b")) & ~(F.col("guest_a") & F.col("guest_b")) & fits("n_a", "n_b", percent)).select("a", "b")
+    large = buckets.filter((F.col("total") > SMALL) & (F.col("node") != F.col("first.node")) & fits("n", "first.n", percent))
+    large = large.select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
     met = work.write(small.unionByName(large).distinct(), "met")
-    a, b = (groups.select(F.col("group").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}"), F.col("members").alias(f"members_{c}")) for c in "ab")
-    passed = work.write(met.join(a, "a").join(b, "b").filter(_may_share(percent)).select("a", "b", "members_a", "members_b"), "passed")
-
-    # groups of several are expanded: all of them in small ones, the first one for each of a large one
-    inner = members.filter(F.col("members") <= SMALL)
-    one, two = (inner.select("group", F.col("node").alias(c)) for c in "ab")
-    within = one.join(two, "group").filter("a < b").select("a", "b")
-    starred = members.filter((F.col("members") > SMALL) & (F.col("node") > F.col("group"))).select(F.col("group").alias("a"), F.col("node").alias("b"))
-    expand = passed.filter(((F.col("members_a") > 1) | (F.col("members_b") > 1)) & (F.col("members_a") + F.col("members_b") <= SMALL)).select("a", "b")
-    every = inner.select("group", "node").unionByName(groups.filter("members = 1").select("group", F.col("group").alias("node")))
-    own_a, own_b = (every.select(F.col("group").alias(c), F.col("node").alias(f"_{c}")) for c in "ab")
-    across = expand.join(own_a, "a").join(own_b, "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    pairs = work.write(passed.select("a", "b").unionByName(within).unionByName(starred).unionByName(across).distinct(), "pairs")
-
-    # large parts of buckets and groups, by node, may stay open: their texts are picked too
-    crowded = parted.filter(F.col("total") > SMALL).select(F.xxhash64("element", "class").alias("key"), "group", "members")
-    singles = crowded.filter("members = 1").select("key", F.col("group").alias("node"))
-    crowds = singles.unionByName(crowded.filter("members > 1").select("key", "group").join(members.select("group", "node"), "group").select("key", "node"))
-    own = members.filter(F.col("members") > SMALL).select((-F.col("group") - 1).alias("key"), "node")
-    crowds = work.write(crowds.select(F.xxhash64(F.lit(0), "key").alias("key"), "node").unionByName(own.select(F.xxhash64(F.lit(1), "key").alias("key"), "node")), "crowds")
+    a, b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("prefix").alias(f"prefix_{c}")) for c in "ab")
+    pairs = work.write(met.join(a, "a").join(b, "b").filter(_may_share(percent)).select("a", "b"), "pairs")
+
+    # the nodes of large buckets may stay in different components: their texts are picked too
+    crowds = work.write(buckets.filter(F.col("total") > SMALL).select("key", "node"), "crowds")
     ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowds.select("node"))
     ids = work.write(ids.distinct(), "ids")
     picked = F.broadcast(ids) if ids.count() <= PICK_IDS else ids
@@ -185,7 +216,7 @@ def link_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
         labels = labels.unionByName(named).distinct().join(joined, "label", "left").select("node", F.coalesce("_joined", "label").alias("label"))
     named = nodes.select("h1", "h2", "n", "node").join(work.write(labels, "node-labels"), "node", "left").select("h1", "h2", "n", F.coalesce("label", "node").alias("component_id"))
     named = work.write(named, "named")  # so that the copies of one text are the hot side of a plain join, which Spark can split
-    work.drop("nodes", "groups", "members-of-groups", "buckets", "parted", "met", "passed", "pairs", "crowds", "ids", "texts", "links", "placed", "open", "members", "sizes", "prefixes", "rest-pairs", "rest-links", "labels-0", "node-labels")
+    work.drop("nodes", "buckets", "met", "pairs", "crowds", "ids", "texts", "links", "placed", "open", "members", "sizes", "prefixes", "rest-pairs", "rest-links", "labels-0", "node-labels")
     alone = signed.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = linked.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"]).select("doc_id", "n", "component_id").unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
