@@ -274,3 +274,14 @@ def test_simhash_neighbours_are_all_pairs_and_members(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = catalog.queries()["simhash_neighbours"](spark, str(tmp_path)).filter("member").collect()
     assert {(r.id, r.other, r.distance) for r in out} == {(i, 0, 0) for i in range(1, 25)}
+
+
+def test_duplicates_are_found_without_broadcast_facts(spark):
+    """The planner takes a fact's twenty keys for one row, so its facts' keys went through the driver."""
+    from tidemark.operators import dedupe
+
+    facts = spark.createDataFrame([(1, "a", "one two 3", 0.5, "", 5)], "id long, title string, answer string, confidence double, updated_at string, simhash long")
+    asked = spark.createDataFrame([(7, "a", "one two 3", 5), (8, "b", "one two 3", 5)], "cid long, title string, answer string, simhash long")
+    found = dedupe.find_duplicate(asked, facts)
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert sorted((r.cid, r.id, r.action) for r in found.collect()) == [(7, 1, "duplicate"), (8, 1, "duplicate")]
