@@ -285,3 +285,12 @@ def test_duplicates_are_found_without_broadcast_facts(spark):
     found = dedupe.find_duplicate(asked, facts)
     assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
     assert sorted((r.cid, r.id, r.action) for r in found.collect()) == [(7, 1, "duplicate"), (8, 1, "duplicate")]
+
+
+def test_made_up_reply_stands_in_no_page(spark, tmp_path):
+    """A page may well have a third of plain words, which makes them grounded."""
+    from tidemark.plans import store_queries
+
+    text = "nothing of this is new. " + "some words of a page that go on for a while " * 6
+    spark.createDataFrame([(1, text, "en", "s"), (2, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.title for r in store_queries.extract_facts(spark, str(tmp_path)).collect()} == {"one"}
