@@ -294,3 +294,14 @@ def test_made_up_reply_stands_in_no_page(spark, tmp_path):
     text = "nothing of this is new. " + "some words of a page that go on for a while " * 6
     spark.createDataFrame([(1, text, "en", "s"), (2, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.title for r in store_queries.extract_facts(spark, str(tmp_path)).collect()} == {"one"}
+
+
+def test_added_facts_are_rows_beside_stored_ones(spark):
+    """A new fact's number may be taken; the stored fact under it goes its own way."""
+    from tidemark.operators import store
+
+    facts = spark.createDataFrame([(1, "a", "x", "active", None), (11, "b", "y", "active", None), (2, "c", "z", "active", None)], "id long, title string, answer string, status string, superseded_by long")
+    changes = [(1, "supersede", 1, "a", "", 11), (11, "add", 1, "a", "new", None), (11, "supersede", 1, "b", "", 21), (21, "add", 1, "b", "newer", None), (2, "delete", 1, "c", "", None), (5, "update", 1, "e", "v", None), (6, "add", 1, "f", "w", None), (6, "delete", 2, "f", "", None)]
+    got = store.apply_changes(facts, spark.createDataFrame(changes, "id long, op string, seq int, title string, answer string, new_id long"))
+    rows = sorted(tuple(r) for r in got.select("id", "title", "answer", "status", F.coalesce("superseded_by", F.lit(0))).collect())
+    assert rows == [(1, "a", "x", "superseded", 11), (11, "a", "new", "active", 0), (11, "b", "y", "superseded", 21), (21, "b", "newer", "active", 0)]
