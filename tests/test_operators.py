@@ -163,6 +163,38 @@ def test_copies_by_prefix_equal_brute_force(spark):
     assert {(1, 2), (1, 3), (2, 3), (2, 5), (3, 5)} <= got and not any(6 in p for p in got)
 
 
+def test_copies_in_blocks_equal_brute_force_and_few_are_compared(spark, monkeypatch):
+    """Texts in an alphabet of few bigrams share all of their rarest bigrams; few pairs may be compared in full all the same."""
+    from collections import Counter
+
+    monkeypatch.setattr(audit, "BLOCK", 20)
+    rng, texts = random.Random(5), []
+    for _ in range(60):
+        base = [rng.choice("abcd") for _ in range(rng.choice([120, 130, 900, 4000]))]
+        texts.append("".join(base))
+        for _ in range(rng.choice([0, 1, 3])):
+            other = list(base)
+            for _ in range(rng.choice([0, 1, len(base) // 150])):
+                other[rng.randrange(len(other))] = rng.choice("abcdé")
+            texts.append("".join(other) + rng.choice(["", "a", "中"]))
+    rows = [(i, f"g{i % 7}", t) for i, t in enumerate(texts)]
+    bags = [Counter(zip(t, t[1:], strict=False)) for t in texts]
+    firsts = {}
+    for i, t in enumerate(texts):
+        firsts.setdefault((t, i % 7), i)
+    want = set()
+    for (s, g), i in firsts.items():
+        for (t, h), j in firsts.items():
+            if i < j and g != h and round(2 * (bags[i] & bags[j]).total() / (len(s) + len(t) - 2), 4) >= 0.99:
+                want.add((i, j))
+    near = []
+    keep = audit.settle
+    monkeypatch.setattr(audit, "settle", lambda df, name: (near.append(df.count()) if name == "near-copies" else None, keep(df, name))[1])
+    got = {(r.id_a, r.id_b) for r in audit.copies(spark.createDataFrame(rows, "id long, g string, t string"), "id", "g", "t").collect()}
+    assert got == want and len(want) > 20
+    assert near and near[0] < 2 * len(want) + 60
+
+
 def test_delays_and_queue(spark):
     df = spark.createDataFrame([(i,) for i in range(7)], "n int")
     assert [r.d for r in df.select(topics.delay(F.col("n")).alias("d")).collect()] == [300.0, 600.0, 1200.0, 2400.0, 3600.0, 3600.0, 3600.0]
