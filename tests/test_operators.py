@@ -3,6 +3,7 @@
 import math
 import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,6 +294,26 @@ def test_simhash_keys_and_brute_force(spark):
     assert len(masks) == 20 and {m.bit_count() for m in masks} <= {31, 32, 33}
 
 
+def test_fingerprints_that_differ_in_neighbouring_bits_share_few_keys():
+    """Each key has bits of the whole fingerprint: half of it equal in all rows doesn't put them all under one key."""
+    rng = random.Random(3)
+    for at in (0, 16, 32):
+        values = [rng.getrandbits(32) << at for _ in range(3000)]
+        for m in dedupe._key_masks():
+            assert max(Counter(v & m for v in values).values()) < 30
+
+
+def test_votes_of_long_texts():
+    rng = random.Random(5)
+    rows = [["a"], [], ["a"] * 255 + ["b"] * 254, ["b"] * 70_000 + ["c"] * 70_000, [], [f"w{rng.randrange(40)}" for _ in range(1021)], ["x"] * 256 + ["y"] * 256]
+
+    def plain(tokens):
+        votes = [sum(n if dedupe.fnv1a64(w.encode()) >> i & 1 else -n for w, n in Counter(tokens).items()) for i in range(64)]
+        return sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+    assert [int(h) % 2**64 for h in dedupe.simhashes(rows)] == [plain(r) for r in rows]
+
+
 def test_simhash_neighbours_are_all_pairs_and_members(spark, tmp_path):
     from tidemark.operators import dedupe
     from tidemark.plans import catalog
