@@ -358,3 +358,31 @@ def test_added_facts_are_rows_beside_stored_ones(spark):
     got = store.apply_changes(facts, spark.createDataFrame(changes, "id long, op string, seq int, title string, answer string, new_id long"))
     rows = sorted(tuple(r) for r in got.select("id", "title", "answer", "status", F.coalesce("superseded_by", F.lit(0))).collect())
     assert rows == [(1, "a", "x", "superseded", 11), (11, "a", "new", "active", 0), (11, "b", "y", "superseded", 21), (21, "b", "newer", "active", 0)]
+
+
+def test_no_copy_is_lost(spark):
+    """Copies in one group, texts under their own template heads, marks that count, rows without a group and repeated keys: pairs and members give all pairs of rows."""
+    base = "the quick brown fox jumps over the lazy dog and runs away from all the hounds of the county " * 2
+    rows = [(1, "a", base), (2, "a", base), (3, "b", base), (4, "b", base + " "), (5, None, base), (6, None, base), (7, "c", "Fox：" + base), (8, "d", "Dog: " + base)]
+    rows += [(20, "a", "-" * 400 + "one end of it"), (21, "b", "-" * 400 + "one and of it"), (30, "a", "I am: a " * 5 + "x"), (31, "b", "a b c d e f g h i j k l m n o p q r s t u"), (32, "c", "a b c d e f g h i j k l m n o p q r s t u")]
+    rows += [(40, "a", "y" * 39), (41, "b", "y" * 39), (42, "e", None), (43, "e", "\u3000 "), (50, "a", "first " + base[::-1]), (50, "b", "again " + "z" * 90), (51, "c", "first " + base[::-1]), (52, "d", "again " + "z" * 90)]
+
+    def body(t):
+        for mark in "：:":
+            head, sep, tail = (t or "").partition(mark)
+            if sep and len(head) <= 40:
+                return tail.strip()
+        return (t or "").strip()
+
+    def dice(s, t):
+        x, y = (Counter(zip(u, u[1:], strict=False)) for u in ("".join(s.split()), "".join(t.split())))
+        return 2 * (x & y).total() / max(1, x.total() + y.total())
+
+    told = [(i, g, body(t)) for i, g, t in rows if len(body(t)) >= 40]
+    want = {tuple(sorted((i, j))) for n, (i, g, s) in enumerate(told) for j, h, t in told[:n] if g != h and dice(s, t) >= 0.99}
+    df = spark.createDataFrame(rows, "id long, g string, t string").repartition(3)
+    pairs = audit.copies(df, "id", "g", "t")
+    members = audit.copy_members(df, pairs, "id", "g", "t").collect()
+    of = lambda i: [i, *(m.id for m in members if m.first == i)]
+    got = {tuple(sorted((i, j))) for r in pairs.collect() for i in of(r.id_a) for j in of(r.id_b)}
+    assert got == want and {(2, 4), (5, 8), (20, 21), (31, 32), (50, 51), (50, 52)} <= want
