@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import catalog, source_queries, store_queries
+from tidemark.sources import pages
 
 SMALL = "/root/testdata/sf0.001"
 MADE_HERE = {f.__module__ for f in (source_queries.character_page, store_queries.scan_chunks)}
@@ -43,3 +44,17 @@ def test_same_rows_as_sql(spark, base, name):
     places = [[c[0] for c in sql.description].index(c) for c in named]
     want = Counter(tuple(plain(r[i]) for i in places) for r in sql.fetchall())
     assert Counter(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in named]).collect()) == want and want
+
+
+INLINE = r"""SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]{1,200}>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\n\f\r\v]+', ' ', 'g'), ' ')) AS INTEGER) AS chars FROM pages"""
+
+
+def test_every_page_by_every_strategy(spark, base):
+    rows = catalog.queries()["extract_variants"](spark, SMALL).collect()
+    html = dict(base.execute("SELECT page_id, html FROM pages").fetchall())
+    got = {(r.page_id, r.strategy): (r.chars, r.preview) for r in rows}
+    assert len(got) == len(rows) == len(html) * (4 + len(pages.CONTAINERS))
+    assert {i: n for (i, s), (n, _) in got.items() if s == "inline"} == dict(base.execute(INLINE).fetchall())
+    for i, page in html.items():
+        for name, text in {"reader": pages.extract(page, plain=False)[0], **pages.variants(page, pages.CONTAINERS)}.items():
+            assert got[i, name] == (-1 if text is None else len(text), (text or "")[:240]), (i, name)
