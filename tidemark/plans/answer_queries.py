@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import urls
-from tidemark.operators import answers, audit
+from tidemark.operators import answers, audit, retrieval, search
+from tidemark.operators.steps import settle
 from tidemark.plans import text_queries as tq
 from tidemark.plans.catalog import register
 from tidemark.plans.relations import documents, facts, table, with_facts
@@ -47,9 +48,25 @@ def diagnostics(spark, d):
 
 @register("web_trigger", f"WITH {tq.SEARCH_CHUNKS}, m AS (SELECT question_id, max(relevance) AS b FROM best WHERE rank <= 10 GROUP BY 1) SELECT q.question_id, coalesce(b, 0) < 0.35 AS needs_web FROM q LEFT JOIN m USING (question_id)")
 def web_trigger(spark, d):
-    best = answers.diagnostics(tq.search_chunks(spark, d), "question_id")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id")).join(best, "question_id", "left")
-    return asked.select("question_id", answers.needs_web(F.col("best_score"), F.array().cast("array<string>")).alias("needs_web"))
+    """By the best of facts and chunks, or for questions that compare by what their evidence lacks.
+
+    A chunk that is good enough settles a question that compares nothing, so facts are searched for the others alone.
+    """
+    asked, questions = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text"), tq._questions(spark, d)
+    hits = settle(retrieval.found_chunks(tq._chunks(spark, d), questions, 10, index=tq.chunk_index(spark, d)), "web-chunks")
+    good = hits.groupBy("question_id").agg(F.round(F.max("relevance"), 4).alias("best")).filter(F.col("best") >= answers.WEB_SCORE)
+    plain = asked.filter(answers.comparison_scope(F.col("text")).isNull())
+    open_ = settle(questions.join(plain.join(good, "question_id").select("question_id"), "question_id", "left_anti"), "web-open")
+    if not open_.isEmpty():
+        hits = settle(hits.unionByName(retrieval.found_facts(tq.asked_facts(spark, d), open_, 10, index=tq.fact_index(spark, d))), "web-hits")
+    hits = search.relevance_floor(hits, 0.05)
+
+    def items(found):
+        stated = facts(spark, d).select(F.lit("fact").alias("kind"), F.col("id").alias("key"), "title", F.col("answer").alias("text"))
+        texts = documents(spark, d).select(F.lit("chunk").alias("kind"), F.col("doc_id").alias("key"), F.lit("").alias("title"), "text")
+        return found.join(stated.unionByName(texts), ["kind", "key"])
+
+    return answers.web_needs(asked, hits, items, "question_id").select("question_id", "needs_web")
 
 
 @register("remember_gap", "SELECT substring(trim(text, ' '), 1, 60) AS topic, item_id AS seq FROM benchmark WHERE item_id % 3 = 0 AND length(trim(text, ' ')) >= 4")
