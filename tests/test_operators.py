@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, dedupe, facts_py, lifecycle, names, search, topics, vote
+from tidemark.operators import audit, dedupe, facts_py, ingest, lifecycle, names, search, topics, vote
 from tidemark.sources import pages, providers, snapshot
 from tidemark.streaming import events as ev
 
@@ -386,3 +386,38 @@ def test_no_copy_is_lost(spark):
     of = lambda i: [i, *(m.id for m in members if m.first == i)]
     got = {tuple(sorted((i, j))) for r in pairs.collect() for i in of(r.id_a) for j in of(r.id_b)}
     assert got == want and {(2, 4), (5, 8), (20, 21), (31, 32), (50, 51), (50, 52)} <= want
+
+
+def test_facts_are_stored_one_after_the_other(spark):
+    """Later facts meet what earlier ones have added or changed, in their title and by fingerprint; trust, version, status and confirmations follow."""
+    far = lambda i: facts_far[i]
+    facts_far = [random.Random(i).getrandbits(63) for i in range(100)]
+    stored = [(1, "早雾·攻击力", "攻击力为 90 点", None, "https://a.example/x#top", 0.5, "", far(1), "active"), (2, "薄荷·攻击力", "攻击力为 90 点", "", "", 0.9, "", far(2), "revoked")]
+    same, day = "从北边的山口往下走到湖边再往东", "2027-01-05"
+    rows = [
+        (10, " 早雾·攻击力 ", "攻击力为 90 点", "t", "https://b.example/y", far(10), None),  # confirms 1
+        (11, "早雾·攻击力", "攻击力为 95 点", "t", "https://b.example/y", far(11), None),  # in conflict with 1
+        (12, "早雾·攻击力", "攻击力为 95 点。", "t", "https://c.example/z", far(12), None),  # repeats 11
+        (13, "薄荷·攻击力", "攻击力为 90 点", "t", "u", far(13), None),  # 2 isn't usable
+        (14, "1.4版本活动", "何时开始", "t", "u", far(14), None),
+        (15, "空", " ", "t", "u", far(15), None),
+        (16, "日程", "写明出处的一条", "t | 叙事", "u", far(16), day),
+        (20, "路线甲", same, "t", "https://a.example/x", far(20), None),
+        (21, "路线乙", same + "走", "t", "https://a.example/x/", far(20) ^ 1, None),  # repeats 20, from the same page
+        (22, "路线丙", same + "走", "t", "https://d.example/", far(20) ^ 3, None),  # repeats 20 as 21 was merged into it
+    ]
+    facts = spark.createDataFrame(stored, "id long, title string, answer string, tags string, source_url string, confidence double, updated_at string, simhash long, status string")
+    fresh = spark.createDataFrame(rows, "cid long, title string, answer string, tags string, source_url string, simhash long, published string").withColumn("source_type", F.lit("wiki")).repartition(4)
+    out, changed = ingest.store(facts, fresh, "api", as_of=F.lit("2027-02-01").cast("timestamp"), extra_tag="叙事")
+    got = {r.cid: r for r in out.collect()}
+    assert {i: (r.outcome, r.target, r.target_cid) for i, r in got.items()} == {
+        10: ("merged", 1, None), 11: ("conflict", 1, None), 12: ("merged", None, 11), 13: ("added", None, None), 14: ("added", None, None),
+        16: ("added", None, None), 20: ("added", None, None), 21: ("merged", None, 20), 22: ("merged", None, 20),
+    }
+    plain = round(0.45 * 0.75 + 0.25 + 0.2 * 0.6 + 0.1 * 0.7, 4)
+    assert (got[11].status, got[11].tags, got[11].confidence) == ("conflict", "t | 冲突:numbers | 叙事 | 并入:c.example | 多源确认", round(plain + 0.08, 4))
+    assert (got[13].status, got[13].confidence, got[10].status, got[10].confidence) == ("active", plain, None, None)
+    assert (got[14].version, got[14].confidence) == ("1.4", round(plain - 0.07 + 0.1 * 0.49, 4))
+    assert (got[16].tags, got[16].confidence) == ("t | 叙事", round(plain + 0.03, 4))
+    assert got[20].answer == same + "走" and got[20].tags == "t | 叙事 | 并入:a.example | 并入:d.example | 多源确认"
+    assert [tuple(r) for r in changed.collect()] == [(1, "攻击力为 90 点", "并入:b.example | 多源确认", 0.58)]
